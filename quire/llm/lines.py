@@ -10,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.joins import by_counted_key
 from quire.llm.text import WORD, let, whole
 from quire.session import cut
 
 WINDOW = 3
-#: A window with this share of all repeated occurrences or more is joined by broadcast; there are at most as many such
-#: windows as its inverse.
-HOT_SHARE = 1 / 1000
-
 
 def window_hashes(text: Column, n: int = WINDOW) -> Column:
     """One hash per run of n lines, in order."""
@@ -39,11 +36,8 @@ def later_occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text",
     at = docs.select(F.col(key).alias("doc_id"), F.xxhash64(whole(F.col(text))).alias("version"), F.posexplode(window_hashes(F.col(text), n)).alias("start", "h"))
     place = F.struct("doc_id", "version", "start")
     repeated = cut(at.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1"))
-    total = repeated.agg(F.sum("times")).first()[0] or 0
-    hot = F.broadcast(repeated.where(F.col("times") >= total * HOT_SHARE))
-    cold = repeated.where(F.col("times") < total * HOT_SHARE)
-    later = lambda known: at.join(known, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "start")
-    return later(hot).unionByName(later(cold)).groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
+    later = by_counted_key(at, repeated, "h", "times").where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
 def without(text: Column, starts: Column, n: int = WINDOW) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing, oracles, rules, secret_scan, shards, sketches
+from quire.llm import boosted, bpe, lines, mixing, oracles, pages, rules, secret_scan, shards, simhash, sketches
 from quire.session import cut, table
 
 SHARDS = 8
+#: The public tokenizer file that op4 encodes with.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,16 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "tokens", F.col("pass").cast("long").alias("pass"), "block", "block_turn", "order_key")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(documents(spark, sf_dir))
 
@@ -38,9 +50,22 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(documents(spark, sf_dir)).select("row.doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first_id").alias("component_id"))
+
+
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_sketches, op3_mixture, op5_rules, op6_lines, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_sketches, op3_mixture, op4_bpe, op5_rules, op6_lines, op7_simhash, op8_pages, op9_quality, op10_secrets)}
 ORACLES = oracles.SQL

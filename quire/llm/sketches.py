@@ -16,8 +16,10 @@ from quire.llm.text import let, shingle_hashes, whole, words
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALE = 8
-#: Range buckets of doc_id; their bounds are quantiles, and so many numbers reach the driver.
-BUCKETS = 256
+#: Quantiles of doc_id that reach the driver. Each range between two is cut into equal parts of about PART_ROWS rows, MOST_PARTS at most.
+RANGES = 256
+PART_ROWS = 20_000
+MOST_PARTS = 1024
 
 
 def below(h: Column, scale: int) -> Column:
@@ -76,32 +78,34 @@ def step(key: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, columns: dict[str, Column], key: str = "doc_id") -> DataFrame:
     """doc_id, the columns, and for each of them next_<name> from the row that follows by key; the last is followed by the first.
 
-    Rows are dealt to range buckets, whose quantile bounds come from the key column alone; the first rows of a bucket
-    also go to the bucket before it as guests, so each bucket finds its followers by itself. Null keys come first, and
-    equal keys are ordered by the columns.
+    Rows are dealt to range buckets, bounded by quantiles of the key and equal parts between them, as many as the rows
+    need; the first rows of a bucket also go to the bucket before it as guests, so each bucket finds its followers by
+    itself. Null keys come first, and equal keys are ordered by the columns. The first two passes read the key only; the
+    table of bucket edges has RANGES * MOST_PARTS rows at most and is broadcast.
     """
     own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     keys = docs.select(own.alias("k"))
-    found = keys.agg(F.percentile_approx("k", [i / BUCKETS for i in range(1, BUCKETS)], 10000).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    lowest = {r["b"]: r["lowest"] for r in keys.groupBy(step(F.col("k"), bounds).alias("b")).agg(F.min("k").alias("lowest")).collect()}
-    used = sorted(lowest)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    first = F.array(*(F.lit(lowest.get(b)).cast("long") for b in range(len(bounds) + 1)))
-    earlier = F.array(*(F.lit(before.get(b, 0)) for b in range(len(bounds) + 1)))
+    seen = keys.agg(F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10000).alias("q"), F.count("k").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+    bounds = sorted(set(seen["q"] or []))
+    parts = min(MOST_PARTS, max(1, -(-seen["n"] // (RANGES * PART_ROWS))))
+    ends = [float(x) for x in (seen["lo"] or 0, *bounds, (seen["hi"] or 0) + 1)]
+    low, wide = (F.lit(x) for x in (ends[:-1], [max(1.0, b - a) for a, b in zip(ends, ends[1:])]))
+
+    def bucket(k: Column) -> Column:
+        r = step(k, bounds)
+        part = F.floor((k.cast("double") - F.get(low, r)) / F.get(wide, r) * parts)
+        return (r * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("int")
+
+    edges = keys.groupBy(bucket(F.col("k")).alias("b")).agg(F.min("k").alias("lowest"))
+    line = Window.partitionBy().orderBy("b")
+    edges = edges.select("b", "lowest", F.coalesce(F.lag("b").over(line), F.max("b").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("earlier"))
     names = list(columns)
+    seat = lambda b, guest: F.struct(F.col(b).alias("b"), F.lit(guest).alias("guest"))
     rows = (
         docs.select(own.alias("k"), F.col(key).alias("doc_id"), *(c.alias(n) for n, c in columns.items()))
-        .withColumn("b", step(F.col("k"), bounds))
-        .withColumn(
-            "seat",
-            F.explode(
-                F.when(
-                    F.col("k") == F.element_at(first, F.col("b") + 1),
-                    F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")), F.struct(F.element_at(earlier, F.col("b") + 1).alias("b"), F.lit(1).alias("guest"))),
-                ).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest"))))
-            ),
-        )
+        .withColumn("b", bucket(F.col("k")))
+        .join(F.broadcast(edges), "b")
+        .withColumn("seat", F.explode(F.when(F.col("k") == F.col("lowest"), F.array(seat("b", 0), seat("earlier", 1))).otherwise(F.array(seat("b", 0)))))
         .select("seat.b", "seat.guest", "k", "doc_id", *names)
     )
     order = Window.partitionBy("b").orderBy("guest", "k", *names)

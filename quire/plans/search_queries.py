@@ -1,2 +1,120 @@
+"""Full-text queries over documents: text as body, source as classification, language and id as name."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import fulltext as ft
+from quire.operators.sequence import occurrences
+from quire.session import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+READER = {"body": 1.0, "classification": 5.0, "name": 10.0}
+NOTES = {"body": 1.0, "classification": 6.0, "name": 10.0}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("source").alias("classification"), F.concat_ws(" ", "lang", "doc_id").alias("name"))
+
+
+def _bm25(weights: dict, terms: list[tuple[list[str], bool]], tail: str) -> str:
+    """terms: (words, is a prefix)."""
+    cols = {"body": "text", "classification": "source", "name": "lang || ' ' || doc_id"}
+    toks = " UNION ALL ".join(f"SELECT doc_id, {i} AS c, {float(weights[c])} AS w, regexp_extract_all(strip_accents(lower(coalesce({e}, ''))), '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents" for i, (c, e) in enumerate(cols.items()))
+    n, counts = len(terms), []
+    for k, (words, prefix) in enumerate(terms):
+        places = ["tok", "follows"][: len(words)]
+        last = f"starts_with({places[-1]}, '{words[-1]}')" if prefix else f"{places[-1]} = '{words[-1]}'"
+        test = " AND ".join([*(f"{p} = '{w}'" for p, w in zip(places[:-1], words[:-1])), last])
+        counts.append(f"coalesce(sum(w) FILTER ({test}), 0) AS f{k}")
+    idf = lambda k: f"CASE WHEN n > 2 * n{k} THEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) ELSE 1e-6 END"
+    part = " + ".join(f"{idf(k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * z / mean))" for k in range(n))
+    return f"""WITH l AS ({toks}), t AS (SELECT doc_id, c, w, unnest(ts) AS tok, generate_subscripts(ts, 1) AS j FROM l), u AS (SELECT *, lead(tok) OVER (PARTITION BY doc_id, c ORDER BY j) AS follows FROM t),
+    c AS (SELECT doc_id, count(*) AS z, {", ".join(counts)} FROM u GROUP BY doc_id),
+    s AS (SELECT (SELECT count(*) FROM documents) AS n, sum(z) / (SELECT count(*) FROM documents) AS mean, {", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in range(n))} FROM c),
+    r AS (SELECT doc_id, -({part}) AS score FROM c, s WHERE {" AND ".join(f"f{k} > 0" for k in range(n))}) {tail}"""
+
+
+RANKED = "SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM r"
+
+
+def _ranked(found):
+    return found.select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("fts1_reader_search", _bm25(READER, [(["the"], False), (["src3"], False), (["hea"], True)], RANKED))
+def reader(spark, sf_dir):
+    return _ranked(ft.search(corpus(spark, sf_dir), READER, "the src3 hea", "doc_id"))
+
+
+@query("fts1_notes_search", _bm25(NOTES, [(["with"], False), (["en"], False)], RANKED))
+def notes(spark, sf_dir):
+    return _ranked(ft.search(corpus(spark, sf_dir), NOTES, "with en", "doc_id"))
+
+
+@query("fts1_phrase_search", _bm25(READER, [(["of", "the"], False), (["re"], False)], RANKED))
+def phrase(spark, sf_dir):
+    return _ranked(ft.search(corpus(spark, sf_dir), READER, "of-the re", "doc_id"))
+
+
+@query("fts1_accent_search", _bm25(READER, [(["eleou"], True)], RANKED))
+def accent(spark, sf_dir):
+    return _ranked(ft.search(corpus(spark, sf_dir), READER, "Éléou", "doc_id"))
+
+
+@query("top1_search_limit", _bm25(READER, [(["thin"], True)], RANKED + " ORDER BY rank LIMIT 50"))
+def top(spark, sf_dir):
+    return _ranked(ft.search(corpus(spark, sf_dir), READER, "thin", "doc_id", limit=50))
+
+
+@query("srt3_relevance_order", _bm25(READER, [(["thin"], True)], "SELECT d.doc_id, row_number() OVER (ORDER BY k ASC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS k FROM r) x ON x.doc_id = d.doc_id"))
+def relevance(spark, sf_dir):
+    from pyspark.sql import Window
+
+    docs = corpus(spark, sf_dir)
+    ranks = ft.search(docs, READER, "thin", "doc_id").select("doc_id", "rank")
+    order = Window.orderBy(F.col("rank").asc_nulls_last(), "doc_id")
+    return docs.select("doc_id").join(ranks, "doc_id", "left").select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("fts1_index_search", _bm25(READER, [(["the"], False), (["src5"], False)], "SELECT doc_id, round(score, 6) AS score FROM r"))
+def by_index(spark, sf_dir):
+    postings, lengths = ft.index(corpus(spark, sf_dir), READER, "doc_id")
+    return ft.search_index(postings, lengths, ["the", "src5"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fts2_top2_snippets")
+def snippets(spark, sf_dir):
+    found = ft.search(corpus(spark, sf_dir), READER, "the hea", "doc_id")
+    marked = found.withColumn("snippet", F.when(F.col("rank") <= ft.SNIPPETS, ft.snippet(F.col("body"), ft.parse("the hea"))))
+    return marked.select("doc_id", "rank", "snippet", F.size(F.filter(ft.segments(F.col("snippet")), lambda s: s["hit"])).alias("n_hits"))
+
+
+@query("fts3_find_counts", "SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS n_found FROM documents")
+def find_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", occurrences(F.col("text"), "THE").alias("n_found"))
+
+
+@query(
+    "fts4_incremental",
+    """WITH o AS (SELECT doc_id, (doc_id % 50)::DOUBLE AS t FROM documents WHERE doc_id % 3 <> 1), n AS (SELECT doc_id, (doc_id % 60)::DOUBLE AS t, doc_id % 17 = 0 AS dl FROM documents WHERE doc_id % 7 <> 2)
+    SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL OR n.dl THEN CASE WHEN o.doc_id IS NOT NULL THEN 'remove' ELSE 'ignore' END WHEN o.doc_id IS NULL THEN 'index' WHEN o.t = n.t THEN 'skip' ELSE 'index' END AS action
+    FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
+)
+def incremental(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 3 <> 1").selectExpr("doc_id", "cast(doc_id % 50 AS double) AS mtime")
+    new = docs.where("doc_id % 7 <> 2").selectExpr("doc_id", "cast(doc_id % 60 AS double) AS mtime", "doc_id % 17 = 0 AS is_dataless")
+    return ft.changed_rows(old, new, "doc_id", "mtime")

@@ -303,7 +303,7 @@ def notes(spark, sf_dir):
 
 @query("src9_classification", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS classification, 'Body ' || doc_id AS body FROM documents")
 def classification(spark, sf_dir):
-    page = F.expr("concat('Extracted text.', char(10), 'Name: x', char(10), CASE WHEN doc_id % 3 = 0 THEN concat('  Classification:  ', source, ' ') ELSE 'Classification:' END, char(10), char(10), 'Body ', doc_id)")
+    page = F.expr("concat('Extracted text.', char(10), 'scan 1.jpg', char(10), 'A · B · 2026', char(10), CASE WHEN doc_id % 3 = 0 THEN concat('  Classification:  ', source, ' ') ELSE 'Classification:' END, char(10), char(10), 'Body ', doc_id)")
     return table(spark, sf_dir, "documents").select("doc_id", tx.classification_line(page).alias("classification"), markdown.stripped(page).alias("body"))
 
 

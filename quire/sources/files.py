@@ -10,16 +10,16 @@ ACCEPTED = "jpg jpeg png tiff tif heic pdf".split()
 
 
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, modified and size of every file below a root; contents are not read."""
+    """path, modified and size of every file below a root that has content; contents are not read. The reader lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted files with their bytes, and one row of counts: all seen, accepted, empty."""
+    """Accepted files with their bytes, and one row of counts: all seen and accepted. The reader lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = found.select("path", "content", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    counts = rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(accepted(F.col("path"))).alias("accepted"), F.count_if(F.col("size") == 0).alias("empty"))
+    counts = rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(accepted(F.col("path"))).alias("accepted"))
     return rows.where(accepted(F.col("path"))), counts
 
 

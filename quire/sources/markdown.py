@@ -27,7 +27,7 @@ def _scalar(text: str) -> str:
 
 
 def _flow(text: str) -> list[str]:
-    return [_scalar(x) for x in re.findall(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|[^,\[\]]+', text.strip()[1:-1]) if x.strip()]
+    return [_scalar(x) for x in re.findall(r'\s*("(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|[^,\[\]]+)', text.strip()[1:-1]) if x.strip()]
 
 
 def decode_front_matter(text: str) -> dict:
@@ -94,15 +94,17 @@ def serialize_blocks(blocks: list[dict]) -> str:
     return "".join(out)
 
 
+HEADER = re.compile(
+    r"Extracted text\.[^\n]*(?:\n|\Z)"  # the opening line
+    r"(?:(?![ \t]*(?:\n|\Z))(?![^\n]* \u00b7 )(?![ \t]*Classification:)[^\n]+\n)*"  # a file name, before the line of the model
+    r"(?:[^\n]* \u00b7 [^\n]*(?:\n|\Z))?(?:[ \t]*Classification:[^\n]*(?:\n|\Z))?"
+)
+
+
 def strip_header(page: str) -> str:
-    """A text page without its header: what follows the first blank line after the opening mark's lines of `Key: value`."""
-    if not (page or "").startswith("Extracted text."):
-        return page or ""
-    lines = page.split("\n")
-    at = 1
-    while at < len(lines) and (not lines[at].strip() or re.match(r"[ \t]*[A-Z][A-Za-z ]{0,30}:", lines[at])):
-        at += 1
-    return "\n".join(lines[at:]).strip()
+    """A text page without its header: the opening mark, a file name, the model's line and the classification."""
+    found = HEADER.match(page or "")
+    return page[found.end() :].strip() if found else page or ""
 
 
 def _front_matter(text: pd.Series) -> pd.DataFrame:

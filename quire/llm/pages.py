@@ -41,7 +41,7 @@ BOILERPLATE = frozenset(
     "pagination pager toolbar widget widgets search skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-WEIGHTS = {"article": 1.6, "main": 1.4, "section": 1.0, "div": 1.0, "td": 0.9, "center": 0.9, "body": 0.8}
+WEIGHTS = {"article": 1.6, "main": 1.4, "section": 1.0, "div": 1.0, "td": 0.9, "center": 0.9, "body": 0.8, "": 0.8}
 GOOD = frozenset("content article post entry story main body text".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -171,9 +171,9 @@ def net(node: Node) -> int:
 
 def best(nodes: list[Node]) -> Node:
     """The container with most text by weight; of those about equal the deepest."""
-    top, most = nodes[0], 0.0
+    top, most = nodes[0], 0.0  # the root, which stands for a missing body
     for node in nodes:
-        if node.tag in CONTAINERS and not node.dropped and node.text:
+        if node.tag in WEIGHTS and not node.dropped and node.text:
             value = max(net(node), 0.1) * WEIGHTS[node.tag] * (1.2 if node.good else 1.0) * (1 + 0.01 * min(node.depth, 10))
             if value > most:
                 top, most = node, value

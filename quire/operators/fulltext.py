@@ -121,6 +121,20 @@ def index(docs: DataFrame, weights: dict[str, float], key: str) -> tuple[DataFra
     return postings, lengths
 
 
+def write_index(postings: DataFrame, path: str, files: int | None = None) -> None:
+    """Postings in ranges of terms, sorted in each file, so that a search reads only the row groups that hold its terms."""
+    ranged = postings.repartitionByRange(files, "term") if files else postings.repartitionByRange("term")
+    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def compact(spark, source: str, target: str, rows_per_file: int = 5_000_000) -> int:
+    """Rewrites an index of many small files in as few as its rows need, and returns their number."""
+    postings = spark.read.parquet(source)
+    files = max(1, -(-postings.count() // rows_per_file))
+    write_index(postings, target, files)
+    return files
+
+
 def search_index(postings: DataFrame, lengths: DataFrame, terms: list[str], key: str) -> DataFrame:
     """key and score of the rows that have every whole-word term; only the terms' postings are read and shuffled."""
     wanted = sorted(set(terms))

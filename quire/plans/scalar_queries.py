@@ -363,3 +363,93 @@ def references(spark, sf_dir):
     record = F.expr("""concat('{"author":[{"family":"Doe","given":"Jane"},{"literal":"UN"}],"issued":', CASE doc_id % 4 WHEN 0 THEN '{"date-parts":[[1968,3,7]]}' WHEN 1 THEN '{"date-parts":[["1968",3]]}' WHEN 2 THEN '{"date-parts":[[1968]]}' ELSE '{"raw":"c. 1971?"}' END, '}')""")
     d = table(spark, sf_dir, "documents").where("doc_id < 10000").select("doc_id", links.parse_select_link(url).alias("l"), links.csl_date(record).alias("d"), F.array_join(links.csl_authors(record), "|").alias("authors"))
     return d.select("doc_id", F.col("l.library").alias("library"), F.col("l.group").alias("grp"), F.col("l.key").alias("key"), F.col("d.date").alias("date"), F.col("d.precision").alias("precision"), "authors")
+
+
+_TITLE = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('T', cast(doc_id % 5 AS string)) END"
+_FETCHED = "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('T', cast(doc_id % 4 AS string)) END"
+
+
+@query(
+    "fn27_fill_plan",
+    f"""WITH v AS (SELECT doc_id, {_TITLE} AS t, {_FETCHED} AS n, lang AS d, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE '' END AS nd FROM documents), w AS (SELECT *, n IS NOT NULL AND n <> '' AND n <> t AS ct, nd <> '' AND nd <> d AS cd FROM v)
+    SELECT doc_id, ct::INT + cd::INT AS n_changes, coalesce(ct AND t <> '', false) AS replaces_title, CASE WHEN ct THEN n ELSE t END AS title, d AS date FROM w""",
+)
+def fill_plan(spark, sf_dir):
+    from quire.operators import items
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_TITLE).alias("t"), F.expr(_FETCHED).alias("n"), F.col("lang").alias("d"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE '' END").alias("nd"))
+    now, new = {"title": F.col("t"), "date": F.col("d")}, {"title": F.col("n"), "date": F.col("nd")}
+    d = d.withColumn("plan", items.fill_plan(now, new))
+    out = items.filled(now, new, F.col("plan"), F.array(F.lit("title")))
+    return d.select("doc_id", F.size("plan").alias("n_changes"), F.exists("plan", lambda p: (p["field"] == "title") & p["replaces"]).alias("replaces_title"), *(c.alias(f) for f, c in out.items()))
+
+
+@query(
+    "prj2_prj3_summaries",
+    f"""WITH {_D} SELECT p.doc_id AS item_id, 'Doc ' || p.doc_id AS title, lang || '; ' || source AS authors,
+    CASE WHEN date <> '' THEN CASE WHEN precision = 'decade' THEN date || 's' WHEN precision = 'month' AND m BETWEEN 1 AND 12 THEN strftime(make_date(2000, m, 1), '%b') || ' ' || split_part(date, '-', 1)
+    WHEN precision = 'day' AND m BETWEEN 1 AND 12 AND dd IS NOT NULL THEN strftime(make_date(2000, m, 1), '%b') || ' ' || dd || ', ' || split_part(date, '-', 1) ELSE date END END AS date,
+    CASE WHEN p.doc_id % 8 < 1 THEN '—' ELSE repeat('★', least(p.doc_id % 8, 5)::INT) || repeat('☆', (5 - least(p.doc_id % 8, 5))::INT) END AS stars, lang AS tags, CASE WHEN p.doc_id % 3 > 0 THEN (p.doc_id % 3)::VARCHAR ELSE '' END AS sources
+    FROM p JOIN documents d ON d.doc_id = p.doc_id""",
+)
+def summaries(spark, sf_dir):
+    from quire.operators import items
+
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.to_json(F.array("lang", "source")).alias("authors"), F.expr(DATE).alias("date"), F.expr(PRECISION).alias("precision"),
+        F.expr("cast(doc_id % 8 AS int)").alias("quality"), F.array(F.col("lang"), F.lit("MANAGED")).alias("tags"), F.expr("doc_id % 3").alias("n_sources"),
+    )
+    return items.summaries(d, "Managed")
+
+
+@query("fn12_similarity", "SELECT p_partkey, CASE WHEN lower(p_name) = lower(p_type) THEN 1.0 WHEN contains(lower(p_name), lower(p_brand)) THEN 0.9 ELSE round(1 - levenshtein(lower(p_name), lower(p_type))::DOUBLE / greatest(length(p_name), length(p_type)), 9) END AS similarity FROM part WHERE NOT contains(lower(p_name), lower(p_type)) AND NOT contains(lower(p_type), lower(p_name))")
+def similarity(spark, sf_dir):
+    from quire.operators.similarity import similarity as score
+
+    part = table(spark, sf_dir, "part").where("NOT contains(lower(p_name), lower(p_type)) AND NOT contains(lower(p_type), lower(p_name))")
+    return part.select("p_partkey", F.round(score(F.col("p_name"), F.col("p_type")), 9).alias("similarity"))
+
+
+def _shared(spark, name):
+    import uuid
+
+    from quire.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src15_organization", "SELECT n_nationkey::BIGINT AS folder_id, n_regionkey::BIGINT AS parent_id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_items FROM nation")
+def organization(spark, sf_dir):
+    path = _shared(spark, "organization")
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    src.write_organization(nation.selectExpr("cast(n_nationkey AS long) AS folder_id", "cast(n_regionkey AS long) AS parent_id", "n_name AS name"), supplier.selectExpr("cast(s_suppkey AS long) AS item_id", "cast(s_nationkey AS long) AS folder_id"), path)
+    folders, members = src.read_organization(spark, path)
+    counts = members.groupBy("folder_id").agg(F.count(F.lit(1)).alias("n"))
+    return folders.join(counts, "folder_id", "left").select("folder_id", "parent_id", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+
+
+@query("src17_organized_output", "SELECT o_orderkey, o_orderpriority AS collection, printf('%05d %s', (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey))::INT, o_orderpriority) AS file_name FROM orders")
+def organized(spark, sf_dir):
+    from quire.operators.sequence import numbered
+
+    path = _shared(spark, "organized")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("collection"))
+    src.write_by_collection(numbered(rows, "collection", "o_orderkey"), path)
+    return spark.read.parquet(path).select("o_orderkey", F.col("collection").cast("string").alias("collection"), "file_name")
+
+
+@query("fts5_compacted_index", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term")
+def compacted(spark, sf_dir):
+    from quire.operators import fulltext
+
+    first, second = _shared(spark, "index"), _shared(spark, "compacted")
+    postings, _ = fulltext.index(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), {"source": 5.0, "lang": 1.0}, "doc_id")
+    fulltext.write_index(postings, first)
+    fulltext.compact(spark, first, second)
+    return spark.read.parquet(second).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("src1_src2_scan")
+def scanned(spark, sf_dir):
+    found = src.fingerprints(spark, f"{sf_dir}/*.parquet")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", src.accepted(F.col("path")).alias("accepted"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-READER, NOTES = "archivereader", "archivenotes"
+#: Schemes of links to files and to notes; parameters, as each installation has its own.
+SCHEMES = ("reader", "notes")
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
-def reader_link(root: Column, rel: Column, page: Column) -> Column:
-    base = F.concat(F.lit(f"{READER}://reveal?root="), F.lower(root), F.lit("&rel="), F.replace(F.url_encode(rel), F.lit("+"), F.lit("%20")))
+def reader_link(root: Column, rel: Column, page: Column, scheme: str = SCHEMES[0]) -> Column:
+    base = F.concat(F.lit(f"{scheme}://reveal?root="), F.lower(root), F.lit("&rel="), F.replace(F.url_encode(rel), F.lit("+"), F.lit("%20")))
     return F.when(page.isNull(), base).otherwise(F.concat(base, F.lit("&page="), page.cast("string")))
 
 
@@ -19,16 +20,17 @@ def _argument(url: Column, name: str) -> Column:
     return F.when(raw != "", F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
 
 
-def parse_link(url: Column) -> Column:
+def parse_link(url: Column, schemes: tuple[str, str] = SCHEMES) -> Column:
     """struct(kind, root, rel, page, id, block); null for anything malformed."""
+    reader, notes = schemes
     root, rel, note = _argument(url, "root"), _argument(url, "rel"), _argument(url, "id")
     page = _argument(url, "page").try_cast("int")
     clean = rel.isNotNull() & ~rel.startswith("/") & ~F.exists(F.split(rel, "/"), lambda c: c.isin("", ".", ".."))
     block = F.nullif(F.regexp_extract(url, "#block-([0-9]+)$", 1), F.lit("")).try_cast("int")
     none = F.lit(None)
     made = lambda kind, **v: F.struct(F.lit(kind).alias("kind"), *(v.get(n, none).cast(t).alias(n) for n, t in (("root", "string"), ("rel", "string"), ("page", "int"), ("id", "string"), ("block", "int"))))
-    is_reader = url.startswith(f"{READER}://reveal?") & F.coalesce(root.rlike(UUID), F.lit(False)) & clean
-    is_note = url.startswith(f"{NOTES}://open?") & F.coalesce(note.rlike(UUID), F.lit(False))
+    is_reader = url.startswith(f"{reader}://reveal?") & F.coalesce(root.rlike(UUID), F.lit(False)) & clean
+    is_note = url.startswith(f"{notes}://open?") & F.coalesce(note.rlike(UUID), F.lit(False))
     return F.when(is_reader, made("reader", root=F.lower(root), rel=rel, page=F.when(page > 0, page))).when(is_note, made("note", id=F.lower(note), block=block))
 
 

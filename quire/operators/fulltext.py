@@ -9,9 +9,11 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ranking import with_place
+
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 TOKEN = "[\\p{L}\\p{N}]+"
 SNIPPETS, FRAGMENT = 300, 12
@@ -107,7 +109,7 @@ def search(docs: DataFrame, weights: dict[str, float], query: str, tie: str, lim
     found = counted.where(every).withColumn("score", score).drop("m_")
     if limit is not None:
         found = found.orderBy("score", tie).limit(limit)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy("score", tie)).cast("long"))
+    return with_place(found, ["score", tie], "rank")
 
 
 def index(docs: DataFrame, weights: dict[str, float], key: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ordering import missing_last, natural_key
+from quire.operators.ranking import with_place
 
 BIG = "long"
 
@@ -36,7 +37,7 @@ def date_like(token: Column) -> Column:
 def tag_cloud(shown: DataFrame) -> DataFrame:
     """Subject counts of the shown rows without date-like tokens, with their place in natural order."""
     counted = subject_counts(shown).where(~date_like(F.col("subject")))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("subject")), "subject")).cast(BIG))
+    return with_place(counted, [natural_key(F.col("subject")), "subject"])
 
 
 def data_quality(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
+MOST_FOLDERS = 100_000
+
 
 def normalize(tag: Column) -> Column:
     """Lower case, trimmed, white space collapsed."""
@@ -83,10 +85,12 @@ def similarity(a: Column, b: Column) -> Column:
 def best_matches(candidates: DataFrame, folders: DataFrame, k: int = 5, least: float = 0.34) -> DataFrame:
     """candidate, folder, score and place of the k best folders of each candidate.
 
-    folders is a stated list of a library's collection names and is broadcast; candidates are scored against all of it.
+    folders is a stated list of a library's collection names, against all of which candidates are scored; up to
+    MOST_FOLDERS of them it is broadcast.
     """
     from pyspark.sql import Window
 
-    scored = candidates.join(F.broadcast(folders), F.lit(True)).withColumn("score", similarity(F.col("candidate"), F.col("folder"))).where(F.col("score") >= least)
+    stated = F.broadcast(folders) if folders.count() <= MOST_FOLDERS else folders
+    scored = candidates.join(stated, F.lit(True)).withColumn("score", similarity(F.col("candidate"), F.col("folder"))).where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("candidate").orderBy(F.col("score").desc(), "folder"))
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k)

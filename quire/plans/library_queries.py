@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.ordering import natural_key
 from quire.operators import filters as flt
 from quire.operators import library as lib
+from quire.operators.ranking import with_place
 from quire.plans.fixtures import FILES, NATURAL, files
 
 QUERIES: dict = {}
@@ -38,8 +38,7 @@ SAVED = {
 
 
 def _ranked(df, keys):
-    order = lib.sort_order(keys)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return with_place(df, lib.sort_order(keys))
 
 
 @query(
@@ -48,7 +47,8 @@ def _ranked(df, keys):
     FROM files WHERE starts_with(path, '/root/') AND read_state = 'unread' AND priority IN (8, 9, 10) AND list_contains(subjects, 'Lang en')""",
 )
 def view(spark, sf_dir):
-    return _ranked(files(spark, sf_dir).where(VIEW.column()), [("date", False), ("name", False)]).select("doc_id", "name", "sort_date", "place")
+    shown = files(spark, sf_dir).where(VIEW.column()).select("doc_id", "name", "path", "sort_date")
+    return _ranked(shown, [("date", False), ("name", False)]).select("doc_id", "name", "sort_date", "place")
 
 
 _FACET_COLUMNS = "doc_id, read_state, date_uncertain, quality, priority, year, month, day, decade, color, array_to_string(subjects, '|') AS subjects, sort_date, date_is_speculative, display_date, array_to_string(topical_tags, '|') AS topical_tags"
@@ -152,7 +152,7 @@ def tag_cloud(spark, sf_dir):
 @query("agg3_all_subjects", f"SELECT subject, row_number() OVER (ORDER BY {NATURAL.format('subject')}, subject) AS place FROM (SELECT DISTINCT unnest(subjects) AS subject FROM files)")
 def all_subjects(spark, sf_dir):
     found = files(spark, sf_dir).select(F.explode("subjects").alias("subject")).distinct()
-    return found.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("subject")), "subject")).cast("long"))
+    return with_place(found, [natural_key(F.col("subject")), "subject"])
 
 
 @query(
@@ -222,13 +222,13 @@ def vocabulary(spark, sf_dir):
     f"SELECT doc_id, row_number() OVER (ORDER BY priority DESC NULLS LAST, read_state ASC NULLS LAST, {NATURAL.format('path')}, path) AS place FROM files",
 )
 def multi_key(spark, sf_dir):
-    return _ranked(files(spark, sf_dir), [("priority", True), ("read_state", False)]).select("doc_id", "place")
+    return _ranked(files(spark, sf_dir).select("doc_id", "path", "priority", "read_state"), [("priority", True), ("read_state", False)]).select("doc_id", "place")
 
 
 @query("srt2_notes_sort", f"SELECT doc_id, row_number() OVER (ORDER BY quality DESC NULLS LAST, {NATURAL.format('name')}, doc_id) AS place FROM files")
 def notes_sort(spark, sf_dir):
-    order = Window.orderBy(F.col("quality").desc_nulls_last(), natural_key(F.col("name")), "doc_id")
-    return files(spark, sf_dir).select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    rows = files(spark, sf_dir).select("doc_id", "quality", "name")
+    return with_place(rows, [F.col("quality").desc_nulls_last(), natural_key(F.col("name")), F.col("doc_id")]).select("doc_id", "place")
 
 
 @query("srt4_natural_key", f"SELECT doc_id, {NATURAL.format('name')} AS natural_name FROM files")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import fulltext as ft
+from quire.operators.ranking import with_place
 from quire.operators.sequence import occurrences
 from quire.session import table
 
@@ -81,12 +82,10 @@ def top(spark, sf_dir):
 
 @query("srt3_relevance_order", _bm25(READER, [(["thin"], True)], "SELECT d.doc_id, row_number() OVER (ORDER BY k ASC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS k FROM r) x ON x.doc_id = d.doc_id"))
 def relevance(spark, sf_dir):
-    from pyspark.sql import Window
-
     docs = corpus(spark, sf_dir)
     ranks = ft.search(docs, READER, "thin", "doc_id").select("doc_id", "rank")
-    order = Window.orderBy(F.col("rank").asc_nulls_last(), "doc_id")
-    return docs.select("doc_id").join(ranks, "doc_id", "left").select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    met = docs.select("doc_id").join(ranks, "doc_id", "left")
+    return with_place(met, [F.col("rank").asc_nulls_last(), F.col("doc_id")]).select("doc_id", "place")
 
 
 @query("fts1_index_search", _bm25(READER, [(["the"], False), (["src5"], False)], "SELECT doc_id, round(score, 6) AS score FROM r"))

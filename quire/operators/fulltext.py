@@ -28,8 +28,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
+    """Lower case without the marks of Latin letters; a text of ASCII only is not gone through for marks."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *_accents()))
 
 
 def tokens(text: Column) -> Column:

@@ -249,7 +249,7 @@ def test_simhash_of_odd_rows(odd, nothing):
     rows = simhash.classes(odd).collect()
     assert len(rows) == 10 and {r.first_id for r in rows if r.doc_id in (2, 3, 4)} == {2} and simhash.classes(nothing).count() == 0
     kept = simhash.keep_first(odd)
-    assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None, 8], key=str) or kept.count() <= 7
+    assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None, 8], key=str)
 
 
 # Pages

@@ -22,6 +22,8 @@ from quire.session import cut
 GRID = 4096
 #: Hex digits of the hash that part a source into blocks.
 BLOCK_DIGITS = 2
+#: Plans of so many blocks are broadcast (some 60 bytes each); larger ones meet the rows by shuffle.
+MOST_BLOCKS = 1 << 17
 
 
 def source_key(source: Column) -> Column:
@@ -119,7 +121,9 @@ def mix(
     n = word_count(F.col(text)) if tokens is None else tokens
     rows = docs.select(F.struct("*").alias("row"), source_key(F.col(source)).alias("source"), block_of(F.col(key)).alias("block"), n.cast("long").alias("tokens"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"))
     counted = docs.select(source_key(F.col(source)).alias("source"), block_of(F.col(key)).alias("block"), n.cast("long").alias("tokens"))
-    steps = plan(counted, max_repeats, target_entropy, budget_tokens)
+    steps = cut(plan(counted, max_repeats, target_entropy, budget_tokens))
+    if steps.count() <= MOST_BLOCKS:
+        steps = F.broadcast(steps)
     met = rows.join(steps, ["source", "block"])
     plain = met.where("take <> 'cut'").withColumn("times", F.col("passes") + F.when(F.col("take") == "all", 1).otherwise(0))
     within = Window.partitionBy("source", "block").orderBy(rank_hash("row", F.col("passes"), F.col("key")), "key", "tokens").rowsBetween(Window.unboundedPreceding, 0)

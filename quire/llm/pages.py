@@ -20,6 +20,8 @@ from quire.llm.text import whole
 from quire.session import cut
 
 BATCH_ROWS = 500
+#: Winning paths of so many bytes in all are broadcast; more meet the pages by shuffle.
+MOST_BYTES = 8 << 20
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,5 +237,6 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     paths = cut(host_paths(pages, url, page))
     own = {n: pages.schema[n].dataType.simpleString() for n in (key, url)}
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), whole(F.col(page)).alias("html"), host_of(F.col(url)).alias("host"))
-    met = by_counted_key(rows, paths, "host", "pages").select("page_id", "url", "html", "path")
+    small = (paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0) <= MOST_BYTES
+    met = (rows.join(F.broadcast(paths), "host") if small else by_counted_key(rows, paths, "host", "pages")).select("page_id", "url", "html", "path")
     return met.mapInArrow(_texts, f"page_id {own[key]}, url {own[url]}, text string, n_chars long")

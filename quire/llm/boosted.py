@@ -23,6 +23,7 @@ from quire.session import cut
 
 #: Most labelled rows that the trees are fitted on, those with the least hash of their id.
 SAMPLE = 20_000
+LOTS = 1 << 40
 BATCH_ROWS = 500
 THRESHOLD = 0.7
 BINS, DEPTH, TREES, RATE, RIDGE = 64, 4, 80, 0.15, 1.0
@@ -146,8 +147,11 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("body"))
     measured = cut(rows.mapInArrow(_measure, f"doc_id {own}, x array<double>"))
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    lot = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    drawn = measured.join(known, "doc_id").orderBy(lot, "doc_id").limit(sample).select("x", "y").toPandas()
+    labelled = cut(measured.join(known, "doc_id"))
+    # the least hashes, cut off a tenth above the place where the sample ends, so that no more than that reaches the driver
+    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(LOTS))
+    ends = LOTS * 1.1 * sample / max(1, labelled.count())
+    drawn = labelled.where(lot < int(min(LOTS, ends))).orderBy(lot, "doc_id").limit(sample).select("x", "y").toPandas()
     x = np.array(drawn["x"].tolist(), float).reshape(len(drawn), len(STATISTICS))
     trees = fit(x, (drawn["y"].to_numpy(float) > 0.5).astype(float))
 

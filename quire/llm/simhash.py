@@ -261,13 +261,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return by_counted_key(marked, known, "fp", "times").select("doc_id", "version", "fp", F.col("head.doc_id").alias("first_id"), F.col("head.version").alias("first_version"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, its least by id and text, with all columns of docs; of identical rows one stays."""
+def only(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs with an id and a hash of the text that firsts has (id, v); of identical rows one."""
     from pyspark.sql import Window
 
-    seen = classes(docs, key, text)
-    firsts = seen.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))).select(F.col("doc_id").alias("id"), F.col("version").alias("v")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(whole(F.col(text))).alias("w"))
     met = rows.join(firsts, F.col("k").eqNullSafe(F.col("id")) & (F.col("w") == F.col("v")), "left_semi")
     one = met.withColumn("nth", F.row_number().over(Window.partitionBy("k", "w").orderBy("k"))).where("nth = 1")
     return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, its least by id and text, with all columns of docs; of identical rows one stays."""
+    seen = classes(docs, key, text)
+    firsts = seen.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))).select(F.col("doc_id").alias("id"), F.col("version").alias("v")).distinct()
+    return only(docs, firsts, key, text)

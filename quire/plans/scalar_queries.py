@@ -116,7 +116,7 @@ def word_diff(spark, sf_dir):
     return d.select("conv_id", "turn", tx.word_diff("text", "other").alias("d")).select("conv_id", "turn", "d.*")
 
 
-RAW_COPY = "concat('  ', substr(text, 1, 40), '-', chr(10), substr(text, 41, 30), ' ', chr(13), chr(10), ' ', chr(13), chr(10), chr(9), substr(text, 71, 20), chr(10))"
+RAW_COPY = "concat('  ', substr(text, 1, 40), '-', chr(10), substr(text, 41, 30), ' ', chr(13), chr(10), ' ', chr(13), chr(10), chr(9), substr(text, 71), chr(10))"
 
 
 @query("fn14_clean_copied")
@@ -165,7 +165,7 @@ def run_fingerprint(spark, sf_dir):
 
 @query("fn24_extract_title")
 def titles(spark, sf_dir):
-    made = F.concat(F.lit("\n\n## **"), F.left("text", F.lit(30)), F.lit("** [link](x) "), F.substring("text", 31, 60))
+    made = F.concat(F.lit("\n\n## **"), F.left("text", F.lit(30)), F.lit("** [link](x) "), F.expr("substring(text, 31)"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.title_of(made).alias("title"))
 
 

@@ -120,8 +120,12 @@ def suggestions(vocabulary: DataFrame, typed: str, chosen: list[str], limit: int
 def controlled(proposals: DataFrame, vocabulary: DataFrame, limit: int = 6) -> DataFrame:
     """Proposed tags (id, pos, tag) in canonical spelling, first proposal of each, in order, cut to the limit.
 
-    The vocabulary (tag) is folded to lower case; of spellings that fold alike the least is canonical.
+    The vocabulary (tag) is folded to lower case; of spellings that fold alike the least is canonical. With an empty one
+    the first proposals stay as they are.
     """
+    if vocabulary.isEmpty():
+        ranked = proposals.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("pos", "tag")))
+        return ranked.where(F.col("place") <= limit).select("id", F.col("tag").alias("canonical"), F.col("place").cast(BIG).alias("place"))
     known = vocabulary.groupBy(F.lower("tag").alias("key")).agg(F.min("tag").alias("canonical"))
     met = proposals.withColumn("key", F.lower(F.trim("tag"))).join(known, "key").groupBy("id", "canonical").agg(F.min("pos").alias("pos"))
     ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("pos", "canonical")))

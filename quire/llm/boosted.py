@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.rules import STOP_WORDS
-from quire.llm.text import whole
+from quire.llm.text import slices, whole
 from quire.session import cut
 
 #: Most labelled rows that the trees are fitted on, those with the least hash of their id.
@@ -124,7 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         found = [statistics(t) for t in batch.column("body").to_pylist()]
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(found, pa.list_(pa.float64()))})
 
@@ -138,16 +138,15 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """doc_id, held_out, score and predicted of every row of docs.
 
     Null texts count as empty, and empty texts are scored like any other; labels that are null, and null ids, teach
-    nothing; repeated rows give repeated results. Only texts enter a score.
+    nothing; repeated rows give repeated results, and an id is drawn for the sample once however often it repeats; of ids
+    with one hash the lesser is drawn first. An empty table gives no rows; columns other than the key and the text are not
+    read, so their names are free; texts of any length are measured whole. Only texts enter a score.
     """
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     own = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("body"))
     measured = cut(rows.mapInArrow(_measure, f"doc_id {own}, x array<double>"))
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    labelled = cut(measured.join(known, "doc_id"))
+    labelled = cut(measured.join(known, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("x", "y"), F.xxhash64("x")).alias("r")).select("doc_id", "r.*"))
     # the least hashes, cut off a tenth above the place where the sample ends, so that no more than that reaches the driver
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(LOTS))
     ends = LOTS * 1.1 * sample / max(1, labelled.count())

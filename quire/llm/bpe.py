@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import whole
+from quire.llm.text import slices, whole
 
 # White space, and the pattern that cuts words.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -153,18 +153,16 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, the columns in carry and, if asked for, the ids.
 
     The driver reads the tokenizer's file and broadcasts it, a fixed size. Null and empty texts have no token; repeated
-    rows give repeated results; other columns are not read. A worker holds one batch of texts and a bounded word cache.
+    rows give repeated results; an empty table gives no rows; other columns are not read. A worker holds one batch of texts and a bounded word cache.
     """
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     with open(path, encoding="utf-8") as file:
         content = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(content.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             ids = [vocab.encode(t) for t in batch.column("body").to_pylist()]
             decoded = [sha(vocab.decode(x).encode("utf-8", "surrogatepass")) for x in ids]
             made = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array(map(sha, ids), pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}

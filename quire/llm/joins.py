@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with this share of all rows or more is joined by broadcast; there are at most as many such keys as its inverse.
-HOT_SHARE = 1 / 1000
+#: A key with so many rows is hot, and is joined by broadcast, if it also has this share of all rows. So no task gets more of
+#: one key than the greater of both, and there are at most as many hot keys as the inverse of the share.
+HOT_ROWS = 10_000
+HOT_SHARE = 1 / (1 << 17)
 
 
 def by_counted_key(rows: DataFrame, known: DataFrame, on: str, n: str) -> DataFrame:
     """rows joined to known, which has one row per key and says in n how many of rows have it.
 
-    Keys with a thousandth of the rows or more, a thousand at most, go by broadcast and never meet in a task; the others
-    are joined by shuffle. rows and known are read twice.
+    Hot keys go by broadcast and never meet in a task; the others are joined by shuffle. rows and known are read twice,
+    but where no key is hot the join is a plain one.
     """
-    total = known.agg(F.sum(n)).first()[0] or 0
-    hot = known.where(F.col(n) >= total * HOT_SHARE)
-    cold = known.where(F.col(n) < total * HOT_SHARE)
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on))
-
-
-def null_text(c: Column) -> Column:
-    """A key as text, null a value of its own."""
-    return F.coalesce(c.cast("string"), F.lit("null"))
+    seen = known.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    bound = max(HOT_ROWS, (seen["total"] or 0) * HOT_SHARE)
+    if (seen["most"] or 0) < bound:
+        return rows.join(known, on)
+    hot = known.where(F.col(n) >= bound)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(known.where(F.col(n) < bound), on))

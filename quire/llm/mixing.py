@@ -4,8 +4,9 @@ The weight of a source is its token share to the power alpha, normalised. alpha
 smallest that keeps every source within a limit of repetitions, or the largest whose weights reach a target entropy.
 The weights are realised as token budgets. A source's documents are dealt to blocks by a hash of the key; each pass
 over the source orders its blocks, and the documents in them, by hashes of the pass, and the last, partial pass takes
-whole blocks in that order and then documents of one cut block while they fit the budget. Only cut blocks need running
-sums, so a hot source is never held in one task.
+whole blocks in that order and then documents of one cut block while they fit the budget. Where a source is cut is one
+point in that order, found by sums over ever smaller parts of the hash's range, so no task holds a source or a block and
+every document is taken or left by itself.
 
 Without a total budget, budgets are the least at which every source is seen once: no document is dropped.
 """
@@ -22,6 +23,8 @@ from quire.session import cut
 GRID = 4096
 #: Hex digits of the hash that part a source into blocks.
 BLOCK_DIGITS = 2
+#: Further digits that part a cut block; only one such part of each source is ordered by rows.
+PART_DIGITS = 3
 #: Plans of so many blocks are broadcast (some 60 bytes each); larger ones meet the rows by shuffle.
 MOST_BLOCKS = 1 << 17
 
@@ -101,6 +104,29 @@ def plan(dealt: DataFrame, max_repeats: float | None = None, target_entropy: flo
     return ends.select("source", "block", "passes", F.when(F.col("rest") <= 0, "none").otherwise(take).alias("take"), (F.col("rest") - start).alias("left"))
 
 
+def cut_points(counted: DataFrame, steps: DataFrame) -> DataFrame:
+    """source and upto: a point (hash, key, tokens) in the order of the cut block up to which its documents fit.
+
+    counted: source, block, key, tokens. Equal keys of equal length go together. The sums of the parts of the hash's range
+    say in which part the budget ends; the rows of that part alone are put in order.
+    """
+    cuts = steps.where("take = 'cut'").select("source", "block", "passes", "left")  # one row a source at most
+    if cuts.count() <= MOST_BLOCKS:
+        cuts = F.broadcast(cuts)
+    rows = counted.join(cuts, ["source", "block"]).select("source", "left", "key", "tokens", rank_hash("row", F.col("passes"), F.col("key")).alias("h"))
+    rows = rows.withColumn("part", F.substring("h", 1, PART_DIGITS))
+    held = rows.groupBy("source", "left", "part").agg(F.sum("tokens").alias("held"))
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.withColumn("end", F.sum("held").over(order)).where("end > left")
+    ending = ends.groupBy("source").agg(F.min_by(F.struct("part", (F.col("end") - F.col("held")).alias("start")), "part").alias("p")).select("source", "p.part", "p.start")
+    alike = rows.join(ending, ["source", "part"]).groupBy("source", "part", "start", "left", "h", "key", "tokens").agg(F.sum("tokens").alias("held"))
+    order = Window.partitionBy("source").orderBy("h", "key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    fits = alike.withColumn("end", F.col("start") + F.sum("held").over(order)).where("end <= left")
+    last = fits.groupBy("source").agg(F.max(F.struct("h", "key", "tokens")).alias("last"))
+    none = F.struct(F.col("part").alias("h"), F.lit("").alias("key"), F.lit(0).cast("long").alias("tokens"))  # before every hash of the part
+    return ending.join(last, "source", "left").select("source", F.coalesce("last", none).alias("upto"))
+
+
 def mix(
     docs: DataFrame,
     max_repeats: float | None = 2.0,
@@ -114,21 +140,23 @@ def mix(
     """The realised mixture: each row of docs as `row`, once per pass that takes it, with tokens, pass, block and order_key.
 
     Sorting by source, pass, block_turn and order_key gives the permutation. Null sources are one source; null keys one
-    key; equal keys are taken or left together up to the cut. Texts without words cost nothing and are taken in every
-    pass of their block. An empty table gives an empty mixture. docs is read twice (sums, then rows) and must give the
-    same rows both times; columns of any name go along inside `row`.
+    key; equal keys of equal length are taken or left together. Texts without words cost nothing and are taken in every
+    pass of their block. An empty table gives an empty mixture. docs is read twice (keys and lengths, which are written
+    to the shared folder, then rows) and must give the same rows both times; texts of any length are only counted and
+    carried, and columns of any name go along inside `row`.
     """
     n = word_count(F.col(text)) if tokens is None else tokens
-    rows = docs.select(F.struct("*").alias("row"), source_key(F.col(source)).alias("source"), block_of(F.col(key)).alias("block"), n.cast("long").alias("tokens"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"))
-    counted = docs.select(source_key(F.col(source)).alias("source"), block_of(F.col(key)).alias("block"), n.cast("long").alias("tokens"))
+    known = [source_key(F.col(source)).alias("source"), block_of(F.col(key)).alias("block"), n.cast("long").alias("tokens"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key")]
+    counted = cut(docs.select(*known))
     steps = cut(plan(counted, max_repeats, target_entropy, budget_tokens))
+    upto = cut(cut_points(counted, steps))
+    steps = steps.join(upto, "source", "left")
     if steps.count() <= MOST_BLOCKS:
         steps = F.broadcast(steps)
-    met = rows.join(steps, ["source", "block"])
-    plain = met.where("take <> 'cut'").withColumn("times", F.col("passes") + F.when(F.col("take") == "all", 1).otherwise(0))
-    within = Window.partitionBy("source", "block").orderBy(rank_hash("row", F.col("passes"), F.col("key")), "key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    split = met.where("take = 'cut'").withColumn("times", F.col("passes") + F.when(F.sum("tokens").over(within) <= F.col("left"), 1).otherwise(0))
-    every = plain.unionByName(split).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    met = docs.select(F.struct("*").alias("row"), *known).join(steps, ["source", "block"])
+    fits = F.struct(rank_hash("row", F.col("passes"), F.col("key")).alias("h"), "key", "tokens") <= F.col("upto")
+    once_more = (F.col("take") == "all") | ((F.col("take") == "cut") & F.coalesce(fits, F.lit(False)))
+    every = met.withColumn("times", F.col("passes") + F.when(once_more, 1).otherwise(0)).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     return every.select(
         "row",
         "tokens",

@@ -84,7 +84,7 @@ g AS (SELECT s, tt, CASE WHEN tt > 0 THEN greatest(tt, floor(top * pow(tt / top,
 p AS (SELECT s, CASE WHEN tt > 0 THEN budget // tt ELSE 1 END AS passes, CASE WHEN tt > 0 THEN budget % tt ELSE 0 END AS rest FROM g),
 o AS (SELECT b.s, block, passes, rest, bt, sum(bt) OVER (PARTITION BY b.s ORDER BY md5('turn|' || passes || '|' || b.s || '|' || block), block) AS fin FROM b JOIN p ON b.s = p.s),
 c AS (SELECT s, block, passes, CASE WHEN rest <= 0 THEN 'none' WHEN fin <= rest THEN 'all' WHEN fin - bt < rest THEN 'cut' ELSE 'none' END AS take, rest - (fin - bt) AS room FROM o),
-x AS (SELECT d.*, passes, take, room, sum(tokens) OVER (PARTITION BY d.s, d.block ORDER BY md5('row|' || passes || '|' || k), k, tokens ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN c ON d.s = c.s AND d.block = c.block),
+x AS (SELECT d.*, passes, take, room, sum(tokens) OVER (PARTITION BY d.s, d.block ORDER BY md5('row|' || passes || '|' || k), k, tokens RANGE UNBOUNDED PRECEDING) AS run FROM d JOIN c ON d.s = c.s AND d.block = c.block),
 y AS (SELECT *, unnest(range(passes + CASE WHEN take = 'all' OR (take = 'cut' AND run <= room) THEN 1 ELSE 0 END)) AS pass FROM x)
 SELECT doc_id, source, tokens, pass::BIGINT AS pass, block, md5('turn|' || pass || '|' || s || '|' || block) AS block_turn, md5('row|' || pass || '|' || k) AS order_key FROM y
 """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import boosted, bpe, lines, mixing, oracles, pages, rules, secret_scan, shards, simhash, sketches
+from quire.llm.text import small_batches
 from quire.session import cut, table
 
 SHARDS = 8
@@ -14,6 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
@@ -26,8 +28,7 @@ def op2_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    narrow = cut(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("tokens")))
+    narrow = cut(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("tokens")))
     mixed = mixing.mix(narrow, max_repeats=2.0, tokens=F.col("tokens"))
     return mixed.select("row.doc_id", "row.source", "tokens", F.col("pass").cast("long").alias("pass"), "block", "block_turn", "order_key")
 
@@ -56,6 +57,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 

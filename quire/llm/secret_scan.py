@@ -1,18 +1,23 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-A run of at least 20 letters, digits and + / = _ - with a digit among them is a candidate. Its score is the sum over
-neighbouring characters of log P(next | last) under the model of random strings, less that under the model of
-identifiers; a score of MIN_SCORE or more is a span of kind `random`, unless a pattern's span overlaps it.
+A run of at least LEAST_RUN letters, digits and + / = _ - is a candidate. Its score is the sum over neighbouring characters
+of log P(next | last) under the model of random strings, less that under the model of identifiers. A sum of MIN_SCORE or
+more that is MIN_MEAN or more for each pair is a span of kind `random`, unless a pattern's span overlaps it. Both models
+are smoothed towards one background, so what neither has seen says nothing. They are trained from labelled samples: the
+caller's, or by default ones made by rule, of which the identifiers are names, paths, slugs, file names with dates, UUIDs,
+numbers, alphabets in order and repeated characters.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.text import let, whole
+from quire.session import cut
 
 # The patterns of the three base kinds, and the least length of what each has to match.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -21,8 +26,11 @@ HEX = "[0-9a-f]{24,}"
 LEAST_VALUE = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
-CANDIDATE = "(?<![\\p{L}\\p{N}+/=_-])[A-Za-z0-9+/=_-]{20,}(?![\\p{L}\\p{N}])"
-MIN_SCORE = 8.0
+LEAST_RUN = 16
+CANDIDATE = f"(?<![\\\\p{{L}}\\\\p{{N}}+/=_-])[A-Za-z0-9+/=_-]{{{LEAST_RUN},}}(?![\\\\p{{L}}\\\\p{{N}}])"
+MIN_SCORE, MIN_MEAN = 8.0, 1.05
+#: Weight of the background in a model, in pairs for each last character.
+SMOOTHING = 20.0
 KINDS = ("assign", "access", "hex", "random")
 
 # Words that identifiers are made of, in the training samples.
@@ -33,46 +41,86 @@ PARTS = (
     "version update create delete select insert buffer cache queue task worker thread process default parent child "
     "author title folder archive record document segment collection source target input output"
 ).split()
-SAMPLES = 20_000
-
-
-def samples(spark: SparkSession) -> DataFrame:
-    """Labelled samples by rule: label (random or identifier) and text."""
-    n = F.col("id")
-    digest = F.sha2(n.cast("string"), 256)
-    pick = lambda k: F.element_at(F.lit(PARTS), (F.pmod(F.xxhash64(n, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
-    upper = lambda c: F.initcap(c)
-    number = F.pmod(F.xxhash64(n, F.lit("n")), F.lit(100)).cast("string")
-    random = F.when(n % 3 == 0, digest).when(n % 3 == 1, F.translate(F.base64(F.unhex(digest)), "\n", "")).otherwise(F.upper(F.substring(digest, 1, 40)))
-    identifier = (
-        F.when(n % 4 == 0, F.concat_ws("_", pick(1), pick(2), pick(3), number))
-        .when(n % 4 == 1, F.concat(pick(1), upper(pick(2)), upper(pick(3)), number))
-        .when(n % 4 == 2, F.concat_ws("-", pick(1), pick(2), pick(3), number))
-        .otherwise(F.concat_ws("/", pick(1), pick(2), pick(3), F.concat(pick(4), number)))
-    )
-    ids = spark.range(SAMPLES)
-    return ids.select(F.lit("random").alias("label"), random.alias("text")).unionByName(ids.select(F.lit("identifier").alias("label"), identifier.alias("text")))
+ONSETS = "b br c ch d dr f fl g gr h k l m n p ph pl pr qu r s sch sh sp st str t th tr v w z".split()
+NUCLEI = "a e i o u ai au ea ee ei ie io ou".split()
+CODAS = ["", "", "", "l", "m", "n", "nd", "ng", "r", "rt", "s", "st", "t", "tion"]
+SAMPLES = 10_000
+
+
+def samples(spark: SparkSession, seed: str = "train", count: int = SAMPLES) -> DataFrame:
+    """Labelled samples by rule, twice count: label (random or identifier), shape and text. Another seed makes other ones."""
+    lot = lambda k, size: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(size)).cast("int")
+    pick = lambda k, values: F.element_at(F.lit(values), lot(k, len(values)) + 1)
+    made = {f"part{k}": pick(f"part{k}", PARTS) for k in range(5)}
+    made |= {f"syllable{k}": F.concat(pick(f"o{k}", ONSETS), pick(f"n{k}", NUCLEI), pick(f"c{k}", CODAS)) for k in range(10)}
+    made |= {"digest": F.sha2(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")), 512), "decimal": F.concat(*(F.lpad(lot(f"d{k}", 10**6).cast("string"), 6, "0") for k in range(5)))}
+    made |= {"many": F.expr(f"repeat(substring('{ALPHABET}', pmod(xxhash64(id, '{seed}', 'ch'), {len(ALPHABET)}) + 1, 1), pmod(xxhash64(id, '{seed}', 'rep'), 30) + 16)")}
+    drawn = cut(spark.range(count).select("id", *(c.alias(name) for name, c in made.items())))
+
+    word = lambda k: F.when(lot(f"kind{k}", 2) == 0, F.col(f"part{k}")).when(lot(f"kind{k}", 2) == lot(f"long{k}", 2), F.col(f"syllable{k}")).otherwise(F.concat(f"syllable{k}", f"syllable{k + 5}"))
+    drawn = drawn.select("*", *(word(k).alias(f"w{k}") for k in range(5)), F.translate(F.base64(F.unhex("digest")), "\r\n", "").alias("base64"))
+    w = [F.col(f"w{k}") for k in range(5)]
+    number = lambda k, size: lot(k, size).cast("string")
+    often = lambda k, c: F.when(lot(k, 2) == 0, c)
+    cut_at = lambda text, lo, hi: F.substring(text, F.lit(1), lot("cut", hi - lo + 1) + lo)
+    swapped = lambda old, new: F.translate("base64", old, new)
+    date = lambda sep: F.concat_ws(sep, 1990 + lot("y", 40), F.lpad((lot("m", 12) + 1).cast("string"), 2, "0"), F.lpad((lot("d", 28) + 1).cast("string"), 2, "0"))
+    joined = lambda sep: F.concat_ws(sep, w[0], w[1], w[2], often("four", w[3]), often("five", w[4]), often("num", number("nn", 10_000)))
+    random = {
+        "base64": cut_at(F.col("base64"), 20, 64),
+        "urlsafe": cut_at(swapped("+/=", "-_"), 20, 64),
+        "base62": cut_at(swapped("+/=", "xR"), 18, 44),
+        "base32": cut_at(F.translate(F.upper("base64"), "0189+/=", "GXQZMK"), 20, 52),
+        "base36": cut_at(F.lower(swapped("+/=", "q7")), 20, 44),
+        "letters": cut_at(swapped("0123456789+/=", "kQzXvJwYpLGb"), 20, 44),
+        "upper hex": cut_at(F.upper("digest"), 24, 64),
+    }
+    identifier = {
+        "snake": joined("_"),
+        "kebab": joined("-"),
+        "path": joined("/"),
+        "camel": F.concat(w[0], *map(F.initcap, w[1:4]), F.coalesce(often("num", number("nn", 1000)), F.lit(""))),
+        "title": F.concat(*map(F.initcap, w[:4])),
+        "upper": F.upper(joined("_")),
+        "word": F.concat(*(f"syllable{k}" for k in range(6))),
+        "dated": F.concat_ws("_", F.upper(w[0]), date(""), F.lpad(number("t", 240_000), 6, "0"), often("s", F.upper(w[1])), often("s2", F.upper(w[2]))),
+        "dated slug": F.concat_ws("-", date("-"), w[0], w[1], often("s", w[2]), often("v", F.concat(F.lit("v"), number("vv", 10)))),
+        "uuid": F.concat_ws("-", *(F.substring("digest", a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
+        "number": F.substring(F.col("decimal"), F.lit(1), lot("cut", 14) + 16),
+        "padded": F.concat(F.rpad(F.lit(""), lot("pad", 18) + 14, F.lit("0")), number("nn", 1000)),
+        "repeated": F.concat("many", F.coalesce(often("tail", number("nn", 100)), F.lit(""))),
+        "in order": F.substring(F.lit(ALPHABET * 2), lot("from", 64) + 1, lot("cut", 30) + 18),
+        "assigned": F.concat(w[0], F.lit("="), w[1], F.lit("/"), w[2], F.lit("="), number("nn", 10_000)),
+    }
+
+    def labelled(label: str, shapes: dict[str, Column]) -> DataFrame:
+        nth = F.pmod(F.col("id"), F.lit(len(shapes)))
+        chosen = F.coalesce(*(F.when(nth == k, text) for k, text in enumerate(shapes.values())))
+        return drawn.select(F.lit(label).alias("label"), F.element_at(F.lit(list(shapes)), (nth + 1).cast("int")).alias("shape"), chosen.alias("text"))
+
+    return labelled("random", random).unionByName(labelled("identifier", identifier))
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, by place in ALPHABET, last * 67 + next; add-one smoothed.
+    """Log-likelihood ratios of character pairs, by place in ALPHABET, last * 67 + next.
 
-    The table has a fixed size, 67 * 67, whatever the number of samples; characters outside the alphabet are skipped.
+    Each model's rows are smoothed by SMOOTHING pairs of the background, the two labels' characters in equal parts. The
+    table has a fixed size, 67 * 67, whatever the number of samples; characters outside the alphabet are skipped.
     """
     width = len(ALPHABET)
     place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.struct(place(F.substring(F.col("text"), i, F.lit(1))).alias("a"), place(F.substring(F.col("text"), i + 1, F.lit(1))).alias("b")))).alias("p"))
     counted = pairs.where("p.a >= 0 and p.b >= 0").groupBy("label", "p.a", "p.b").count().collect()  # at most 2 * 67 * 67 rows
-    import math
-
-    tables = {}
-    for label in ("random", "identifier"):
-        own = {(r["a"], r["b"]): r["count"] for r in counted if r["label"] == label}
-        tables[label] = []
-        for a in range(width):
-            row = [own.get((a, b), 0) + 1 for b in range(width)]
-            tables[label] += [math.log(x / sum(row)) for x in row]
-    return [r - i for r, i in zip(tables["random"], tables["identifier"], strict=True)]
+    held = {label: [[0.0] * width for _ in range(width)] for label in ("random", "identifier")}
+    for r in counted:
+        held[r["label"]][r["a"]][r["b"]] = float(r["count"])
+    background = [1.0 / width / 10] * width  # a tenth uniform
+    for rows in held.values():
+        total = sum(map(sum, rows)) or 1.0
+        background = [x + 0.45 * sum(row[b] for row in rows) / total for b, x in enumerate(background)]
+    scale = sum(background)
+    log_p = {label: [[math.log((x + SMOOTHING * background[b] / scale) / (sum(row) + SMOOTHING)) for b, x in enumerate(row)] for row in rows] for label, rows in held.items()}
+    return [log_p["random"][a][b] - log_p["identifier"][a][b] for a in range(width) for b in range(width)]
 
 
 @functools.cache
@@ -99,6 +147,11 @@ def score(token: Column, model: list[float]) -> Column:
     )
 
 
+def is_random(token: Column, model: list[float]) -> Column:
+    """Whether a candidate is likelier a random string than an identifier, by enough in all and on average."""
+    return let(score(token, model), lambda s: (s >= MIN_SCORE) & (s >= MIN_MEAN * (F.length(token) - 1)))
+
+
 def spans(text: Column, pattern: str, order: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost, non-overlapping matches as structs (start, kind, end) in code points; those whose group is shorter than least are dropped.
 
@@ -152,7 +205,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: list[f
         known,
         lambda ks: F.filter(
             "candidates",
-            lambda s: ~F.exists(ks, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])) & token(s).rlike("[0-9]") & (score(token(s), model) >= MIN_SCORE),
+            lambda s: ~F.exists(ks, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])) & is_random(token(s), model),
         ),
     )
     found = base.select("doc_id", "assign", "access", "hex", F.when(F.size("candidates") > 0, added).otherwise(F.col("candidates")).alias("random"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.joins import by_counted_key
-from quire.llm.text import whole
+from quire.llm.text import slices, whole
 from quire.session import cut
 
 SHINGLE = 4
@@ -35,7 +35,7 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 CELL = 2048
 LEAF = 32
 FANOUT = 8
-#: Rows that a Python worker gets at once; texts can be long.
+#: Rows that a Python worker goes through at once; texts can be long.
 BATCH_ROWS = 1000
 
 
@@ -60,7 +60,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         fp = np.fromiter(map(fingerprint, batch.column("body").to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "fp": pa.array(fp.view(np.int64))})
 
@@ -218,16 +218,17 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of an edge with the least node of its component, by large and small stars until nothing changes.
 
-    Every round is written to the shared folder; only two sums reach the driver.
+    Every round is written to the shared folder; only sums reach the driver. Hubs are found by their degrees and meet their
+    neighbours by broadcast.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = by_counted_key(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # few rows each: larger nodes point to least ones
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where("u <> v").distinct())
         now = state(edges)
@@ -241,11 +242,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, version (hash of the text), fp, and first_id and first_version: the least row of the component.
 
     Null texts count as empty; texts without words have fingerprint zero and link like any other; null ids come last;
-    repeated rows share a component; an empty table gives no rows; other columns are not read.
+    repeated rows share a component; an empty table gives no rows; other columns are not read. Long texts are hashed whole,
+    65,536 shingles at a time.
     """
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     body = whole(F.col(text))
     own = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("body"))
@@ -253,16 +252,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version"))
     distinct = cut(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), first.alias("first")))
     roots = components(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "times", "first", F.coalesce("root", "fp").alias("root"))
-    heads = placed.where("root <> fp").groupBy("root").agg(F.min("first").alias("head"))
-    known = placed.join(heads, "root", "left").select("root", "fp", "times", F.coalesce(F.least("first", "head"), "first").alias("first"))
-    heads = known.where("root = fp").select(F.col("root"), F.col("first").alias("head"))
-    known = cut(known.join(heads, "root").select("fp", "times", "head"))
+    linked = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("root", "fp", "times", "first"))  # all but the roots
+    sizes = linked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("least"))
+    heads = cut(sizes.join(distinct.select(F.col("fp").alias("root"), "first"), "root").select("root", "size", F.least("least", "first").alias("head")))
+    members = by_counted_key(linked, heads, "root", "size").select("fp", "times", "head")
+    others = distinct.join(linked.select("fp"), "fp", "left_anti").join(heads.select(F.col("root").alias("fp"), "head"), "fp", "left").select("fp", "times", F.coalesce("head", "first").alias("head"))
+    known = cut(members.unionByName(others))
     return by_counted_key(marked, known, "fp", "times").select("doc_id", "version", "fp", F.col("head.doc_id").alias("first_id"), F.col("head.version").alias("first_version"))
 
 
 def only(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of docs with an id and a hash of the text that firsts has (id, v); of identical rows one."""
+    """The rows of docs with an id and a hash of the text that firsts has (id, v); of rows that share both one.
+
+    Rows that share an id and a text meet in one task; ids are the keys of docs, so these are few.
+    """
     from pyspark.sql import Window
 
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(whole(F.col(text))).alias("w"))
@@ -272,7 +275,10 @@ def only(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, its least by id and text, with all columns of docs; of identical rows one stays."""
+    """One row of each component, its least by id and text, with all columns of docs; of identical rows one stays.
+
+    Null and empty texts are one component; null ids come last; an empty table gives no rows; clashing columns go along.
+    """
     seen = classes(docs, key, text)
     firsts = seen.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))).select(F.col("doc_id").alias("id"), F.col("version").alias("v")).distinct()
     return only(docs, firsts, key, text)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -40,3 +43,16 @@ def shingle_hashes(ws: Column, n: int) -> Column:
 def unit_hash(*parts: Column) -> Column:
     """A number in (0, 1) from 52 bits of an MD5 of the parts; every SQL engine gives the same one."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what a worker makes of each stays small. Spark bounds a batch by its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """For the queries and the pipeline, which own their session: fewer rows at a time between Spark and Python, for less memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

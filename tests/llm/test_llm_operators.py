@@ -4,12 +4,14 @@ import collections
 import hashlib
 import re
 
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import boosted, bpe, lines, mixing, pages, queries, rules, secret_scan, shards, simhash, sketches
+from quire.llm import boosted, bpe, joins, lines, mixing, pages, queries, rules, secret_scan, shards, simhash, sketches
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,28 +48,47 @@ def test_weights_set_the_shares(spark):
 # Sketches
 
 
-def sketch(text):
+def chained(run):
+    x = 42
+    for w in run:
+        x = xxhash.xxh64(w.encode(), seed=x).intdigest()
+    return signed(x)
+
+
+def all_hashes(text):
     ws = WORD.findall(text)
+    return {chained(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) > 4 else {chained([" ".join(ws)])} if ws else set()
 
-    def chained(run):
-        x = 42
-        for w in run:
-            x = xxhash.xxh64(w.encode(), seed=x).intdigest()
-        return signed(x)
 
-    hashes = {chained(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) > 4 else {chained([" ".join(ws)])} if ws else set()
-    return {h for h in hashes if h < -(1 << 63) + (1 << 64) // sketches.SCALE} or ({min(hashes)} if hashes else set())
+def under(hashes):
+    return {h for h in hashes if h < -(1 << 63) + (1 << 64) // sketches.SCALE}
+
+
+def sketch(text):
+    """The scale and the hashes."""
+    hashes = all_hashes(text)
+    return (1, hashes) if len(hashes) <= sketches.KEEP_ALL or not under(hashes) else (sketches.SCALE, under(hashes))
+
+
+def common(a, b):
+    return (a[1], b[1]) if a[0] == b[0] else (under(a[1]), under(b[1]))
+
+
+def like(a, b):
+    x, y = common(a, b)
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def check_sketches(found, rows):
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, (doc, text) in enumerate(rows):
         after, q = rows[(i + 1) % len(rows)][1], len(text) // 4
         edited = text[: len(text) - q] + after[:q]
         r, own = found[doc], sketch(text)
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == ",".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(own))
+        assert r.fingerprint == (f"{own[0]}:" + ",".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(own[1])) if own[1] else "")
         assert r.near_edited == pytest.approx(like(own, sketch(edited))) and r.near_next == pytest.approx(like(own, sketch(after)))
+        x, y = common(own, sketch(edited))
+        assert r.contained_in_edited == (pytest.approx(len(x & y) / len(x)) if x else None if own[1] else 1.0)
 
 
 def test_sketches_equal_brute_force(spark, texts, monkeypatch):
@@ -78,18 +99,30 @@ def test_sketches_equal_brute_force(spark, texts, monkeypatch):
 
 
 def test_sketches_merge(spark):
-    df = spark.createDataFrame([("a b c d e f", "e f g h i j k l m n o p q r s t u v w x y z"), ("", "one two"), ("p q", "p q")], "a string, b string")
-    both = df.select(sketches.merge(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("m"), "a", "b").collect()
-    for r in both:
-        a, b = sketch(r.a), sketch(r.b)
-        low = {h for h in a | b if h < -(1 << 63) + (1 << 64) // sketches.SCALE}
-        assert set(r.m) == (low or {min(a | b)})
+    ws = [f"w{i}" for i in range(300)]
+    texts = ["a b c d e f", "e f g h i j k l m n o p q r s t u v w x y z", "", "one two", " ".join(ws), " ".join(ws[:60]), " ".join(ws[30:110]), " ".join(ws[200:262])]
+    pairs = [(a, b) for a in texts for b in texts]
+    made = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sketches.merge(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("m"))
+    for r in made.collect():
+        hashes = all_hashes(r.a) | all_hashes(r.b)
+        want = (1, hashes) if len(hashes) <= sketches.KEEP_ALL or not under(hashes) else (sketches.SCALE, under(hashes))
+        assert (r.m.scale, set(r.m.hashes)) == want and list(r.m.hashes) == sorted(want[1])
+
+
+def test_short_texts_are_contained_in_a_long_one(spark):
+    ws = [f"w{i * 7919 % 5003}" for i in range(400)]
+    rows = [(" ".join(ws[i : i + 8]), " ".join(ws)) for i in range(0, 392, 2)]
+    got = spark.createDataFrame(rows, "a string, b string").select(sketches.containment(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("c")).agg(F.avg("c").alias("mean"), F.count("c").alias("n")).first()
+    assert got["mean"] == pytest.approx(1.0, abs=0.05) and got["n"] > 50  # the rest have no estimate
 
 
-def test_sketches_of_odd_rows(odd, nothing):
+def test_sketches_of_odd_rows(odd, nothing, spark):
     rows = sketches.compare(odd).collect()
     assert len(rows) == 10 and {r.fingerprint for r in rows if r.doc_id in (2, 3, 4)} == {""}
     assert sketches.compare(nothing).count() == 0
+    named = spark.createDataFrame([(f"k{i:03}", f"text number {i} has these words") for i in range(50)], "doc_id string, text string")
+    got = {r.doc_id: r for r in sketches.compare(named).collect()}
+    check_sketches(got, sorted((r.doc_id, r.text) for r in named.collect()))
 
 
 # Mixing
@@ -110,6 +143,29 @@ def test_mixture_keeps_documents_and_limits_repeats(spark, odd, nothing):
     assert mixing.mix(odd).count() >= 10 and mixing.mix(nothing).count() == 0
 
 
+def test_cut_block_is_filled_up_to_the_budget(spark):
+    """What the partial pass takes, by a plain running sum over each source in the order of the mixture."""
+    rows = [(i, "w " * (i * 37 % 23), "ab"[i % 3 == 0]) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repeats=None, budget_tokens=9000).select("row.doc_id", "row.source", "pass").collect()
+    md5 = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest()
+    for source in "ab":
+        own = [(i, i * 37 % 23, md5("block", i)[: mixing.BLOCK_DIGITS]) for i, _, s in rows if s == source]
+        total = {s: sum(i * 37 % 23 for i, _, t in rows if t == s) for s in "ab"}
+        budget, taken, used = int(total[source] / sum(total.values()) * 9000.0), set(), 0
+        for block in sorted({b for _, _, b in own}, key=lambda b: (md5("turn", 0, "=" + source, b), b)):
+            inside = sorted((md5("row", 0, i), str(i), n, i) for i, n, b in own if b == block)
+            for _, _, n, i in inside:
+                if used + n > budget:
+                    break
+                used += n
+                taken.add(i)
+            else:
+                if used < budget:
+                    continue
+            break
+        assert {r.doc_id for r in got if r.source == source} == taken and budget - used < 23
+
+
 def test_entropy_target_and_budget(spark):
     df = spark.createDataFrame([(i, "w", "ab"[i % 10 == 0]) for i in range(5000)], "doc_id long, text string, source string")
     got = collections.Counter(r.source for r in mixing.mix(df, max_repeats=None, target_entropy=0.6, budget_tokens=1000).select("row.source").collect())
@@ -279,17 +335,90 @@ def test_host_paths_outvote_a_page(spark):
     assert {r.page_id: r.text for r in found}[9] == "tiny" and sum(r.page_id == 10 and r.text == "" for r in found) == 2
 
 
-def test_articles_of_the_generated_pages(spark):
+class Plain(HTMLParser):
+    """The text of a page by a plain walk: what goes is known by tag or class alone, blocks end at any tag of a paragraph."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.line, self.hidden = [], [], []
+
+    def end_block(self):
+        if text := " ".join("".join(self.line).split()):
+            self.blocks.append(text)
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("nav", "footer", "head", "script", "style") or (tag == "div" and dict(attrs).get("class") == "ad"):
+            self.hidden.append(tag)
+        if tag in ("p", "h1", "article", "div", "body"):
+            self.end_block()
+        if tag == "br":
+            self.line.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
+        if tag in ("p", "h1", "article", "div", "body"):
+            self.end_block()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.line.append(data)
+
+
+def test_every_generated_page_equals_a_plain_walk(spark):
     found = queries.op8_pages(spark, SF).collect()
-    html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(found) == len(rows)
     for r in found:
-        inner = re.search(r"<article>(.*?)</article>", html[r.page_id], re.S)
-        if inner:
-            import html as entities
+        walk = Plain()
+        walk.feed(rows[r.page_id].html)
+        walk.close()
+        walk.end_block()
+        assert (r.url, r.text, r.n_chars) == (rows[r.page_id].url, "\n\n".join(walk.blocks), len(r.text))
+
+
+ARTICLE = "<h1>T</h1><p>" + "word " * 180 + "</p>"
+
 
-            parts = [" ".join(entities.unescape(re.sub(r"<(?!/?(p|h1)\b)[^>]*>", " ", x) if "<br" in x else re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)[^>]*>", inner[1])]
-            assert r.text == "\n\n".join(re.sub("<[^>]*>", "", p).strip() for p in parts if re.sub("<[^>]*>", "", p).strip())
-        assert r.n_chars == len(r.text)
+@pytest.mark.parametrize("open_tag", ['<div class="content with-sidebar">', '<div class="no-sidebar">', '<div id="page" class="has-header">', '<div class="social-history">', '<div class="search-results">', '<div class="right-sidebar">', "<form id=f>"])
+def test_wrappers_named_like_boilerplate_keep_the_article(open_tag):
+    page = f"<body><nav>a b c</nav>{open_tag}{ARTICLE}<div class='comments'><p>one says</p></div><div class=ad>buy</div><p>end</p></{open_tag[1:4].rstrip()}><footer>f</footer>"
+    assert pages.extract(page, None) == "T\n\n" + ("word " * 180).strip() + "\n\nend"
+
+
+def test_titles_formulas_and_fallbacks_stay():
+    assert pages.extract("<main><header><h1>T</h1></header><p>a <math><mi>x</mi></math> b<noscript>c</noscript></p></main>", None) == "T\n\na x bc"
+    assert pages.extract(f"<body><div class='article-header'><h1>Title</h1></div><div class=b><p>{'word ' * 99}</p></div>", None).startswith("Title\n\nword")
+    assert pages.extract("<body><div class=comments><p>all there is</p></div>", None) == "all there is"
+    assert pages.extract("<p>a<iframe>b<p>c", None) == "ab\n\nc"
+    long_talk = "<body><div class=main><p>short article</p></div><div class=comments><p>" + "talk " * 500 + "</p></div>"
+    assert pages.extract(long_talk, None) == "short article"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div><p>x", "<div class=ad>x<div>y", "<div><li>x", "<p>x</span></b></div>"])
+def test_deep_pages_take_time_and_memory_in_proportion(unit):
+    import time
+    import tracemalloc
+
+    def seconds(n):
+        began = time.perf_counter()
+        pages.extract(unit * n, None)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(5_000), 0.02)
+    tracemalloc.start()
+    pages.extract(unit * 100_000, None)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, None, None), (1, None, None), (None, "http://h/x", ""), (2, "http://h/y", "<p>a</p>" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "path": F.lit("p"), "text": F.lit("t")})
+    got = sorted(((r.page_id or 0, len(r.text)) for r in pages.main_text(df).collect()))
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 20_000 * 3 - 2)] and pages.main_text(df.limit(0)).count() == 0
 
 
 # Classifier
@@ -314,6 +443,54 @@ def test_trees_walk_as_they_were_fitted():
     assert boosted.fit(np.empty((0, 5)), np.empty(0)).score(x[:3]) == pytest.approx([0.5] * 3)
 
 
+def walked(trees, row):
+    """A score by one row and one node at a time."""
+    raw = trees.base
+    for feature, threshold, leaf in zip(trees.feature.tolist(), trees.threshold.tolist(), trees.leaf.tolist()):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+        raw += leaf[at - len(feature)]
+    return 1 / (1 + np.exp(-raw))
+
+
+def best_split(x, g, h):
+    """The greatest gain over all features and bin edges, by loops over rows."""
+    gains = []
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + boosted.RIDGE)
+    everything = np.ones(len(x), bool)
+    for k in range(x.shape[1]):
+        for edge in np.unique(np.quantile(x[:, k], np.linspace(0, 1, boosted.BINS + 1)[1:-1])):
+            right = x[:, k] > edge
+            gains.append((score(right) + score(~right) - score(everything), k, edge))
+    return max(gains, key=lambda z: z[0])
+
+
+def test_first_splits_are_those_of_most_gain(monkeypatch):
+    monkeypatch.setattr(boosted, "TREES", 2)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    y = (x[:, 1] + 0.5 * x[:, 2] + rng.normal(size=400) > 0.2).astype(float)
+    trees = boosted.fit(x, y)
+    for t in range(2):  # the second tree fits what the first one left
+        p = np.full(len(y), (y.sum() + 1) / (len(y) + 2)) if t == 0 else np.array([walked(boosted.Trees(trees.feature[:1], trees.threshold[:1], trees.leaf[:1], trees.base), r) for r in x])
+        gain, _, _ = best_split(x, y - p, p * (1 - p))
+        right = x[:, trees.feature[t, 0]] > trees.threshold[t, 0]
+        g, h = y - p, p * (1 - p)
+        value = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + boosted.RIDGE)
+        assert value(right) + value(~right) - value(np.ones(len(x), bool)) == pytest.approx(gain)
+
+
+def test_scores_of_the_query_are_walked_node_by_node(spark, texts, monkeypatch):
+    kept = []
+    fit = boosted.fit
+    monkeypatch.setattr(boosted, "fit", lambda x, y: kept.append(fit(x, y)) or kept[-1])
+    got = {r.doc_id: r for r in queries.op9_quality(spark, SF).collect()}
+    assert len(got) == len(texts)
+    for doc, text in texts:
+        assert got[doc].score == pytest.approx(walked(kept[0], boosted.statistics(text))) and got[doc].predicted == (got[doc].score >= boosted.THRESHOLD)
+
+
 # Secrets
 
 BASE = {
@@ -334,22 +511,71 @@ TRICKY = [
 ]
 
 
+def brute_random(text, known, model):
+    """Spans of the method: candidates clear of the base spans, scored by a plain loop."""
+    found = []
+    for m in re.finditer(r"(?<![^\W_]|[+/=_-])[A-Za-z0-9+/=_-]{%d,}(?![^\W_])" % secret_scan.LEAST_RUN, text):
+        places = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        total = sum(model[a * len(secret_scan.ALPHABET) + b] for a, b in zip(places, places[1:]))
+        if total >= secret_scan.MIN_SCORE and total >= secret_scan.MIN_MEAN * (len(places) - 1) and not any(a < m.end() and m.start() < b for _, a, b in known):
+            found.append(("random", m.start(), m.end()))
+    return found
+
+
 def test_secrets_equal_brute_force(spark, texts, odd, nothing):
+    model = secret_scan.default_model(spark)
     rows = [(1000 + i, t) for i, t in enumerate(TRICKY)] + texts
     found = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = list(secret_scan.KINDS)
     for doc, text in rows:
         want, r = brute_spans(text), found[doc]
         said = ",".join(f"{n}:{a}:{b}" for n, a, b in want)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[0] == k for w in want) for k in BASE]
-        got = r.spans.split(",") if r.spans else []
-        assert set(said.split(",")) - {""} <= set(got) and len(got) == len(want) + r.n_random
+        added = brute_random(text, want, model)
+        every = sorted(want + added, key=lambda w: (w[1], order.index(w[0]), w[2]))
+        assert r.spans == ",".join(f"{n}:{a}:{b}" for n, a, b in every) and r.n_random == len(added)
     assert found[1007].spans == "random:0:32"
     assert secret_scan.scan(odd).count() == 10 and secret_scan.scan(nothing).count() == 0
 
 
-def test_models_tell_samples_apart(spark):
+ORDINARY = ["------------------------1", "___________________________3", "00000000-0000-0000-0000-000000000000", "A" * 30 + "1", "IMG_20240315_123456_HDR_EDITED", "550e8400-e29b-41d4-a716-446655440000", "2024-03-15-release-notes-final", "internationalization-of-software", "the-quick-brown-fox-jumps", "Donaudampfschifffahrtsgesellschaft", "src/main/resources/application_config", "abcdefghijklmnopqrstuvwxyz0123456789"]
+SECRET = ["kTJ8fQ2zLx9VbN4mR7wY1cPd5sHa3gUe", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "dGhpcyBpcyBub3QgYSBzZWNyZXQhISE9PT09Xk1", "Zk9_pQ-x7LmW2vTn4RbYc8Hs"]
+
+
+def test_models_tell_held_out_samples_apart(spark):
+    """Samples of another seed, of each shape, and strings that no rule made."""
     model = secret_scan.default_model(spark)
-    got = secret_scan.samples(spark).where("length(text) >= 20").withColumn("s", secret_scan.score(F.col("text"), model)).groupBy("label").agg(F.avg((F.col("s") >= secret_scan.MIN_SCORE).cast("double")).alias("share"))
-    share = {r.label: r.share for r in got.collect()}
-    assert share["random"] > 0.99 and share["identifier"] < 0.01
+    held = secret_scan.samples(spark, "held out", 6000).where(f"length(text) >= {secret_scan.LEAST_RUN}").withColumn("hit", secret_scan.is_random(F.col("text"), model))
+    by_shape = {(r.label, r["shape"]): (r.n, r.hits) for r in held.groupBy("label", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("int")).alias("hits")).collect()}
+    for (label, shape), (n, hits) in by_shape.items():
+        assert (hits >= 0.95 * n) if label == "random" else (hits <= 0.02 * n), (label, shape, n, hits)
+    right, wrong = (sum(h for (label, _), (_, h) in by_shape.items() if label == x) for x in ("random", "identifier"))
+    assert right / sum(n for (label, _), (n, _) in by_shape.items() if label == "random") > 0.95 and right / (right + wrong) > 0.95
+    got = {r.text: r.hit for r in spark.createDataFrame([(t,) for t in ORDINARY + SECRET], "text string").select("text", secret_scan.is_random(F.col("text"), model).alias("hit")).collect()}
+    assert not any(got[t] for t in ORDINARY) and all(got[t] for t in SECRET)
+
+
+# Hot keys
+
+
+def largest_share(df):
+    """Rows of a frame in the partition with most of them, and their mean over partitions."""
+    counts = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(counts), sum(counts) / len(counts)
+
+
+def test_a_key_with_half_of_all_rows_is_spread(spark):
+    rows = spark.range(200_000, numPartitions=16).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 50_000).alias("k"), "id")
+    known = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("said", F.col("k") * 2)
+    met = joins.by_counted_key(rows, known, "k", "n")
+    assert met.count() == 200_000 and met.where("said <> 2 * k").isEmpty()
+    most, mean = largest_share(met.where("k = 7"))
+    assert most <= 2 * mean and mean < 10_000
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    edges = spark.range(1, 3001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(5000, 5001), (3000, 5001)], "a long, b long"))
+    got = simhash.components(edges).collect()
+    assert {r.root for r in got} == {0} and len(got) == 3002

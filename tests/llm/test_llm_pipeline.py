@@ -1,4 +1,4 @@
-"""The pipeline's stages against brute force on the smallest documents."""
+"""The pipeline's stages against brute force on the smallest documents, and on odd rows."""
 
 import hashlib
 import re
@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 
 from quire.llm import oracles, queries
-from test_llm_operators import brute_components, brute_simhash
+from test_llm_near import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +17,8 @@ def test_stages_equal_brute_force(spark, duck):
     duck.sql("CREATE OR REPLACE TABLE stage1 AS WITH" + oracles.FIGURES.format(p="0", table="documents") + "SELECT doc_id, text, lang, source, n_chars FROM q0 WHERE kept")
     duck.sql("CREATE OR REPLACE TABLE stage2 AS WITH" + oracles.REST.format(p="0", table="stage1") + "SELECT doc_id, rest AS text, lang, source FROM x0 WHERE n_removed = 0 OR regexp_matches(rest, '[^\\x20\\x09-\\x0D]')")
     rows = sorted(duck.sql("SELECT doc_id, text, lang, source FROM stage2").fetchall())
-    label = brute_components(np.array([brute_simhash(r[1]) for r in rows], np.uint64))
-    kept = {r[0]: r for i, r in enumerate(rows) if label[i] == i}
+    firsts = brute_kept([(r[0], r[1]) for r in rows])
+    kept = {r[0]: r for r in rows if r[0] in firsts}
 
     seen = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
@@ -43,3 +43,14 @@ def test_stages_equal_brute_force(spark, duck):
     for r in final:
         seen_tokens[r.source] = seen_tokens.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", kept[r.doc_id][1]))
     assert all(1 <= seen_tokens[s] / tokens[s] <= 2 for s in tokens)
+
+
+def test_stages_of_odd_rows_and_of_none(odd, nothing, spark, tmp_path):
+    for rows in (odd, nothing):
+        seen = rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, seen, SF)
+            assert k + 1 == len(corpus_pipeline.STAGES) or made.columns == rows.columns
+            seen = made
+        ids = {r.doc_id for r in seen.collect()}
+        assert ids == ({1, 5, 6, None} if rows is odd else set())  # the others have too few words or only repeat themselves

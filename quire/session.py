@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the cluster names none, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``. Where none is named, a local one if all of Spark runs in this process, as in tests."""
     sc = spark.sparkContext
     set_to = sc.getCheckpointDir()
     if set_to:
         return set_to
-    named = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-")
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quire-checkpoint-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 

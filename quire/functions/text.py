@@ -159,6 +159,42 @@ def _word_diff(baseline: pd.Series, other: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_compare(a or "", b or "") for a, b in zip(baseline, other)], columns=["similarity", "missing", "added", "changed"])
 
 
+def _lengths(u, v):
+    """For each k, the longest common subsequence of u and the first k of v: one row, a pass of u."""
+    import numpy as np
+
+    row = np.zeros(len(v) + 1, np.int64)
+    for x in u:
+        grown = np.maximum(row[1:], row[:-1] + (v == x))
+        row[1:] = np.maximum.accumulate(grown)
+    return row
+
+
+def _pairs(u, v) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in space that is linear in the lengths: u is halved, and v where both halves match most."""
+    import numpy as np
+
+    found, waiting = [], [(0, len(u), 0, len(v))]
+    while waiting:
+        a, b, c, d = waiting.pop()
+        while a < b and c < d and u[a] == v[c]:
+            found.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and u[b - 1] == v[d - 1]:
+            b, d = b - 1, d - 1
+            found.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            hit = np.flatnonzero(v[c:d] == u[a])
+            found += [(a, c + int(hit[0]))] if len(hit) else []
+            continue
+        half = (a + b) // 2
+        cut = c + int(np.argmax(_lengths(u[a:half], v[c:d]) + _lengths(u[half:b][::-1], v[c:d][::-1])[::-1]))
+        waiting += [(a, half, c, cut), (half, b, cut, d)]
+    return sorted(found)
+
+
 def _compare(a: str, b: str) -> tuple[float, int, int, int]:
     import numpy as np
 
@@ -168,19 +204,5 @@ def _compare(a: str, b: str) -> tuple[float, int, int, int]:
     ids: dict[str, int] = {}
     u = np.array([ids.setdefault(w.lower(), len(ids)) for w in x])
     v = np.array([ids.setdefault(w.lower(), len(ids)) for w in y], dtype=np.int64)
-    rows = np.zeros((len(u) + 1, len(v) + 1), np.int32)
-    for i in range(len(u) - 1, -1, -1):
-        diagonal = rows[i + 1, 1:] + (v == u[i])
-        rows[i, :-1] = np.maximum.accumulate(np.maximum(diagonal, rows[i + 1, :-1])[::-1])[::-1]
-    i = j = matched = changed = 0
-    while i < len(u) and j < len(v):
-        if u[i] == v[j] and rows[i, j] == rows[i + 1, j + 1] + 1:
-            matched, changed = matched + 1, changed + (x[i] != y[j])
-            i, j = i + 1, j + 1
-        elif rows[i + 1, j] >= rows[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return matched / len(x), len(x) - matched, len(y) - matched, changed
-
-
+    pairs = _pairs(u, v)
+    return len(pairs) / len(x), len(x) - len(pairs), len(y) - len(pairs), sum(x[i] != y[j] for i, j in pairs)

@@ -79,7 +79,7 @@ class LibraryFilter:
 
     def summary(self) -> str:
         """A short name for the filter."""
-        said = [self.folder.rsplit("/", 1)[-1], self.read_state if self.read_state != "all" else "", *(f"P{p}" for p in self.priorities), *self.subjects, f'"{self.name}"' if self.name else ""]
+        said = [self.folder.rstrip("/").rsplit("/", 1)[-1], self.read_state if self.read_state != "all" else "", *(f"P{p}" for p in self.priorities), *self.subjects, f'"{self.name}"' if self.name else ""]
         return ", ".join(x for x in said if x) or "All files"
 
 

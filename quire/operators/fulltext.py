@@ -1,18 +1,26 @@
 """Ranked full-text search: BM25 over weighted columns, phrases, prefixes and fragments in context.
 
-A query's words must all occur, in any of the columns. Statistics of the whole table come from one aggregate, and a
-second pass scores each row by itself, so neither shuffles a posting; for repeated queries index() writes postings.
+A query's words must all occur, in any of the columns. search() reads the rows themselves: statistics of the whole table
+come from one aggregate, and a second pass scores each row by itself, so neither shuffles a posting. For repeated queries
+write_segment() keeps postings with positions on disk, sorted by term, and search_index() answers the same queries from
+them, reading only the row groups of the terms. Changed rows go into a segment of their own; of each row the newest segment
+counts, and compact() makes one segment of many.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.ranking import with_place
+from quire.session import cut
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 TOKEN = "[\\p{L}\\p{N}]+"
@@ -20,17 +28,27 @@ SNIPPETS, FRAGMENT = 300, 12
 OPEN, CLOSE = "\x02", "\x03"
 
 
+#: The combining marks that are dropped within words.
+MARKS = "[\\u0300-\\u0331]"
+
+
+@functools.cache
 def _accents() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their bases."""
-    found = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xE0, 0x250) if unicodedata.decomposition(chr(c)) and chr(c).islower()]
-    found = [(a, b) for a, b in found if b.isascii() and b.isalpha()]
+    """Lower-case letters of all of Unicode's first plane that are a Latin letter with marks, and their bases."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0xD800) if unicodedata.decomposition(chr(c)) and chr(c).islower()]
+    found = [(a, b[0]) for a, b in found if b[0].isascii() and b[0].isalpha() and all(unicodedata.combining(x) for x in b[1:])]
     return "".join(a for a, _ in found), "".join(b for _, b in found)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters; a text of ASCII only is not gone through for marks."""
+    """Lower case without the marks of Latin letters, composed or not; a text of ASCII only is not gone through for marks."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *_accents()))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(F.regexp_replace(low, MARKS, ""), *_accents()))
+
+
+def fold_word(word: str) -> str:
+    """fold() of a query's word."""
+    return re.sub(MARKS, "", word.lower()).translate(str.maketrans(*_accents()))
 
 
 def tokens(text: Column) -> Column:
@@ -47,13 +65,9 @@ class Term:
 
 def parse(query: str) -> list[Term]:
     """White space parts terms; one with punctuation is a phrase; the last is a prefix if it is longer than two characters."""
-    import re
-
-    lower, base = _accents()
-    table = str.maketrans(lower, base)
     made, parts = [], query.split()
     for i, part in enumerate(parts):
-        words = tuple(w for w in re.findall(r"[^\W_]+", part.lower().translate(table)))
+        words = tuple(re.findall(r"[^\W_]+", fold_word(part)))
         if words:
             made.append(Term(words, i + 1 == len(parts) and len(part) > 2))
     return made
@@ -98,57 +112,95 @@ def search(docs: DataFrame, weights: dict[str, float], query: str, tie: str, lim
     # bound once per row: the tokens are not made again for each figure that is taken of them
     counted = docs.withColumn("m_", F.element_at(F.transform(F.array(parts), measure), 1))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("m_.length").alias("mean"), *(F.count_if(F.col(f"m_.f{k}") > 0).alias(f"n_{k}") for k in range(len(terms)))).first()
-    import math
+    score, every = _score([F.col(f"m_.f{k}") for k in range(len(terms))], [stats[f"n_{k}"] for k in range(len(terms))], stats["n"], stats["mean"], F.col("m_.length"))
+    return _ranked(counted.where(every).withColumn("score", score).drop("m_"), tie, limit)
+
 
+def _score(found: list[Column], held: list[int], n: int, mean: float | None, length: Column) -> tuple[Column, Column]:
+    """BM25 of weighted counts, less being better, and whether every term was found."""
     score, every = F.lit(0.0), F.lit(True)
-    for k in range(len(terms)):
-        f, held = F.col(f"m_.f{k}"), stats[f"n_{k}"]
-        idf = math.log((stats["n"] - held + 0.5) / (held + 0.5)) if stats["n"] else 0.0
-        idf = idf if idf > 0 else FLOOR
-        score -= F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("m_.length") / F.lit(stats["mean"] or 1.0)))
+    for f, rows in zip(found, held, strict=True):
+        idf = math.log((n - rows + 0.5) / (rows + 0.5)) if n else 0.0
+        score -= F.lit(idf if idf > 0 else FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
         every &= f > 0
-    found = counted.where(every).withColumn("score", score).drop("m_")
+    return score, every
+
+
+def _ranked(found: DataFrame, tie: str, limit: int | None) -> DataFrame:
     if limit is not None:
         found = found.orderBy("score", tie).limit(limit)
     return with_place(found, ["score", tie], "rank")
 
 
-def index(docs: DataFrame, weights: dict[str, float], key: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, f: weighted count) and lengths (key, n_tokens), to be written and kept up by changed rows."""
-    each = None
-    for c, w in weights.items():
-        one = docs.select(key, F.explode(tokens(F.col(c))).alias("term"), F.lit(float(w)).alias("w"))
-        each = one if each is None else each.unionByName(one)
-    postings = each.groupBy("term", key).agg(F.sum("w").alias("f"))
-    lengths = docs.select(key, sum((F.size(tokens(F.col(c))) for c in weights), F.lit(0)).cast("long").alias("n_tokens"))
-    return postings, lengths
+def postings(docs: DataFrame, columns: Iterable[str], key: str) -> DataFrame:
+    """term, key, c (the column) and positions, in order, of every token."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), tokens(F.col(c)).alias("ts")) for c in columns)))
+    at = docs.select(key, each.alias("e")).select(key, "e.c", F.posexplode("e.ts").alias("at", "term"))
+    return at.groupBy("term", key, "c").agg(F.sort_array(F.collect_list("at")).alias("positions"))
 
 
-def write_index(postings: DataFrame, path: str, files: int | None = None) -> None:
-    """Postings in ranges of terms, sorted in each file, so that a search reads only the row groups that hold its terms."""
-    ranged = postings.repartitionByRange(files, "term") if files else postings.repartitionByRange("term")
-    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def write_segment(docs: DataFrame, columns: Iterable[str], key: str, path: str, segment: int, removed: DataFrame | None = None, files: int | None = None) -> None:
+    """Rows that are new or other, and keys that are gone, as one segment of an index; writing it again replaces it.
 
+    Postings lie in ranges of terms, sorted in each file; rows tell the number of tokens of each key, null for removed ones.
+    """
+    columns = list(columns)
+    made = postings(docs, columns, key)
+    ranged = made.repartitionByRange(files, "term") if files else made.repartitionByRange("term")
+    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/segment={segment}")
+    rows = docs.select(key, sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("n_tokens"))
+    if removed is not None:
+        rows = rows.unionByName(removed.select(key, F.lit(None).cast("long").alias("n_tokens")))
+    rows.write.mode("overwrite").parquet(f"{path}/rows/segment={segment}")
 
-def compact(spark, source: str, target: str, rows_per_file: int = 5_000_000) -> int:
-    """Rewrites an index of many small files in as few as its rows need, and returns their number."""
-    postings = spark.read.parquet(source)
-    files = max(1, -(-postings.count() // rows_per_file))
-    write_index(postings, target, files)
-    return files
+
+def apply_changes(actions: DataFrame, current: DataFrame, columns: Iterable[str], key: str, path: str, segment: int) -> None:
+    """What changed_rows() says, as a segment: postings of rows to index, and marks for rows to remove."""
+    actions = cut(actions)
+    write_segment(current.join(actions.where("action = 'index'"), key, "left_semi"), columns, key, path, segment, actions.where("action = 'remove'"))
+
+
+def open_index(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """All postings with their segment, and the live rows: key, n_tokens and the newest segment of each."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/segment=*")
+    newest = rows.groupBy(key).agg(F.max_by(F.struct("n_tokens", "segment"), "segment").alias("r")).where("r.n_tokens IS NOT NULL")
+    return spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/segment=*"), newest.select(key, "r.n_tokens", "r.segment")
 
 
-def search_index(postings: DataFrame, lengths: DataFrame, terms: list[str], key: str) -> DataFrame:
-    """key and score of the rows that have every whole-word term; only the terms' postings are read and shuffled."""
-    wanted = sorted(set(terms))
-    own = postings.where(F.col("term").isin(*wanted))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("n_tokens").alias("mean"))
-    held = own.groupBy("term").agg(F.count(F.lit(1)).alias("held"))  # as many rows as terms
-    met = own.join(F.broadcast(held), "term").join(lengths, key).crossJoin(F.broadcast(stats))  # one row of statistics
-    ratio = F.log((F.col("n_rows") - F.col("held") + 0.5) / (F.col("held") + 0.5))
-    idf = F.when(ratio > 0, ratio).otherwise(FLOOR)
-    part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    return met.groupBy(key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms")).where(F.col("n_terms") == len(wanted)).select(key, "score")
+def search_index(spark: SparkSession, path: str, weights: dict[str, float], query: str, key: str, limit: int | None = None) -> DataFrame:
+    """key, score and rank as by search(), from a written index. Only postings of the query's words are read and shuffled."""
+    held, live = open_index(spark, path, key)
+    terms = parse(query)
+    if not terms:
+        return live.limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
+    fits = {(k, j): F.col("term").startswith(w) if t.prefix and j + 1 == len(t.words) else F.col("term") == w for k, t in enumerate(terms) for j, w in enumerate(t.words)}
+    own = held.where(functools.reduce(Column.__or__, fits.values())).where(F.col("c").isin(*weights))
+    places = own.groupBy(key, "segment", "c").agg(*(F.flatten(F.collect_list(F.when(fit, F.col("positions")))).alias(f"p{k}_{j}") for (k, j), fit in fits.items()))
+    weight = F.coalesce(*(F.when(F.col("c") == c, F.lit(float(w))) for c, w in weights.items()))
+
+    def back(places: str, by: int) -> Column:
+        return F.transform(places, lambda x: x - by)
+
+    def times(k: int) -> Column:
+        starts = [back(f"p{k}_{j}", j) for j in range(len(terms[k].words))]
+        return F.size(functools.reduce(F.array_intersect, starts) if len(starts) > 1 else F.col(f"p{k}_0"))
+
+    by_row = places.groupBy(key, "segment").agg(*(F.sum(weight * times(k)).alias(f"f{k}") for k in range(len(terms))))
+    met = cut(by_row.join(live, [key, "segment"]))
+    rows = live.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
+    n_k = met.agg(*(F.count_if(F.col(f"f{k}") > 0) for k in range(len(terms)))).first()
+    score, every = _score([F.col(f"f{k}") for k in range(len(terms))], list(n_k), rows["n"], rows["mean"], F.col("n_tokens"))
+    return _ranked(met.where(every).select(key, score.alias("score")), key, limit)
+
+
+def compact(spark: SparkSession, source: str, target: str, key: str, postings_per_file: int = 5_000_000) -> int:
+    """One segment of the live rows of an index, in as few files as its postings need; returns their number."""
+    held, live = open_index(spark, source, key)
+    kept = held.join(live.select(key, "segment"), [key, "segment"], "left_semi").drop("segment")
+    files = max(1, -(-held.count() // postings_per_file))
+    kept.repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{target}/postings/segment=0")
+    live.select(key, "n_tokens").write.mode("overwrite").parquet(f"{target}/rows/segment=0")
+    return files
 
 
 def changed_rows(indexed: DataFrame, current: DataFrame, key: str, mtime: str) -> DataFrame:

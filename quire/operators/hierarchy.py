@@ -30,8 +30,14 @@ def closure(folders: DataFrame) -> DataFrame:
 
 
 def subtree(folders: DataFrame, root) -> DataFrame:
-    """folder_id of everything at or under a folder."""
-    return closure(folders).where(F.col("ancestor") == root).select("folder_id")
+    """folder_id of everything at or under a folder: from it down, as many rounds as it is deep; cycles are walked once."""
+    known = cut(folders.where(F.col("folder_id") == root).select("folder_id").distinct())
+    newest = known
+    while not newest.isEmpty():
+        below = folders.join(newest.select(F.col("folder_id").alias("parent_id")), "parent_id", "left_semi").select("folder_id").distinct()
+        newest = cut(below.join(known, "folder_id", "left_anti"))
+        known = known.unionByName(newest)
+    return known
 
 
 def items_in_subtree(items: DataFrame, memberships: DataFrame, folders: DataFrame, root) -> DataFrame:

@@ -66,8 +66,9 @@ def duplicated_names(files: DataFrame) -> DataFrame:
 def folder_counts(files: DataFrame) -> DataFrame:
     """Files at or under each folder of their paths."""
     parts = F.split("folder", "/")
-    prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return files.select(F.explode(prefixes).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
+    least = F.when(F.startswith("folder", F.lit("/")), 2).otherwise(1)  # the root of an absolute path is no folder
+    prefixes = F.transform(F.sequence(least, F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return files.where("folder <> '/'").select(F.explode(prefixes).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def saved_filter_counts(files: DataFrame, filters: dict) -> DataFrame:
@@ -94,8 +95,9 @@ def group_summary(files: DataFrame, group: str) -> DataFrame:
 
 
 def set_signature(rows: DataFrame, column: str) -> Column:
-    """An order-independent signature; of distinct values, as pairs would cancel."""
-    return rows.select(column).distinct().agg(F.bit_xor(F.xxhash64(column)).alias("signature"))
+    """An order-independent signature; of distinct values, as pairs would cancel: 60 bits of each value's MD5, combined by XOR."""
+    bits = F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 15), 16, 10).cast("long")
+    return rows.select(column).distinct().agg(F.bit_xor(bits).alias("signature"))
 
 
 SORT_COLUMNS = {"date": "sort_date", "priority": "priority", "read_state": "read_state", "file_type": "file_type", "subjects": "first_subject"}

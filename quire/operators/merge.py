@@ -91,3 +91,22 @@ def missing_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """jobs (job_id, readable) with the status of their result, or an explicit error where there is none."""
     met = jobs.join(results.select("job_id", F.col("status").alias("got")), "job_id", "left")
     return met.select("job_id", F.coalesce("got", F.when(F.col("readable"), "no_result").otherwise("image_unreadable")).alias("status"))
+
+
+def apply_batch(current: DataFrame, changed: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """current after an upsert of changed rows and then the removal of deleted keys."""
+    return upsert(current, changed, key).join(deleted.select(key), key, "left_anti")
+
+
+def replace_organization(folders: DataFrame, memberships: DataFrame, assignments: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables that take the place of the old ones, in the order in which they may be written.
+
+    Folders whose parent is not among them become roots; memberships need their folder and their item, and are there once;
+    assignments need their folder, and of several of one folder the least template counts.
+    """
+    ids = folders.select("folder_id").distinct()
+    known = ids.select(F.col("folder_id").alias("parent_id"), F.lit(True).alias("known"))
+    kept = folders.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).select(folders.columns)
+    inside = memberships.select("item_id", "folder_id").distinct().join(ids, "folder_id", "left_semi").join(items.select("item_id"), "item_id", "left_semi")
+    assigned = assignments.join(ids, "folder_id", "left_semi").groupBy("folder_id").agg(F.min("template_id").alias("template_id"))
+    return kept, inside.select("item_id", "folder_id"), assigned

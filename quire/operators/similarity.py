@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
-MOST_FOLDERS = 100_000
+#: Texts in a block of a search.
+BLOCK = 20_000
 
 
 def normalize(tag: Column) -> Column:
@@ -85,12 +86,17 @@ def similarity(a: Column, b: Column) -> Column:
 def best_matches(candidates: DataFrame, folders: DataFrame, k: int = 5, least: float = 0.34) -> DataFrame:
     """candidate, folder, score and place of the k best folders of each candidate.
 
-    folders is a stated list of a library's collection names, against all of which candidates are scored; up to
-    MOST_FOLDERS of them it is broadcast.
+    candidates are a stated query set, each of which is scored against all folders. Both are dealt to blocks; a block of
+    each makes a cell, and a cell's pairs are scored in one task, which ranks them first by itself.
     """
     from pyspark.sql import Window
 
-    stated = F.broadcast(folders) if folders.count() <= MOST_FOLDERS else folders
-    scored = candidates.join(stated, F.lit(True)).withColumn("score", similarity(F.col("candidate"), F.col("folder"))).where(F.col("score") >= least)
+    n_c, n_f = (max(1, -(-df.count() // BLOCK)) for df in (candidates, folders))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = candidates.select("candidate", F.pmod(F.xxhash64("candidate"), F.lit(n_c)).cast("int").alias("c_"), every(n_f).alias("f_"))
+    held = folders.select("folder", F.pmod(F.xxhash64("folder"), F.lit(n_f)).cast("int").alias("f_"), every(n_c).alias("c_"))
+    if n_f == 1:
+        held = F.broadcast(held)
+    scored = asked.join(held, ["c_", "f_"]).withColumn("score", similarity(F.col("candidate"), F.col("folder"))).where(F.col("score") >= least).drop("c_", "f_")
     place = F.row_number().over(Window.partitionBy("candidate").orderBy(F.col("score").desc(), "folder"))
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k)

@@ -115,3 +115,22 @@ def orphans(spark, sf_dir):
 def resend(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 20).alias("seq"), "event_id", "event_type")
     return latest(rows, ["user_id", "seq"], "event_id")
+
+
+@query(
+    "str7_late_boxes",
+    """WITH p AS (SELECT 'g' || user_id AS "group", event_id AS seq, CASE WHEN event_id % 11 = 0 THEN event_type END AS box, 'k' || (event_id % 3) AS current FROM events)
+    SELECT "group", seq, CASE WHEN box IS NOT NULL THEN current ELSE coalesce(last_value(box IGNORE NULLS) OVER (PARTITION BY "group" ORDER BY seq), current) END AS assigned FROM p""",
+)
+def late_boxes(spark, sf_dir):
+    """Pages in two batches, the boxes of which come last; the newest result of each page counts."""
+    from quire.session import shared_folder
+    from quire.streaming import passes
+
+    place = shared_folder(spark, "boxes")
+    pages = table(spark, sf_dir, "events").selectExpr("concat('g', user_id) AS `group`", "event_id AS seq", "CASE WHEN event_id % 11 = 0 THEN event_type END AS box", "concat('k', event_id % 3) AS current")
+    for number, part in enumerate((pages.where("box IS NULL"), pages.where("box IS NOT NULL"))):
+        part.write.parquet(f"{place}/feed/{number}")
+        stream = spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(f"{place}/feed")
+        passes.pin_boxes(stream, f"{place}/state", f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return latest(spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/batch=*"), ["group", "seq"], "batch").drop("batch")

@@ -168,7 +168,7 @@ def two_pass(spark, sf_dir):
 # Folders: regions, their nations, and suppliers of which some are their own grandparents' parents; items are parts.
 FOLDERS = """SELECT r_regionkey AS folder_id, CASE WHEN r_regionkey = 4 THEN 204 ELSE -1 END AS parent_id FROM region UNION ALL SELECT 100 + n_nationkey, CASE WHEN n_nationkey % 10 = 9 THEN 999 ELSE n_regionkey END FROM nation
 UNION ALL SELECT 200 + s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey > 3 THEN 199 + s_suppkey ELSE 100 + s_nationkey END FROM supplier"""
-MEMBERS = "SELECT DISTINCT l_partkey AS item_id, 200 + l_suppkey AS folder_id FROM lineitem WHERE l_orderkey % 7 = 0"
+MEMBERS = "SELECT DISTINCT l_partkey AS item_id, 200 + l_suppkey AS folder_id FROM lineitem"
 REACH = f"""f AS ({FOLDERS}), c AS (SELECT folder_id AS ancestor, folder_id FROM f UNION SELECT c.ancestor, f.folder_id FROM c JOIN f ON f.parent_id = c.folder_id), m AS ({MEMBERS})"""
 
 
@@ -180,7 +180,7 @@ def _folders(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").selectExpr("cast(l_partkey AS long) AS item_id", "cast(200 + l_suppkey AS long) AS folder_id").distinct()
+    return table(spark, sf_dir, "lineitem").selectExpr("cast(l_partkey AS long) AS item_id", "cast(200 + l_suppkey AS long) AS folder_id").distinct()
 
 
 @query("join3_flt2_folder_subtree", f"WITH RECURSIVE {REACH} SELECT DISTINCT p_partkey AS item_id FROM part WHERE p_partkey IN (SELECT item_id FROM m WHERE folder_id IN (SELECT folder_id FROM c WHERE ancestor = 2))")
@@ -208,6 +208,28 @@ def members(spark, sf_dir):
     return _members(spark, sf_dir).where(F.col("folder_id").isin(205, 210))
 
 
+@query("src8_notes_batch", f"WITH o AS ({OLD}), n AS ({NEW}), u AS (SELECT doc_id, fp FROM n WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, fp FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE doc_id % 3 = 0)) SELECT * FROM u WHERE doc_id % 10 <> 4")
+def notes_batch(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return mg.apply_batch(old.drop("verified"), new.where("doc_id % 3 = 0"), table(spark, sf_dir, "documents").where("doc_id % 10 = 4").select("doc_id"), "doc_id")
+
+
+@query(
+    "src8_organization",
+    f"""WITH f AS ({FOLDERS}), m AS (SELECT DISTINCT l_partkey AS item_id, 195 + l_suppkey AS folder_id FROM lineitem)
+    SELECT 'folder' AS what, folder_id::BIGINT AS folder_id, CASE WHEN parent_id IN (SELECT folder_id FROM f) THEN parent_id END::BIGINT AS other FROM f
+    UNION ALL SELECT 'member', folder_id::BIGINT, item_id::BIGINT FROM m WHERE folder_id IN (SELECT folder_id FROM f) AND item_id IN (SELECT p_partkey FROM part WHERE p_size > 5)
+    UNION ALL SELECT 'template', folder_id::BIGINT, min(template_id)::BIGINT FROM (SELECT 200 + l_suppkey AS folder_id, l_linenumber AS template_id FROM lineitem WHERE l_quantity > 30) WHERE folder_id IN (SELECT folder_id FROM f) GROUP BY folder_id""",
+)
+def replaced_organization(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    members = lines.selectExpr("cast(l_partkey AS long) AS item_id", "cast(195 + l_suppkey AS long) AS folder_id")
+    assigned = lines.where("l_quantity > 30").selectExpr("cast(200 + l_suppkey AS long) AS folder_id", "cast(l_linenumber AS long) AS template_id")
+    kept, inside, templates = mg.replace_organization(_folders(spark, sf_dir), members, assigned, table(spark, sf_dir, "part").where("p_size > 5").selectExpr("p_partkey AS item_id"))
+    said = lambda df, what, other: df.select(F.lit(what).alias("what"), "folder_id", F.col(other).alias("other"))
+    return said(kept, "folder", "parent_id").unionByName(said(inside, "member", "item_id")).unionByName(said(templates, "template", "template_id"))
+
+
 ASSIGNED = "SELECT folder_id, folder_id * 10 AS template_id FROM f WHERE folder_id % 4 = 2 OR folder_id < 5"
 
 
@@ -238,16 +260,16 @@ def next_order(spark, sf_dir):
     return hi.next_sort_order(table(spark, sf_dir, "nation").selectExpr("n_regionkey AS parent_id", "n_nationkey AS sort_order"))
 
 
-# Tags to compare: English words of two texts' worth of parts, in varied spellings.
+# Tags to compare: the names of all parts, in varied spellings.
 _TAG = "CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 1 THEN concat(substr(p_name, 1, 2), substr(p_name, 4)) WHEN p_partkey % 5 = 2 THEN concat(p_name, ' ') WHEN p_partkey % 5 = 3 THEN concat(p_name, 'x') ELSE p_name END"
 
 
 def _tags(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.expr(_TAG).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "part").select(F.expr(_TAG).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 _NORM = "trim(regexp_replace(lower(tag), '\\s+', ' ', 'g'))"
-_NORMS = f"t AS (SELECT {_TAG} AS tag, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), w AS (SELECT tag, n, {_NORM} AS norm FROM t), d AS (SELECT DISTINCT norm, length(norm) AS z FROM w)"
+_NORMS = f"t AS (SELECT {_TAG} AS tag, count(*) AS n FROM part GROUP BY 1), w AS (SELECT tag, n, {_NORM} AS norm FROM t), d AS (SELECT DISTINCT norm, length(norm) AS z FROM w)"
 _CLOSE = "abs(x.z - y.z) <= 2 AND levenshtein(x.norm, y.norm) <= CASE WHEN greatest(x.z, y.z) >= 9 THEN 2 WHEN greatest(x.z, y.z) >= 5 THEN 1 ELSE 0 END"
 
 
@@ -266,15 +288,16 @@ def clusters(spark, sf_dir):
     return si.clusters(_tags(spark, sf_dir))
 
 
+# The query set: parts whose key is divisible by 50; all names are folders.
 @query(
     "join10_fuzzy_top_k",
-    """WITH c AS (SELECT DISTINCT substr(p_name, 1, 9) || ' ' || p_brand AS candidate FROM part WHERE p_partkey % 17 = 0), f AS (SELECT DISTINCT p_name || ' ' || p_brand AS folder FROM part WHERE p_partkey < 60),
+    """WITH c AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 2) || ' ' || p_brand AS candidate FROM part WHERE p_partkey % 50 = 0), f AS (SELECT DISTINCT p_name || ' ' || p_brand AS folder FROM part),
     s AS (SELECT candidate, folder, CASE WHEN lower(candidate) = lower(folder) THEN 1.0 WHEN contains(lower(candidate), lower(folder)) OR contains(lower(folder), lower(candidate)) THEN 0.9
     ELSE 1 - levenshtein(lower(candidate), lower(folder))::DOUBLE / greatest(length(candidate), length(folder)) END AS score FROM c, f)
     SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, folder) AS place FROM s WHERE score >= 0.34 QUALIFY place <= 5""",
 )
 def fuzzy(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    candidates = part.where("p_partkey % 17 = 0").select(F.concat_ws(" ", F.left("p_name", F.lit(9)), "p_brand").alias("candidate")).distinct()
-    folders = part.where("p_partkey < 60").select(F.concat_ws(" ", "p_name", "p_brand").alias("folder")).distinct()
+    candidates = part.where("p_partkey % 50 = 0").select(F.concat_ws(" ", F.expr("substr(p_name, 1, length(p_name) - 2)"), "p_brand").alias("candidate")).distinct()
+    folders = part.select(F.concat_ws(" ", "p_name", "p_brand").alias("folder")).distinct()
     return si.best_matches(candidates, folders)

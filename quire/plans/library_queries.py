@@ -37,6 +37,12 @@ SAVED = {
 }
 
 
+@query("prj4_filter_names", "SELECT * FROM (VALUES ('unread_en', 'unread, Lang en'), ('any_two', 'src1, src2'), ('no_state', 'none'), ('doc_12', '\" doc 12 \"'), ('top', 'src6, P10'), ('all', 'All files')) v(filter, summary)", raw=True)
+def filter_names(spark, sf_dir):
+    named = SAVED | {"all": flt.LibraryFilter()}
+    return spark.createDataFrame([(k, f.summary()) for k, f in named.items()], "filter string, summary string")
+
+
 def _ranked(df, keys):
     return with_place(df, lib.sort_order(keys))
 
@@ -207,7 +213,7 @@ def saved_counts(spark, sf_dir):
     return lib.saved_filter_counts(files(spark, sf_dir), SAVED)
 
 
-@query("agg17_set_signature")
+@query("agg17_set_signature", "SELECT bit_xor(('0x' || substr(md5(subject), 1, 15))::BIGINT) AS signature FROM (SELECT DISTINCT unnest(subjects) AS subject FROM files)")
 def signature(spark, sf_dir):
     return lib.set_signature(files(spark, sf_dir).select(F.explode("subjects").alias("subject")), "subject")
 

@@ -10,7 +10,7 @@ from quire.operators import estimates
 from quire.plans.fixtures import FILES, files
 from quire.sources import files as src
 from quire.sources import links, markdown, relay
-from quire.session import table
+from quire.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,9 +74,9 @@ def machine(spark, sf_dir):
     return d.select("doc_id", dt.month_number(F.col("m")).alias("month"), dt.day_number(F.col("d")).alias("day"), dt.machine_date(F.col("y"), F.col("m"), F.col("d")).alias("machine_date"))
 
 
-@query("fn8_capitalize", "SELECT doc_id, array_to_string(list_transform(string_split(substr(text, 1, 80), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS capitalized FROM documents WHERE lang = 'en'")
+@query("fn8_capitalize", "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w[1] = 'ß' THEN 'SS' ELSE upper(w[1]) END || w[2:]), ' ') AS capitalized FROM documents")
 def capitalized(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.capitalize_first_letters(F.left("text", F.lit(80))).alias("capitalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.capitalize_first_letters(F.col("text")).alias("capitalized"))
 
 
 @query("fn9_all_tags", "SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'OCR Failed' ELSE array_to_string(list_concat(list_filter([CASE WHEN doc_id % 3 > 0 THEN '1950' END, CASE WHEN doc_id % 4 > 0 THEN '03 March' END, CASE WHEN doc_id % 5 = 0 THEN 'Date Uncertain' END], lambda x: x IS NOT NULL), [source, lang], list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Letter' END], lambda x: x IS NOT NULL)), '|') END AS tags FROM documents")
@@ -242,12 +242,12 @@ def pending(spark, sf_dir):
 
 @query("misc10_misc11_harvest", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey = 7 DESC, c_custkey) AS place FROM customer WHERE (c_custkey % 3 = 0 OR (c_custkey = 7 AND c_custkey % 50 >= 5)) AND lower(c_mktsegment) NOT IN ('machinery', 'household')")
 def harvest(spark, sf_dir):
-    from pyspark.sql import Window
+    from quire.operators.ranking import with_place
 
     current = F.col("c_custkey") == 7
     due = (F.col("c_custkey") % 3 == 0) | (current & (F.col("c_custkey") % 50 >= 5))
     kept = table(spark, sf_dir, "customer").where(due & ~F.lower("c_mktsegment").isin("machinery", "household"))
-    return kept.select("c_custkey", F.row_number().over(Window.orderBy(current.desc(), "c_custkey")).cast("long").alias("place"))
+    return with_place(kept, [current.desc(), F.col("c_custkey")]).select("c_custkey", "place")
 
 
 LABEL = "concat(char(10), '  ', CASE WHEN p_partkey % 9 = 0 THEN '...' ELSE concat(p_name, '/', p_brand) END, '  ', char(10), 'more')"
@@ -356,12 +356,12 @@ def durable(spark, sf_dir):
 
 @query(
     "src20_references",
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'group' END AS library, CASE WHEN doc_id % 2 = 1 THEN doc_id::VARCHAR END AS grp, 'ABCD' || lpad(doc_id::VARCHAR, 4, '0') AS key, CASE doc_id % 4 WHEN 0 THEN '1968-03-07' WHEN 1 THEN '1968-03' WHEN 2 THEN '1968' ELSE '1971' END AS date, CASE doc_id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' ELSE 'year' END AS precision, 'Doe, Jane|UN' AS authors FROM documents WHERE doc_id < 10000",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'group' END AS library, CASE WHEN doc_id % 2 = 1 THEN doc_id::VARCHAR END AS grp, printf('%08X', doc_id) AS key, CASE doc_id % 4 WHEN 0 THEN '1968-03-07' WHEN 1 THEN '1968-03' WHEN 2 THEN '1968' ELSE '1971' END AS date, CASE doc_id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' ELSE 'year' END AS precision, 'Doe, Jane|UN' AS authors FROM documents",
 )
 def references(spark, sf_dir):
-    url = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN 'zotero://select/library/items/ABCD' ELSE concat('zotero://select/groups/', doc_id, '/items/ABCD') END, lpad(cast(doc_id AS string), 4, '0'))")
+    url = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN 'zotero://select/library/items/' ELSE concat('zotero://select/groups/', doc_id, '/items/') END, lpad(hex(doc_id), 8, '0'))")
     record = F.expr("""concat('{"author":[{"family":"Doe","given":"Jane"},{"literal":"UN"}],"issued":', CASE doc_id % 4 WHEN 0 THEN '{"date-parts":[[1968,3,7]]}' WHEN 1 THEN '{"date-parts":[["1968",3]]}' WHEN 2 THEN '{"date-parts":[[1968]]}' ELSE '{"raw":"c. 1971?"}' END, '}')""")
-    d = table(spark, sf_dir, "documents").where("doc_id < 10000").select("doc_id", links.parse_select_link(url).alias("l"), links.csl_date(record).alias("d"), F.array_join(links.csl_authors(record), "|").alias("authors"))
+    d = table(spark, sf_dir, "documents").select("doc_id", links.parse_select_link(url).alias("l"), links.csl_date(record).alias("d"), F.array_join(links.csl_authors(record), "|").alias("authors"))
     return d.select("doc_id", F.col("l.library").alias("library"), F.col("l.group").alias("grp"), F.col("l.key").alias("key"), F.col("d.date").alias("date"), F.col("d.precision").alias("precision"), "authors")
 
 
@@ -402,25 +402,23 @@ def summaries(spark, sf_dir):
     return items.summaries(d, "Managed")
 
 
-@query("fn12_similarity", "SELECT p_partkey, CASE WHEN lower(p_name) = lower(p_type) THEN 1.0 WHEN contains(lower(p_name), lower(p_brand)) THEN 0.9 ELSE round(1 - levenshtein(lower(p_name), lower(p_type))::DOUBLE / greatest(length(p_name), length(p_type)), 9) END AS similarity FROM part WHERE NOT contains(lower(p_name), lower(p_type)) AND NOT contains(lower(p_type), lower(p_name))")
-def similarity(spark, sf_dir):
-    from quire.operators.similarity import similarity as score
-
-    part = table(spark, sf_dir, "part").where("NOT contains(lower(p_name), lower(p_type)) AND NOT contains(lower(p_type), lower(p_name))")
-    return part.select("p_partkey", F.round(score(F.col("p_name"), F.col("p_type")), 9).alias("similarity"))
-
+OTHER_NAME = "CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN concat(p_name, ' ', p_brand) WHEN 2 THEN upper(p_name) WHEN 3 THEN substr(p_name, 1, 4) ELSE p_brand END"
 
-def _shared(spark, name):
-    import uuid
 
-    from quire.session import checkpoint_dir
+@query(
+    "fn12_similarity",
+    f"""WITH v AS (SELECT p_partkey, lower(p_name) AS a, lower({OTHER_NAME}) AS b FROM part)
+    SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 9) END AS similarity FROM v""",
+)
+def similarity(spark, sf_dir):
+    from quire.operators.similarity import similarity as score
 
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score(F.col("p_name"), F.expr(OTHER_NAME)), 9).alias("similarity"))
 
 
 @query("src15_organization", "SELECT n_nationkey::BIGINT AS folder_id, n_regionkey::BIGINT AS parent_id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_items FROM nation")
 def organization(spark, sf_dir):
-    path = _shared(spark, "organization")
+    path = shared_folder(spark, "organization")
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     src.write_organization(nation.selectExpr("cast(n_nationkey AS long) AS folder_id", "cast(n_regionkey AS long) AS parent_id", "n_name AS name"), supplier.selectExpr("cast(s_suppkey AS long) AS item_id", "cast(s_nationkey AS long) AS folder_id"), path)
     folders, members = src.read_organization(spark, path)
@@ -432,21 +430,23 @@ def organization(spark, sf_dir):
 def organized(spark, sf_dir):
     from quire.operators.sequence import numbered
 
-    path = _shared(spark, "organized")
+    path = shared_folder(spark, "organized")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("collection"))
     src.write_by_collection(numbered(rows, "collection", "o_orderkey"), path)
     return spark.read.parquet(path).select("o_orderkey", F.col("collection").cast("string").alias("collection"), "file_name")
 
 
-@query("fts5_compacted_index", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term")
+@query("fts5_compacted_index", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(source || ' ' || lang || ' ' || coalesce(text, ''))), '[\\p{L}\\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term")
 def compacted(spark, sf_dir):
     from quire.operators import fulltext
 
-    first, second = _shared(spark, "index"), _shared(spark, "compacted")
-    postings, _ = fulltext.index(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), {"source": 5.0, "lang": 1.0}, "doc_id")
-    fulltext.write_index(postings, first)
-    fulltext.compact(spark, first, second)
-    return spark.read.parquet(second).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    first, second = shared_folder(spark, "index"), shared_folder(spark, "compacted")
+    docs, columns = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), ("source", "lang", "text")
+    for segment in range(2):
+        fulltext.write_segment(docs.where(f"doc_id % 2 = {segment}"), columns, "doc_id", first, segment)
+    fulltext.compact(spark, first, second, "doc_id")
+    held, _ = fulltext.open_index(spark, second, "doc_id")
+    return held.groupBy("term").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query("src1_src2_scan")

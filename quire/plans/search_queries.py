@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import fulltext as ft
 from quire.operators.ranking import with_place
 from quire.operators.sequence import occurrences
-from quire.session import table
+from quire.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,10 +88,37 @@ def relevance(spark, sf_dir):
     return with_place(met, [F.col("rank").asc_nulls_last(), F.col("doc_id")]).select("doc_id", "place")
 
 
-@query("fts1_index_search", _bm25(READER, [(["the"], False), (["src5"], False)], "SELECT doc_id, round(score, 6) AS score FROM r"))
+def _written(spark, sf_dir):
+    path = shared_folder(spark, "index")
+    ft.write_segment(corpus(spark, sf_dir), READER, "doc_id", path, 0)
+    return path
+
+
+@query("fts1_index_search", _bm25(READER, [(["the"], False), (["src5"], True)], RANKED))
 def by_index(spark, sf_dir):
-    postings, lengths = ft.index(corpus(spark, sf_dir), READER, "doc_id")
-    return ft.search_index(postings, lengths, ["the", "src5"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return _ranked(ft.search_index(spark, _written(spark, sf_dir), READER, "the src5", "doc_id"))
+
+
+@query("fts1_index_phrase", _bm25(READER, [(["of", "the"], False), (["re"], False)], RANKED))
+def phrase_by_index(spark, sf_dir):
+    return _ranked(ft.search_index(spark, _written(spark, sf_dir), READER, "of-the re", "doc_id"))
+
+
+@query("fts1_index_prefix_limit", _bm25(READER, [(["thin"], True)], RANKED + " ORDER BY rank LIMIT 50"))
+def prefix_by_index(spark, sf_dir):
+    return _ranked(ft.search_index(spark, _written(spark, sf_dir), READER, "thin", "doc_id", limit=50))
+
+
+@query("fts4_upserted_index", _bm25(READER, [(["with"], False), (["en"], False)], RANKED).replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 2)"))
+def upserted_index(spark, sf_dir):
+    """An index of two thirds of the rows, a third of them with other texts, brought up to date by a segment, then compacted."""
+    now = corpus(spark, sf_dir).where("doc_id % 7 <> 2").selectExpr("*", "cast(doc_id % 50 AS double) AS mtime", "false AS is_dataless")
+    before = corpus(spark, sf_dir).where("doc_id % 3 <> 1").selectExpr("*", "cast(CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 50 END AS double) AS mtime")
+    path, target = shared_folder(spark, "index"), shared_folder(spark, "compacted")
+    ft.write_segment(before.withColumn("body", F.when(F.col("mtime") < 0, F.lit("with with en stale")).otherwise(F.col("body"))), READER, "doc_id", path, 0)
+    ft.apply_changes(ft.changed_rows(before, now, "doc_id", "mtime"), now, READER, "doc_id", path, 1)
+    ft.compact(spark, path, target, "doc_id")
+    return _ranked(ft.search_index(spark, target, READER, "with en", "doc_id"))
 
 
 @query("fts2_top2_snippets")
@@ -101,6 +128,13 @@ def snippets(spark, sf_dir):
     return marked.select("doc_id", "rank", "snippet", F.size(F.filter(ft.segments(F.col("snippet")), lambda s: s["hit"])).alias("n_hits"))
 
 
+@query("fn15_snippet_segments", "SELECT doc_id, 'a ' || source || '|b ' || lang || '|end' AS texts, 2::BIGINT AS n_hits FROM documents")
+def marked_segments(spark, sf_dir):
+    marked = F.concat(F.lit("a "), "source", F.lit(ft.OPEN + "b "), "lang", F.lit(ft.CLOSE + ft.CLOSE + ft.OPEN + "end" + ft.CLOSE))
+    d = table(spark, sf_dir, "documents").select("doc_id", ft.segments(marked).alias("s"))
+    return d.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("texts"), F.size(F.filter("s", lambda x: x["hit"])).cast("long").alias("n_hits"))
+
+
 @query("fts3_find_counts", "SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS n_found FROM documents")
 def find_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", occurrences(F.col("text"), "THE").alias("n_found"))

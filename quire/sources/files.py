@@ -15,12 +15,24 @@ def fingerprints(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted files with their bytes, and one row of counts: all seen and accepted. The reader lists no empty files."""
+def scan(spark: SparkSession, root: str, expected: DataFrame | None = None, completed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted files with their bytes, what went wrong (path, problem), and one row of verdicts.
+
+    expected (path) is an earlier or a separate listing: a file of it that the scan doesn't see has vanished. A file whose
+    bytes are fewer than its listed length is unreadable. The verdicts are seen, accepted, unreadable, vanished, completed
+    (as the caller knows it) and is_clean: completed, and nothing went wrong. The reader lists no empty files.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = found.select("path", "content", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    broken = F.col("content").isNull() | (F.octet_length("content") < F.col("size"))
+    problems = rows.where(broken).select("path", F.lit("unreadable").alias("problem"))
+    if expected is not None:
+        problems = problems.unionByName(expected.select("path").join(found.select("path"), "path", "left_anti").select("path", F.lit("vanished").alias("problem")))
     counts = rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(accepted(F.col("path"))).alias("accepted"))
-    return rows.where(accepted(F.col("path"))), counts
+    wrong = problems.agg(F.count_if(F.col("problem") == "unreadable").alias("unreadable"), F.count_if(F.col("problem") == "vanished").alias("vanished"))
+    verdicts = counts.join(F.broadcast(wrong), F.lit(True)).withColumn("completed", F.lit(completed))  # one row each
+    verdicts = verdicts.withColumn("is_clean", F.col("completed") & (F.col("unreadable") + F.col("vanished") == 0))
+    return rows.where(accepted(F.col("path")) & ~broken), problems, verdicts
 
 
 def accepted(path: Column) -> Column:
@@ -35,19 +47,27 @@ def inspect(exists: Column, is_directory: Column, is_link: Column, is_regular: C
 def read_jsonl(spark: SparkSession, paths) -> DataFrame:
     """custom_id, text and error of batch results, one JSON per line; bad lines are skipped, the last line of an id wins.
 
-    The three shapes of the providers are read alike: the text is in the response's choices, candidates or content.
+    The three shapes of the providers are read alike: the text is in the response's choices, candidates or content. Lines
+    are in the order of their files' paths, and of their places in them, however Spark deals files to tasks.
     """
-    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return parse_jsonl(lines)
+    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return parse_jsonl(read.select("value", F.struct("file", "block", "row").alias("n")))
+
+
+#: What is read of a line, in any of the three shapes.
+ANSWER = """custom_id string, key string, error struct<message: string>,
+response struct<body: struct<choices: array<struct<message: struct<content: string>>>>, candidates: array<struct<content: struct<parts: array<struct<text: string>>>>>, error: struct<message: string>>,
+result struct<message: struct<content: array<struct<text: string>>>, error: struct<message: string>>"""
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """lines: value and n, the order of lines."""
-    at = lambda path: F.get_json_object("value", path)
-    one = lines.select(
-        F.coalesce(at("$.custom_id"), at("$.key")).alias("custom_id"),
-        F.coalesce(at("$.response.body.choices[0].message.content"), at("$.response.candidates[0].content.parts[0].text"), at("$.result.message.content[0].text")).alias("text"),
-        F.coalesce(at("$.error.message"), at("$.response.error.message"), at("$.result.error.message")).alias("error"),
+    """lines: value and n, the order of lines (any type with an order). All text parts of an answer are joined by line breaks."""
+    parts = lambda c: F.when(F.size(F.filter(c, lambda p: p["text"].isNotNull())) > 0, F.array_join(F.transform(c, lambda p: p["text"]), "\n"))
+    r = F.from_json("value", ANSWER)
+    one = lines.select(r.alias("r"), "n").select(
+        F.coalesce("r.custom_id", "r.key").alias("custom_id"),
+        F.coalesce(F.get("r.response.body.choices", F.lit(0))["message"]["content"], parts(F.get("r.response.candidates", F.lit(0))["content"]["parts"]), parts(F.col("r.result.message.content"))).alias("text"),
+        F.coalesce("r.error.message", "r.response.error.message", "r.result.error.message").alias("error"),
         "n",
     ).where("custom_id IS NOT NULL")
     last = one.groupBy("custom_id").agg(F.max_by(F.struct("text", "error"), "n").alias("r"))

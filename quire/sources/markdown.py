@@ -115,10 +115,6 @@ def _blocks(body: pd.Series) -> pd.Series:
     return body.map(parse_blocks)
 
 
-def _stripped(page: pd.Series) -> pd.Series:
-    return page.map(strip_header)
-
-
 def front_matter(text: Column | str) -> Column:
     """The fields of a note."""
     return F.pandas_udf(_front_matter, FRONT)(text)
@@ -130,5 +126,7 @@ def blocks(body: Column | str) -> Column:
 
 
 def stripped(page: Column | str) -> Column:
-    """A text page without its header."""
-    return F.pandas_udf(_stripped, "string")(page)
+    """strip_header() by built-in functions."""
+    body = F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))
+    pattern = "^" + HEADER.pattern
+    return F.when(body.rlike(pattern), F.regexp_replace(F.regexp_replace(body, pattern, ""), "^\\s+|\\s+$", "")).otherwise(body)

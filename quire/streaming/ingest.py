@@ -7,12 +7,13 @@ after a failure reads the log below it and overwrites its own part, so every eff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.filters import is_safe_group
+from quire.streaming import state as state_log
 
-STATE = "key string, fp string, dead boolean, batch long"
+STATE = "key string, fp string, dead boolean"
 
 
 def decide(sidecars: DataFrame, state: DataFrame, epoch: str, token: str) -> DataFrame:
@@ -52,10 +53,10 @@ def session_complete(controls: DataFrame, processed: DataFrame, waiting: DataFra
     return deferred.join(F.broadcast(waiting.agg(F.count(F.lit(1)).alias("n_waiting"))), F.lit(True)).select("n_deferred", "n_waiting", ((F.col("n_deferred") == 0) & (F.col("n_waiting") == 0)).alias("complete"))
 
 
-def orphans(objects: DataFrame, now: str, minutes: int = 10) -> DataFrame:
+def orphans(objects: DataFrame, now: str | Column, minutes: int = 10) -> DataFrame:
     """Old objects (stem, kind, modified) that miss their partner, with the reason; drained: a receipt with neither left."""
     kinds = objects.groupBy("stem").agg(F.max(F.col("kind") == "photo").alias("has_photo"), F.max(F.col("kind") == "media").alias("has_media"))
-    old = objects.where(F.col("modified") < F.to_timestamp(F.lit(now)) - F.make_interval(mins=F.lit(minutes)))
+    old = objects.where(F.col("modified") < (now if isinstance(now, Column) else F.to_timestamp(F.lit(now))) - F.make_interval(mins=F.lit(minutes)))
     met = old.join(kinds, "stem")
     reason = F.when((F.col("kind") == "media") & ~F.col("has_photo"), "no_sidecar").when((F.col("kind") == "photo") & ~F.col("has_media"), "no_media").when((F.col("kind") == "receipt") & ~F.col("has_photo") & ~F.col("has_media"), "drained")
     return met.select("stem", "kind", reason.alias("reason")).where("reason IS NOT NULL")
@@ -67,17 +68,10 @@ def start(spark: SparkSession, sidecars: DataFrame, state_path: str, out_path: s
     Results and state are written before the batch is committed, each batch into a folder of its own that a rerun overwrites.
     """
 
-    def one(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        try:
-            state = session.read.schema(STATE).option("basePath", state_path).parquet(f"{state_path}/batch=*").where(F.col("batch") < number)
-        except Exception as missing:  # the first batch finds no log
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            state = session.createDataFrame([], STATE)
-        decided = decide(batch, state, epoch, token).persist()
-        decided.where("action IN ('ingest', 'dead')").select("key", "fp", (F.col("action") == "dead").alias("dead")).coalesce(1).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        decided.where("action = 'ingest'").select("key", "fp").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        decided.unpersist()
-
-    return sidecars.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def step(batch: DataFrame, log: DataFrame):
+        decided = decide(batch, log, epoch, token)
+        new = decided.where("action IN ('ingest', 'dead')").select("key", "fp", (F.col("action") == "dead").alias("dead"))
+        newest = log.groupBy("key").agg(F.max_by(F.struct("fp", "dead"), "batch").alias("r")).select("key", "r.*")
+        return new, newest.join(new, "key", "left_anti").unionByName(new), decided.where("action = 'ingest'").select("key", "fp")
+
+    return state_log.run(sidecars, STATE, step, state_path, out_path, checkpoint)

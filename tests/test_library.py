@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import dates, facets, ordering, text
-from quire.operators import filters, fulltext, hierarchy, merge, sequence, similarity, tags
+from quire.operators import filters, fulltext, hierarchy, library, merge, sequence, similarity, tags
 from quire.sources import files, markdown, relay
 from quire.streaming import changes, ingest
 
@@ -223,5 +223,76 @@ def test_file_scans(spark, tmp_path):
     for name, body in (("a/x.pdf", b"1"), ("a/y.txt", b"22"), ("z.JPG", b"3")):
         (tmp_path / name).write_bytes(body)
     assert files.fingerprints(spark, str(tmp_path)).count() == 3
-    rows, counts = files.scan(spark, str(tmp_path))
-    assert rows.count() == 2 and tuple(counts.first()) == (3, 2)
+    rows, problems, verdicts = files.scan(spark, str(tmp_path))
+    assert rows.count() == 2 and problems.count() == 0
+    assert verdicts.first().asDict() == {"seen": 3, "accepted": 2, "unreadable": 0, "vanished": 0, "completed": True, "is_clean": True}
+    earlier = files.fingerprints(spark, str(tmp_path)).select("path").unionByName(spark.createDataFrame([("file:/gone.pdf",)], "path string"))
+    rows, problems, verdicts = files.scan(spark, str(tmp_path), earlier)
+    assert [tuple(r) for r in problems.collect()] == [("file:/gone.pdf", "vanished")] and not verdicts.first()["is_clean"]
+
+
+def test_jsonl_lines_are_in_the_order_of_files(spark, tmp_path):
+    line = lambda key, *parts: '{"custom_id":"%s","result":{"message":{"content":[%s]}}}' % (key, ",".join('{"type":"text","text":"%s"}' % p for p in parts))
+    (tmp_path / "01.jsonl").write_text(line("x", "old") + "\n" + line("y", "one", "two") + "\n{bad\n")
+    (tmp_path / "02.jsonl").write_text('{"key":"z","response":{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}}\n' + "{}\n" * 20_000 + line("x", "new") + "\n" + '{"custom_id":"w","error":{"message":"bad"}}\n')
+    got = {r.custom_id: (r.text, r.error) for r in files.read_jsonl(spark, str(tmp_path)).collect()}
+    assert got == {"x": ("new", None), "y": ("one\ntwo", None), "z": ("a\nb", None), "w": (None, "bad")}
+
+
+def test_folders_of_one_component_count_once(spark):
+    df = spark.createDataFrame([("inbox",), ("/a/b",), ("c/d",), ("/",)], "folder string")
+    assert {r.folder: r.n_files for r in library.folder_counts(df).collect()} == {"inbox": 1, "/a": 1, "/a/b": 1, "c": 1, "c/d": 1}
+
+
+FTS_ROWS = [(1, "cold war budget", "a"), (2, "cold weather report", "war"), (3, "wel-fare café budget cold cold", ""), (4, "nothing", "cold war"), (5, "budgets", "x"), (6, "re\u0301sume\u0301 of \u1e24asan", "y"), (7, "more of them ấ", "z")]
+FTS_QUERIES = ("cold war", "budget", "cafe", "wel-fare", "cold war bud", "resume", "hasan", "résumé", "Ḥas", "a", "of-hasan")
+
+
+def test_written_index_and_folding_equal_sqlite(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(body, name, tokenize=\"unicode61 remove_diacritics 2\")")
+    con.executemany("INSERT INTO f(rowid, body, name) VALUES (?, ?, ?)", FTS_ROWS)
+    schema, weights = "id int, body string, name string", {"body": 1.0, "name": 10.0}
+    df = spark.createDataFrame(FTS_ROWS, schema)
+    # rows 1 and 6 come first with other texts, row 8 goes again
+    fulltext.write_segment(df.where("id <= 4").withColumn("body", F.when(F.col("id") == 1, "cold stale").otherwise(F.col("body"))).unionByName(spark.createDataFrame([(8, "cold war", "gone")], schema)), weights, "id", str(tmp_path / "i"), 0)
+    fulltext.write_segment(df.where("id IN (1, 5, 6, 7)"), weights, "id", str(tmp_path / "i"), 1, spark.createDataFrame([(8,)], "id int"))
+    assert fulltext.compact(spark, str(tmp_path / "i"), str(tmp_path / "c"), "id") == 1
+    for q in FTS_QUERIES:
+        want = con.execute("SELECT rowid, bm25(f, 1, 10) FROM f WHERE f MATCH ? ORDER BY 2, 1", (fulltext.match_text(q),)).fetchall()
+        for found in (fulltext.search(df, weights, q, "id"), fulltext.search_index(spark, str(tmp_path / "i"), weights, q, "id"), fulltext.search_index(spark, str(tmp_path / "c"), weights, q, "id")):
+            got = [(r.id, r.score) for r in found.orderBy("rank").collect()]
+            assert [i for i, _ in got] == [i for i, _ in want], q
+            assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)
+    assert fulltext.search_index(spark, str(tmp_path / "c"), weights, "cold", "id", limit=2).count() == 2
+
+
+def test_headers_go_by_builtin_functions_too(spark):
+    pages = ["Extracted text.\nscan 1.jpg\nA · B · 2026\nClassification: x\n\n Body\nmore ", "Extracted text. x", "no header\nClassification: y", "", None, "Extracted text.\n\nonly body"]
+    got = [r[0] for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").orderBy("i").select(markdown.stripped("p")).collect()]
+    assert got == [markdown.strip_header(p) for p in pages] and got[0] == "Body\nmore"
+
+
+def test_differences_of_words_equal_a_full_table(spark):
+    import random
+
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ([r.choice("abcdAB") for _ in range(r.randrange(25))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(max(last[j + 1], row[-1], last[j] + (x.lower() == y.lower())))
+        got = text._compare(" ".join(a), " ".join(b))
+        assert not a or (got[1], got[2]) == (len(a) - row[-1], len(b) - row[-1])
+
+
+def test_best_matches_by_blocks(spark, monkeypatch):
+    names = [f"{a} {b}" for a in ("north", "south", "papers", "letters") for b in ("box", "file", "folder")]
+    df = lambda col, xs: spark.createDataFrame([(x,) for x in xs], f"{col} string")
+    whole = sorted(map(tuple, similarity.best_matches(df("candidate", ["north bax", "paper box", "zzz"]), df("folder", names)).collect()))
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    assert sorted(map(tuple, similarity.best_matches(df("candidate", ["north bax", "paper box", "zzz"]), df("folder", names)).collect())) == whole and whole

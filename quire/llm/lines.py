@@ -55,7 +55,8 @@ def without(text: Column, starts: Column, n: int = WINDOW) -> Column:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
     """Each row of docs as `row`, with n_lines, n_removed and text: the text that stays ('' for a null one).
 
-    Identical rows are kept alike; an empty table gives no rows; columns of any name go along inside `row`.
+    Identical rows are kept alike; null ids are a key of their own; texts of any length are taken whole; an empty table
+    gives no rows; columns of any name go along inside `row`.
     """
     marks = later_occurrences(docs, key, text, n)
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(whole(F.col(text))).alias("v"))

@@ -3,6 +3,10 @@
 Figures of a text are lengths, symbols, stop words, lines and repeats; a rule is (figure, low, high), and a text is
 kept if each figure lies within its bounds. A null text counts as empty, fails and is not kept. Texts of any length
 are taken whole; the work per text is a sort of its windows at most.
+
+The default table is for the four languages of STOP_WORDS: longer texts in another one have too few of them and are not
+kept. Callers with other languages give their stop words, and leave out `mean_word_chars` for scripts without spaces:
+tuple(r for r in RULES if r[0] not in ("mean_word_chars", "stop_word_ratio")).
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ def count_of(body: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
 
 
-def figures(text: Column) -> Column:
+def figures(text: Column, stop_words=STOP_WORDS) -> Column:
     """The figures of a text as one struct, each from built-in functions over the whole of it; it is parted into words once."""
     body = whole(text)
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD))
@@ -90,7 +94,7 @@ def figures(text: Column) -> Column:
             "n_dup_lines": let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))),
             "n_repeat_words": repeated_positions(ws),
             "n_lines": F.size(lines),
-            "n_stop_words": F.size(F.filter(ws, lambda w: w.isin(STOP_WORDS))),
+            "n_stop_words": F.size(F.filter(ws, lambda w: w.isin(list(stop_words)))),
             "n_shouted": count_of(body, "\\p{Lu}{2,}"),
             "n_bangs": count_of(body, "!"),
         }
@@ -130,16 +134,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
     """One row per row of docs: its key as doc_id, the figures, base_failed and kept.
 
     An empty table gives no rows; repeated rows give repeated results; other columns are not read.
     """
-    seen = docs.select(F.col(key).alias("doc_id"), figures(F.col(text)).alias("f")).select("doc_id", "f.*")
+    seen = docs.select(F.col(key).alias("doc_id"), figures(F.col(text), stop_words).alias("f")).select("doc_id", "f.*")
     return seen.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
 
 
-def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
     """The rows of docs that every rule keeps, with all their columns whatever their names: a filter in place."""
-    seen = docs.select(F.struct("*").alias("row"), figures(F.col(text)).alias("f")).select("row", "f.*")
+    seen = docs.select(F.struct("*").alias("row"), figures(F.col(text), stop_words).alias("f")).select("row", "f.*")
     return seen.where(~base_failed() & verdict(rules)).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -41,7 +41,8 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
     size is the UTF-8 length plus 1 (null text: 1, with the checksum of an empty text). Slots are gapless from 0 in
     each shard: a first pass over the keys alone counts (shard, bucket), running sums of these counts are the offsets
     of the buckets, and each bucket is numbered by itself, so no task holds a shard. Repeated rows are ties and get
-    slots of their own. An empty table gives no rows; other columns are not read.
+    slots of their own; rows with one key, nulls too, are numbered in one task, without their texts. Very long texts are
+    only measured. An empty table gives no rows; other columns are not read.
     """
     own = F.col(key)
     bucket = F.substring(F.md5(key_text(own)), 1, BUCKET_DIGITS)

@@ -225,6 +225,13 @@ def test_rules_count_repeats(spark, odd, nothing):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_rules_take_other_languages(spark):
+    russian = " ".join(["это обычный текст на русском языке в котором достаточно разных слов чтобы пройти все правила"] + [f"слово{k}" for k in range(40)])
+    df = spark.createDataFrame([(1, russian)], "doc_id long, text string")
+    assert not rules.measure(df).first().kept and rules.measure(df, stop_words=("это", "на", "в")).first().kept
+    assert rules.keep_good(df, rules=tuple(r for r in rules.RULES if r[0] != "stop_word_ratio")).count() == 1
+
+
 # Lines
 
 

@@ -11,6 +11,11 @@ HOT_ROWS = 10_000
 HOT_SHARE = 1 / (1 << 17)
 
 
+def hot_bound(total: int | None) -> float:
+    """From how many rows on a key is hot, if all keys have so many."""
+    return max(HOT_ROWS, (total or 0) * HOT_SHARE)
+
+
 def by_counted_key(rows: DataFrame, known: DataFrame, on: str, n: str) -> DataFrame:
     """rows joined to known, which has one row per key and says in n how many of rows have it.
 
@@ -18,7 +23,7 @@ def by_counted_key(rows: DataFrame, known: DataFrame, on: str, n: str) -> DataFr
     but where no key is hot the join is a plain one.
     """
     seen = known.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
-    bound = max(HOT_ROWS, (seen["total"] or 0) * HOT_SHARE)
+    bound = hot_bound(seen["total"])
     if (seen["most"] or 0) < bound:
         return rows.join(known, on)
     hot = known.where(F.col(n) >= bound)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.joins import by_counted_key
+from quire.llm.joins import by_counted_key, hot_bound
 from quire.llm.text import slices, whole
 from quire.session import cut
 
@@ -264,14 +264,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def only(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of docs with an id and a hash of the text that firsts has (id, v); of rows that share both one.
 
-    Rows that share an id and a text meet in one task; ids are the keys of docs, so these are few.
+    Such copies are counted first, without their texts. Where there are none, rows go as they are. Hot ones are brought down
+    to one row in each task before they move, so none of them meet.
     """
-    from pyspark.sql import Window
-
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(whole(F.col(text))).alias("w"))
-    met = rows.join(firsts, F.col("k").eqNullSafe(F.col("id")) & (F.col("w") == F.col("v")), "left_semi")
-    one = met.withColumn("nth", F.row_number().over(Window.partitionBy("k", "w").orderBy("k"))).where("nth = 1")
-    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    copies = cut(rows.groupBy("k", "w").count().where("count > 1"))
+    seen = copies.agg(F.sum("count").alias("total"), F.max("count").alias("most")).first()
+    bound = hot_bound(seen["total"])
+
+    def found(rs: DataFrame) -> DataFrame:
+        return rs.join(firsts, F.col("k").eqNullSafe(F.col("id")) & (F.col("w") == F.col("v")), "left_semi")
+
+    def one(rs: DataFrame) -> DataFrame:
+        return rs.groupBy("k", "w").agg(F.first("row").alias("row"))
+
+    if seen["most"] is None:
+        kept = found(rows)
+    elif seen["most"] < bound:
+        kept = one(found(rows))
+    else:
+        firsts = cut(firsts)
+        hot = F.broadcast(copies.where(F.col("count") >= bound).select(F.col("k").alias("hot_k"), F.col("w").alias("hot_w")))
+        is_hot = F.col("k").eqNullSafe(F.col("hot_k")) & (F.col("w") == F.col("hot_w"))
+        kept = one(found(rows.join(hot, is_hot, "left_anti"))).unionByName(found(one(rows.join(hot, is_hot, "left_semi"))))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

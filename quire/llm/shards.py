@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.text import unit_hash, whole
+from quire.session import cut
 
-#: Hex digits of the MD5 that part a shard into buckets for numbering.
+#: Hex digits of the MD5 that order a shard's rows for numbering.
 BUCKET_DIGITS = 3
-#: Offsets are broadcast up to so many rows (32 bytes each); beyond, they are joined by shuffle.
-MOST_OFFSETS = 1 << 17
+#: Copies of one row that are numbered at a time.
+CHUNK = 4096
 
 
 def key_text(key: Column) -> Column:
@@ -39,32 +40,33 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     size is the UTF-8 length plus 1 (null text: 1, with the checksum of an empty text). Slots are gapless from 0 in
-    each shard: a first pass over the keys alone counts (shard, bucket), running sums of these counts are the offsets
-    of the buckets, and each bucket is numbered by itself, so no task holds a shard. Repeated rows are ties and get
-    slots of their own; rows with one key, nulls too, are numbered in one task, without their texts. Very long texts are
-    only measured. An empty table gives no rows; other columns are not read.
+    each shard, in the order of a hash of the key, the key (null first), checksum and size. Rows alike in all of these are
+    counted and numbered CHUNK at a time, and chunks are dealt to ranges of that order, so neither a shard nor a key, a null
+    one or a repeated row among them, meets in one task. The sums of the ranges, one for each range and shard in it, are
+    the offsets. Texts don't move; very long ones are only measured. An empty table gives no rows; other columns are not read.
     """
     own = F.col(key)
     bucket = F.substring(F.md5(key_text(own)), 1, BUCKET_DIGITS)
     grown = grown or [*weights, weights[-1]]
-    counts = docs.select(best_shard(own, weights).alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    if len(weights) * 16**BUCKET_DIGITS <= MOST_OFFSETS:
-        offsets = F.broadcast(offsets)
     body = whole(F.col(text))
     rows = docs.select(
         own.alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
         best_shard(own, weights).alias("shard"),
         best_shard(own, grown).alias("grown_shard"),
         bucket.alias("bucket"),
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("nth", F.row_number().over(within))
-        .join(offsets, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
+    order = ["bucket", "doc_id", "text_crc32", "size", "start"]
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))
+    chunks = counted.withColumn("start", starts).withColumn("held", F.least(F.lit(CHUNK), F.col("n") - F.col("start"))).drop("n")
+    dealt = cut(chunks.repartitionByRange("shard", *order).withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("shard", "part").agg(F.sum("held").alias("held"))
+    offsets = sums.select("shard", "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("before", F.coalesce(F.sum("held").over(within), F.lit(0))).join(F.broadcast(offsets), ["shard", "part"])
+    return placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1))).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("before") + F.col("nth")).alias("slot"), "grown_shard"
     )

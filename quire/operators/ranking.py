@@ -25,3 +25,30 @@ def with_place(rows: DataFrame, order: list[Column | str], name: str = "place")
     offsets = counts.select("part_", F.coalesce(F.sum("held_").over(before), F.lit(0)).alias("first_"))
     numbered = sorted_rows.withColumn("part_", part).join(F.broadcast(offsets), "part_")
     return numbered.withColumn(name, F.col("first_") + F.col("n_").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1).drop("n_", "part_", "first_")
+
+
+#: A group with so many rows that also has this share of all rows is hot; so there are at most as many as the inverse of the share.
+HOT_ROWS = 10_000
+HOT_SHARE = 1 / (1 << 17)
+
+
+def with_place_in(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their 1-based place in the order within their group; null is a group, and the order should leave no ties.
+
+    Rows of hot groups, which are found by their counts, are numbered by ranges of the whole order, less where their group
+    starts; so no hot group meets in one task. Other groups have a window each. The tables of hot groups have 131,072 rows
+    at most and are broadcast.
+    """
+    counts = cut(rows.groupBy(F.col(group).alias("hot_")).agg(F.count(F.lit(1)).alias("held_")))
+    seen = counts.agg(F.sum("held_").alias("total"), F.max("held_").alias("most")).first()
+    bound = max(HOT_ROWS, (seen["total"] or 0) * HOT_SHARE)
+    own = Window.partitionBy(group).orderBy(*order)
+    if (seen["most"] or 0) < bound:
+        return rows.withColumn(name, F.row_number().over(own).cast("long"))
+    hot = F.broadcast(counts.where(F.col("held_") >= bound).select("hot_"))
+    is_hot = F.col(group).eqNullSafe(F.col("hot_"))
+    others = rows.join(hot, is_hot, "left_anti").withColumn(name, F.row_number().over(own).cast("long"))
+    placed = with_place(rows.join(hot, is_hot, "left_semi"), [group, *order], "at_").select(*rows.columns, "at_")
+    starts = placed.groupBy(F.col(group).alias("hot_")).agg(F.min("at_").alias("start_"))
+    numbered = placed.join(F.broadcast(starts), is_hot).withColumn(name, F.col("at_") - F.col("start_") + 1)
+    return others.unionByName(numbered.select(*others.columns))

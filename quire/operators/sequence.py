@@ -1,7 +1,7 @@
 """Analytics over ordered pages: segments, runs, forward fill, context and numbering.
 
 Pages have a group (a session, a shelf), a seq within it, and a classification: Document Start, Continuation, Box,
-Folder, or null for unknown. Every window is partitioned by the group.
+Folder, or null for unknown. Every window is partitioned by the group; numbering parts hot groups.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranking import with_place_in
+
 START, CONTINUATION, MARKERS = "Document Start", "Continuation", ("Box", "Folder")
 
 
@@ -122,8 +124,9 @@ def highest_number(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def numbered(rows: DataFrame, group: str, order: str, base: int = 0) -> DataFrame:
-    """file_name: five digits after the base, then the group."""
-    return rows.withColumn("file_name", F.format_string("%05d %s", (F.lit(base) + F.row_number().over(_by(group, order))).cast("int"), F.col(group)))
+    """file_name: five digits after the base, then the group. No group of many rows meets in one task."""
+    placed = with_place_in(rows, group, [order], "place_in_group")
+    return placed.withColumn("file_name", F.format_string("%05d %s", (F.lit(base) + F.col("place_in_group")).cast("int"), F.col(group))).drop("place_in_group")
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:

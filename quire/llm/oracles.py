@@ -89,4 +89,90 @@ y AS (SELECT *, unnest(range(passes + CASE WHEN take = 'all' OR (take = 'cut' AN
 SELECT doc_id, source, tokens, pass::BIGINT AS pass, block, md5('turn|' || pass || '|' || s || '|' || block) AS block_turn, md5('row|' || pass || '|' || k) AS order_key FROM y
 """
 
-SQL = {"op1_shards": SHARDS, "op3_mixture": MIXTURE, "op5_rules": RULES, "op6_lines": LINES}
+# How often hide() breaks up a mark, without looking around: each mark, or one broken up before, as a whole.
+_SITES = r"\[\\*(?:INST\]|/INST\]|SYS\]|/SYS\]|TURN\]|SAYS\]|/TURN\])|<\\*(?:s>|/s>)"
+
+CHATS = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+o AS (SELECT *, row_number() OVER w AS j, lag(role) OVER w AS before, lead(role) OVER w AS after FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+l AS (SELECT *, CASE
+    WHEN role = 'system' AND before IS NULL THEN length('<s>[SYS]  [/SYS]')
+    WHEN role = 'user' AND before = 'system' AND j = 2 THEN length('[INST]  [/INST]')
+    WHEN role = 'user' AND (before IS NULL OR before NOT IN ('system', 'user')) THEN length('<s>[INST]  [/INST]')
+    WHEN role = 'assistant' AND before = 'user' THEN length(' </s>') END AS room FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY j)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY j) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + len(regexp_extract_all(text, '{_SITES}')) + coalesce(room, length('[TURN][SAYS][/TURN]') + length(role) + len(regexp_extract_all(role, '{_SITES}'))))::BIGINT AS formatted_chars,
+  bool_and(room IS NOT NULL) AND arg_max(role, j) = 'assistant' AS valid
+FROM l GROUP BY conv_id
+"""
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """Every round as plain nearest centroids, which the search has to equal."""
+    ctes = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS b FROM (SELECT r, c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i} c) GROUP BY r)")
+        if i < rounds:
+            ctes += [
+                f"s{i} AS (SELECT b.c AS c, j, sum(y) AS s, count(*) AS n FROM (SELECT b, unnest(x) AS y, unnest(range(64)) AS j FROM a{i} JOIN v USING (r)) GROUP BY b.c, j)",
+                f"m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM s{i} GROUP BY c)",
+                f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)",
+            ]
+    return f"""WITH {", ".join(ctes)}
+    SELECT vec_id, b.c::INT AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c.x, lambda y: y::VARCHAR), ',')) AS centroid_sha256
+    FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.c = b.c"""
+
+
+def _repairs() -> str:
+    """A layer is a list of four strings, cost (9 digits) and edits, so the least string is the cheapest, then ASCII-least, way."""
+    far = "repeat('9', 9) || '~'"
+
+    def add(way: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {way} LIKE '%~' THEN {way} ELSE lpad((left({way}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{edit}' END"
+
+    extra = "CASE WHEN x IN ('S', 'U', 'A', 'X') THEN 3 ELSE 0 END"
+
+    def step(state: int) -> str:
+        ways = [add(f"l[{state}]", "4", "D")]
+        for before, initial, after in ((1, "s", 2), (1, "u", 3), (2, "u", 3), (4, "u", 3), (3, "a", 4)):
+            if after == state:
+                ways.append(f"CASE WHEN lower(x) = '{initial}' THEN {add(f'l[{before}]', extra, 'K')} ELSE {far} END")
+        for before, after in ((1, 3), (2, 3), (4, 3), (3, 4)):
+            if after == state:
+                ways.append(f"CASE WHEN x <> 'd' THEN {add(f'l[{before}]', '3 + ' + extra, 'R')} ELSE {far} END")
+        return f"least({', '.join(ways)})"
+
+    inserted = f"list_transform([list_transform([l], lambda l: [l[1], l[2], least(l[3], {add('l[1]', '3', 'I')}, {add('l[2]', '3', 'I')}, {add('l[4]', '3', 'I')}), l[4]])[1]], lambda l: [l[1], l[2], l[3], least(l[4], {add('l[3]', '3', 'I')})])[1]"
+    layer = f"list_transform([[{', '.join(step(s) for s in (1, 2, 3, 4))}]], lambda l: {inserted})[1]"
+    start = f"list_transform([[repeat('0', 9), {far}, {far}, {far}]], lambda l: {inserted})[1]"
+    return f"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+p AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM p WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS j, left(role, 1) AS ini FROM d),
+f AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY j) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM o),
+g AS (SELECT *, CASE WHEN fault IN (1, 2) THEN 'd' ELSE CASE WHEN ini IN ('s', 'u', 'a') THEN CASE WHEN fault = 3 THEN upper(ini) ELSE ini END WHEN fault = 3 THEN 'X' ELSE 'x' END END AS x FROM f),
+h AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, list(x ORDER BY j) AS signs FROM g GROUP BY conv_id),
+q AS (SELECT DISTINCT signs FROM h),
+l AS (SELECT signs, list_reduce(list_transform(signs, lambda s: [s]), lambda l, y: list_transform([y[1]], lambda x: {layer})[1], {start}) AS l FROM q),
+b AS (SELECT signs, least(l[1], l[4]) AS b FROM l),
+c AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, left(b, 9)::BIGINT AS cost, substr(b, 10) AS audit FROM h JOIN b USING (signs)),
+e AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS k FROM c WHERE audit <> ''),
+n AS (SELECT conv_id, edit, k, count(*) FILTER (edit <> 'I') OVER w AS j, count(*) FILTER (edit <> 'D') OVER w AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+r AS (SELECT n.*, CASE WHEN edit = 'K' THEN role END AS kept, CASE WHEN edit = 'I' THEN '' ELSE text END AS text FROM n LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM n.conv_id AND o.j = n.j AND edit <> 'I' WHERE edit <> 'D'),
+u AS (SELECT *, coalesce(bool_or(place = 1 AND left(kept, 1) = 's') OVER (PARTITION BY conv_id), false)::INT AS led FROM r),
+w AS (SELECT conv_id, string_agg(coalesce(kept, CASE WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY k) AS said FROM u GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+SQL = {"op1_shards": SHARDS, "op3_mixture": MIXTURE, "op5_rules": RULES, "op6_lines": LINES, "op11_chats": CHATS, "op12_clusters": _clusters(), "op13_repair": _repairs()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boosted, bpe, lines, mixing, oracles, pages, rules, secret_scan, shards, simhash, sketches
+from quire.llm import boosted, bpe, chats, exponion, lines, mixing, oracles, pages, repair, rules, secret_scan, shards, simhash, sketches
 from quire.llm.text import small_batches
 from quire.session import cut, table
 
@@ -69,5 +69,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_sketches, op3_mixture, op4_bpe, op5_rules, op6_lines, op7_simhash, op8_pages, op9_quality, op10_secrets)}
+#: A conversation whose texts hold the marks of op11's template.
+MARKED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "conversations")
+
+
+def op11_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    return chats.read_back(chats.format_turns(rows.union(spark.createDataFrame(MARKED, rows.schema))))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(conversations(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_sketches, op3_mixture, op4_bpe, op5_rules, op6_lines, op7_simhash, op8_pages, op9_quality, op10_secrets, op11_chats, op12_clusters, op13_repair)}
 ORACLES = oracles.SQL

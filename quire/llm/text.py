@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -52,6 +52,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def ordered_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """All rows of a key in one partition, one after the other and in order (nulls first), for operators that pass over them as a stream."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """For the queries and the pipeline, which own their session: fewer rows at a time between Spark and Python, for less memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

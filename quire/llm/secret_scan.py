@@ -4,14 +4,14 @@ A run of at least LEAST_RUN letters, digits and + / = _ - is a candidate. Its sc
 of log P(next | last) under the model of random strings, less that under the model of identifiers. A sum of MIN_SCORE or
 more that is MIN_MEAN or more for each pair is a span of kind `random`, unless a pattern's span overlaps it. Both models
 are smoothed towards one background, so what neither has seen says nothing. They are trained from labelled samples: the
-caller's, or by default ones made by rule, of which the identifiers are names, paths, slugs, file names with dates, UUIDs,
-numbers, alphabets in order and repeated characters.
+caller's, or by default ones made by rule, of which the identifiers are names, paths, slugs, file names with dates, numbers,
+alphabets in order and repeated characters. A candidate that holds a UUID is an identifier too.
 """
 
 from __future__ import annotations
 
-import functools
 import math
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,9 @@ LEAST_VALUE = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 LEAST_RUN = 16
-CANDIDATE = f"(?<![\\\\p{{L}}\\\\p{{N}}+/=_-])[A-Za-z0-9+/=_-]{{{LEAST_RUN},}}(?![\\\\p{{L}}\\\\p{{N}}])"
+CANDIDATE = f"(?<![\\p{{L}}\\p{{N}}+/=_-])[A-Za-z0-9+/=_-]{{{LEAST_RUN},}}(?![\\p{{L}}\\p{{N}}+/=_-])"
+# A UUID, which is an identifier although its digits are random.
+UUID = "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 MIN_SCORE, MIN_MEAN = 8.0, 1.05
 #: Weight of the background in a model, in pairs for each last character.
 SMOOTHING = 20.0
@@ -74,6 +76,7 @@ def samples(spark: SparkSession, seed: str = "train", count: int = SAMPLES) -> D
         "base36": cut_at(F.lower(swapped("+/=", "q7")), 20, 44),
         "letters": cut_at(swapped("0123456789+/=", "kQzXvJwYpLGb"), 20, 44),
         "upper hex": cut_at(F.upper("digest"), 24, 64),
+        "lower hex": cut_at(F.col("digest"), 16, 40),
     }
     identifier = {
         "snake": joined("_"),
@@ -85,7 +88,6 @@ def samples(spark: SparkSession, seed: str = "train", count: int = SAMPLES) -> D
         "word": F.concat(*(f"syllable{k}" for k in range(6))),
         "dated": F.concat_ws("_", F.upper(w[0]), date(""), F.lpad(number("t", 240_000), 6, "0"), often("s", F.upper(w[1])), often("s2", F.upper(w[2]))),
         "dated slug": F.concat_ws("-", date("-"), w[0], w[1], often("s", w[2]), often("v", F.concat(F.lit("v"), number("vv", 10)))),
-        "uuid": F.concat_ws("-", *(F.substring("digest", a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
         "number": F.substring(F.col("decimal"), F.lit(1), lot("cut", 14) + 16),
         "padded": F.concat(F.rpad(F.lit(""), lot("pad", 18) + 14, F.lit("0")), number("nn", 1000)),
         "repeated": F.concat("many", F.coalesce(often("tail", number("nn", 100)), F.lit(""))),
@@ -123,14 +125,15 @@ def train(labelled: DataFrame) -> list[float]:
     return [log_p["random"][a][b] - log_p["identifier"][a][b] for a in range(width) for b in range(width)]
 
 
-@functools.cache
-def _default_model(_session_id: int) -> list[float]:
-    return train(samples(SparkSession.getActiveSession()))
+#: Models of the rule-made samples, by session.
+_models: weakref.WeakKeyDictionary[SparkSession, list[float]] = weakref.WeakKeyDictionary()
 
 
 def default_model(spark: SparkSession) -> list[float]:
     """The model of the rule-made samples, trained once per session."""
-    return _default_model(id(spark._jsparkSession))
+    if spark not in _models:
+        _models[spark] = train(samples(spark))
+    return _models[spark]
 
 
 def score(token: Column, model: list[float]) -> Column:
@@ -148,8 +151,8 @@ def score(token: Column, model: list[float]) -> Column:
 
 
 def is_random(token: Column, model: list[float]) -> Column:
-    """Whether a candidate is likelier a random string than an identifier, by enough in all and on average."""
-    return let(score(token, model), lambda s: (s >= MIN_SCORE) & (s >= MIN_MEAN * (F.length(token) - 1)))
+    """Whether a candidate is likelier a random string than an identifier, by enough in all and on average, and holds no UUID."""
+    return ~token.rlike(UUID) & let(score(token, model), lambda s: (s >= MIN_SCORE) & (s >= MIN_MEAN * (F.length(token) - 1)))
 
 
 def spans(text: Column, pattern: str, order: int, group: int = 0, least: int = 0) -> Column:

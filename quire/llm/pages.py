@@ -4,10 +4,12 @@ Each page's containers are scored by the text in their blocks, less that in link
 one's path of tags and generalised classes is the page's vote. Spark counts the votes of each host. Every page is then
 extracted again from the container at its host's winning path, or from its own best where it has none there.
 
-Boilerplate by tag or role (menus, footers, asides, forms, headers outside of the article) always goes. A class or id
-only suggests it: by its last word (`site-footer`) more than by another one (`social-history`), never where a word says
-that it describes a layout (`with-sidebar`). An element so marked stays if nearly all of the page's text is in it, so a
-page never loses its article to the name of a wrapper. The work is linear in the page, however deep its elements nest.
+Boilerplate by tag or role (menus, footers, asides, forms) always goes, and so does a header, unless it is in an article
+or holds a title within the winning container. A class or id only suggests it, for containers and lists alone: by its
+last word (`site-footer`), or by another one before a word for a holder (`ad-container`); never by a word before the name
+of a subject (`related-work`, `menu-planning`), an ordinary noun after one (`binary-search`), or where a word says that it
+describes a layout (`with-sidebar`). An element so marked stays if nearly all of the page's text is in it, so a page
+never loses its article to the name of a wrapper. The work is linear in the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -47,6 +49,15 @@ BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login "
     "share sharing social related recommended recommendations pagination pager toolbar widget widgets search skip".split()
 )
+#: Words of BOILERPLATE that are ordinary nouns too; after an ordinary word (`binary-search`) they say nothing.
+NOUNS = frozenset("menu menus banner promotion consent notice notices notification alert popup social related share sharing search skip login modal header".split())
+#: Words for a place on a page, with which NOUNS do say something (`site-search`).
+PLACES = frozenset("site page top bottom left right main primary secondary global mobile desktop sticky fixed floating inline mini box quick cookie privacy user account".split())
+#: Last words that only say what holds a thing (`ad-container`); after another last word a name is of its content (`related-work`).
+HOLDERS = frozenset(
+    "container wrapper wrap inner outer box block area list lists item items link links button buttons bar icon icons post posts article articles story stories "
+    "section slot slots unit zone region panel group col column left right top bottom form content body text title heading row grid wide tall large small".split()
+)
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 LAYOUT = frozenset("with without has no not is layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -56,7 +67,11 @@ GOOD = frozenset("content article post entry story main body text".split())
 #: A container without a title gives way to one around it that has one, and at most this share more text.
 TITLE_SHARE = 0.15
 #: How an element is marked, and how much text may stand outside of it, as a share of its own, if it is to stay.
-PLAIN, HINTED, NAMED, TALK, CERTAIN = range(5)
+PLAIN, HINTED, NAMED, TALK, HEAD, CERTAIN = range(6)
+#: Elements whose class or id may hint; headings, paragraphs and quotations stay whatever their name.
+HINTABLE = CONTAINERS | frozenset("ul ol dl table tbody tr form details header footer".split())
+#: Whether an element goes: HELD ones are a header that stays in a winning container, as its title.
+STAYS, GOES, HELD = range(3)
 OUTSIDE = {HINTED: 1.0, NAMED: 0.2, TALK: 0.0}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -71,7 +86,7 @@ class Node:
 
     def __init__(self, tag, path, parent, mark, good, first):
         self.tag, self.path, self.parent, self.mark, self.good, self.first = tag, path, parent, mark, good, first
-        self.last, self.text, self.links, self.own, self.own_links, self.dropped = -1, 0, 0, 0, 0, False
+        self.last, self.text, self.links, self.own, self.own_links, self.dropped = -1, 0, 0, 0, 0, STAYS
         self.depth = parent.depth + 1 if parent else 0
         self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
 
@@ -83,28 +98,44 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _named(parts: list[str], good: bool) -> int:
+    """What the words of one class or id say."""
+    *first, last = parts
+    if not LAYOUT.isdisjoint(parts):
+        return PLAIN
+    held = last in HOLDERS
+    if last in COMMENTS or (held and parts[0] in COMMENTS):
+        return TALK
+    if last in BOILERPLATE:
+        clear = last not in NOUNS or not first or not (PLACES | BOILERPLATE | HOLDERS).isdisjoint(first)
+        return NAMED if clear else PLAIN
+    return HINTED if held and not good and not BOILERPLATE.isdisjoint(first) else PLAIN
+
+
 def mark_of(tag: str, attrs: dict[str, str], within: Node) -> int:
     """How surely an element is boilerplate."""
-    if tag in DROPPED or (tag == "header" and not (within.inside or within.tag in ("article", "main"))):
+    if tag in DROPPED:
         return CERTAIN
     found = NAMED if tag == "form" else PLAIN
+    if tag == "header" and not (within.inside or within.tag in ("article", "main")):
+        found = HEAD
     if not attrs or tag in ("html", "body", "article", "main"):
         return found
     if ("hidden" in attrs and attrs["hidden"].lower() != "until-found") or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
         return CERTAIN
+    if tag not in HINTABLE:
+        return found
     names = [[p.lower() for p in NAME_PARTS.findall(name)] for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split()]
     good = any(len(parts) == 1 and parts[0] in GOOD for parts in names)
+    if found == HEAD and any(not PLACES.isdisjoint(parts) for parts in names):
+        return CERTAIN
     for parts in names:
-        if not parts or not LAYOUT.isdisjoint(parts):
-            continue
-        if parts[-1] in COMMENTS or parts[0] in COMMENTS:
-            found = max(found, TALK)
-        elif parts[-1] == "header" and (tag == "header" or within.tag == "header" or within.inside or parts[0] in GOOD):
-            continue  # the head of an article
-        elif parts[-1] in BOILERPLATE:
-            found = max(found, NAMED)
-        elif not good and not BOILERPLATE.isdisjoint(parts):
-            found = max(found, HINTED)
+        if parts and parts[-1] == "header":
+            if found == HEAD and parts[0] in GOOD:
+                found = PLAIN
+            if tag == "header" or within.tag == "header" or within.inside or parts[0] in GOOD:
+                continue  # the head of an article
+        found = max(found, _named(parts, good) if parts else PLAIN)
     return found
 
 
@@ -219,11 +250,11 @@ def _sum_up(nodes: list[Node]) -> None:
     """Text and links of each subtree, without what is dropped; children come before their parents."""
     for node in nodes:
         node.text, node.links = (0, 0) if node.dropped else (node.own, node.own_links)
-        node.titled = node.tag == "h1" and node.text > 0
+        node.titled = node.tag == "h1" and node.own > 0 and node.dropped != GOES
     for node in reversed(nodes[1:]):
         node.parent.text += node.text
         node.parent.links += node.links
-        node.parent.titled |= node.titled
+        node.parent.titled |= node.titled and (not node.dropped or node.parent.good or node.parent.dropped == HELD)
 
 
 def _settled(blocks: list[tuple[str, Node]], nodes: list[Node]) -> tuple[list[tuple[str, Node]], list[Node]]:
@@ -231,8 +262,11 @@ def _settled(blocks: list[tuple[str, Node]], nodes: list[Node]) -> tuple[list[tu
     _sum_up(nodes)
     total = nodes[0].text
     for node in nodes[1:]:
-        stays = node.mark == PLAIN or (node.mark != CERTAIN and node.text and total - node.text <= OUTSIDE[node.mark] * node.text)
-        node.dropped = node.parent.dropped or not stays
+        if node.mark == HEAD:
+            own = HELD if node.titled and 2 * node.links <= node.text else GOES
+        else:
+            own = STAYS if node.mark == PLAIN or (node.mark != CERTAIN and node.text and total - node.text <= OUTSIDE[node.mark] * node.text) else GOES
+        node.dropped = GOES if GOES in (own, node.parent.dropped) else max(own, node.parent.dropped)
     _sum_up(nodes)
     return blocks, nodes
 
@@ -256,7 +290,8 @@ def best(nodes: list[Node]) -> Node:
 
 
 def text_of(blocks: list[tuple[str, Node]], node: Node) -> str:
-    return "\n\n".join(text for text, own in blocks[node.first : node.last] if not own.dropped)
+    held = node.tag in CONTAINERS and node.tag != "body"
+    return "\n\n".join(text for text, own in blocks[node.first : node.last] if not own.dropped or (held and own.dropped == HELD))
 
 
 def vote(page: str) -> tuple[int, int]:

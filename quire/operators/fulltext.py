@@ -1,10 +1,8 @@
 """Ranked full-text search: BM25 over weighted columns, phrases, prefixes and fragments in context.
 
 A query's words must all occur, in any of the columns. search() reads the rows themselves: statistics of the whole table
-come from one aggregate, and a second pass scores each row by itself, so neither shuffles a posting. For repeated queries
-write_segment() keeps postings with positions on disk, sorted by term, and search_index() answers the same queries from
-them, reading only the row groups of the terms. Changed rows go into a segment of their own; of each row the newest segment
-counts, and compact() makes one segment of many.
+come from one aggregate, and each row is scored by itself, so no posting is shuffled. For repeated queries
+quire.operators.textindex answers the same from a written index.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.ranking import with_place
@@ -97,11 +95,15 @@ def occurrences(ts: Column, term: Term) -> Column:
     return F.size(F.filter(ts, here))
 
 
-def search(docs: DataFrame, weights: dict[str, float], query: str, tie: str, limit: int | None = None) -> DataFrame:
-    """Rows that have every term, with score (less is better) and rank by score, then tie. No term: no row."""
-    terms = parse(query)
+def search(docs: DataFrame, weights: dict[str, float], query: str, tie: str, limit: int | None = None, keep: Iterable[str] | None = None) -> DataFrame:
+    """Rows that have every term, with score (less is better) and rank by score, then tie. No term: no row.
+
+    With keep, only these columns (and tie) are returned; then texts are read once, and what a row counts is written
+    between statistics and scores. Otherwise rows are read twice, and none is written.
+    """
+    terms, names = parse(query), list(dict.fromkeys([*keep, tie])) if keep is not None else docs.columns
     if not terms:
-        return docs.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0).cast("long")})
+        return docs.limit(0).select(*names).withColumns({"score": F.lit(0.0), "rank": F.lit(0).cast("long")})
     parts = F.array(*(tokens(F.col(c)) for c in weights))
 
     def measure(ts: Column) -> Column:
@@ -110,99 +112,36 @@ def search(docs: DataFrame, weights: dict[str, float], query: str, tie: str, lim
         return F.struct(length.alias("length"), *(f.alias(f"f{k}") for k, f in enumerate(weighted)))
 
     # bound once per row: the tokens are not made again for each figure that is taken of them
-    counted = docs.withColumn("m_", F.element_at(F.transform(F.array(parts), measure), 1))
+    counted = docs.select(*names, F.element_at(F.transform(F.array(parts), measure), 1).alias("m_"))
+    counted = cut(counted) if keep is not None else counted
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("m_.length").alias("mean"), *(F.count_if(F.col(f"m_.f{k}") > 0).alias(f"n_{k}") for k in range(len(terms)))).first()
-    score, every = _score([F.col(f"m_.f{k}") for k in range(len(terms))], [stats[f"n_{k}"] for k in range(len(terms))], stats["n"], stats["mean"], F.col("m_.length"))
-    return _ranked(counted.where(every).withColumn("score", score).drop("m_"), tie, limit)
+    idf = [inverse_frequency(stats["n"], stats[f"n_{k}"]) for k in range(len(terms))]
+    score, every = score_of([F.col(f"m_.f{k}") for k in range(len(terms))], idf, stats["mean"], F.col("m_.length"))
+    return ranked(counted.where(every).withColumn("score", score).drop("m_"), tie, limit)
+
 
+def inverse_frequency(n: int, held: int) -> float:
+    """How much a term weighs that held of n rows have; terms of more than half of all rows weigh next to nothing."""
+    idf = math.log((n - held + 0.5) / (held + 0.5)) if n else 0.0
+    return idf if idf > 0 else FLOOR
 
-def _score(found: list[Column], held: list[int], n: int, mean: float | None, length: Column) -> tuple[Column, Column]:
+
+def score_of(found: list[Column], idf: list[float], mean: float | None, length: Column) -> tuple[Column, Column]:
     """BM25 of weighted counts, less being better, and whether every term was found."""
     score, every = F.lit(0.0), F.lit(True)
-    for f, rows in zip(found, held, strict=True):
-        idf = math.log((n - rows + 0.5) / (rows + 0.5)) if n else 0.0
-        score -= F.lit(idf if idf > 0 else FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+    for f, weight in zip(found, idf, strict=True):
+        score -= F.lit(weight) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
         every &= f > 0
     return score, every
 
 
-def _ranked(found: DataFrame, tie: str, limit: int | None) -> DataFrame:
+def ranked(found: DataFrame, tie: str, limit: int | None) -> DataFrame:
+    """found with rank by score, then tie; with a limit, the first ones of that order."""
     if limit is not None:
         found = found.orderBy("score", tie).limit(limit)
     return with_place(found, ["score", tie], "rank")
 
 
-def postings(docs: DataFrame, columns: Iterable[str], key: str) -> DataFrame:
-    """term, key, c (the column) and positions, in order, of every token."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), tokens(F.col(c)).alias("ts")) for c in columns)))
-    at = docs.select(key, each.alias("e")).select(key, "e.c", F.posexplode("e.ts").alias("at", "term"))
-    return at.groupBy("term", key, "c").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-
-
-def write_segment(docs: DataFrame, columns: Iterable[str], key: str, path: str, segment: int, removed: DataFrame | None = None, files: int | None = None) -> None:
-    """Rows that are new or other, and keys that are gone, as one segment of an index; writing it again replaces it.
-
-    Postings lie in ranges of terms, sorted in each file; rows tell the number of tokens of each key, null for removed ones.
-    """
-    columns = list(columns)
-    made = postings(docs, columns, key)
-    ranged = made.repartitionByRange(files, "term") if files else made.repartitionByRange("term")
-    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/segment={segment}")
-    rows = docs.select(key, sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("n_tokens"))
-    if removed is not None:
-        rows = rows.unionByName(removed.select(key, F.lit(None).cast("long").alias("n_tokens")))
-    rows.write.mode("overwrite").parquet(f"{path}/rows/segment={segment}")
-
-
-def apply_changes(actions: DataFrame, current: DataFrame, columns: Iterable[str], key: str, path: str, segment: int) -> None:
-    """What changed_rows() says, as a segment: postings of rows to index, and marks for rows to remove."""
-    actions = cut(actions)
-    write_segment(current.join(actions.where("action = 'index'"), key, "left_semi"), columns, key, path, segment, actions.where("action = 'remove'"))
-
-
-def open_index(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """All postings with their segment, and the live rows: key, n_tokens and the newest segment of each."""
-    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/segment=*")
-    newest = rows.groupBy(key).agg(F.max_by(F.struct("n_tokens", "segment"), "segment").alias("r")).where("r.n_tokens IS NOT NULL")
-    return spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/segment=*"), newest.select(key, "r.n_tokens", "r.segment")
-
-
-def search_index(spark: SparkSession, path: str, weights: dict[str, float], query: str, key: str, limit: int | None = None) -> DataFrame:
-    """key, score and rank as by search(), from a written index. Only postings of the query's words are read and shuffled."""
-    held, live = open_index(spark, path, key)
-    terms = parse(query)
-    if not terms:
-        return live.limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
-    fits = {(k, j): F.col("term").startswith(w) if t.prefix and j + 1 == len(t.words) else F.col("term") == w for k, t in enumerate(terms) for j, w in enumerate(t.words)}
-    own = held.where(functools.reduce(Column.__or__, fits.values())).where(F.col("c").isin(*weights))
-    places = own.groupBy(key, "segment", "c").agg(*(F.flatten(F.collect_list(F.when(fit, F.col("positions")))).alias(f"p{k}_{j}") for (k, j), fit in fits.items()))
-    weight = F.coalesce(*(F.when(F.col("c") == c, F.lit(float(w))) for c, w in weights.items()))
-
-    def back(places: str, by: int) -> Column:
-        return F.transform(places, lambda x: x - by)
-
-    def times(k: int) -> Column:
-        starts = [back(f"p{k}_{j}", j) for j in range(len(terms[k].words))]
-        return F.size(functools.reduce(F.array_intersect, starts) if len(starts) > 1 else F.col(f"p{k}_0"))
-
-    by_row = places.groupBy(key, "segment").agg(*(F.sum(weight * times(k)).alias(f"f{k}") for k in range(len(terms))))
-    met = cut(by_row.join(live, [key, "segment"]))
-    rows = live.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
-    n_k = met.agg(*(F.count_if(F.col(f"f{k}") > 0) for k in range(len(terms)))).first()
-    score, every = _score([F.col(f"f{k}") for k in range(len(terms))], list(n_k), rows["n"], rows["mean"], F.col("n_tokens"))
-    return _ranked(met.where(every).select(key, score.alias("score")), key, limit)
-
-
-def compact(spark: SparkSession, source: str, target: str, key: str, postings_per_file: int = 5_000_000) -> int:
-    """One segment of the live rows of an index, in as few files as its postings need; returns their number."""
-    held, live = open_index(spark, source, key)
-    kept = held.join(live.select(key, "segment"), [key, "segment"], "left_semi").drop("segment")
-    files = max(1, -(-held.count() // postings_per_file))
-    kept.repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{target}/postings/segment=0")
-    live.select(key, "n_tokens").write.mode("overwrite").parquet(f"{target}/rows/segment=0")
-    return files
-
-
 def changed_rows(indexed: DataFrame, current: DataFrame, key: str, mtime: str) -> DataFrame:
     """key and action: index rows whose time is new or other, remove those gone or whose content is not here, skip the rest."""
     old = indexed.select(key, F.col(mtime).alias("old_time"), F.lit(True).alias("was"))

@@ -438,15 +438,14 @@ def organized(spark, sf_dir):
 
 @query("fts5_compacted_index", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(source || ' ' || lang || ' ' || coalesce(text, ''))), '[\\p{L}\\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term")
 def compacted(spark, sf_dir):
-    from quire.operators import fulltext
+    from quire.operators import textindex
 
     first, second = shared_folder(spark, "index"), shared_folder(spark, "compacted")
     docs, columns = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), ("source", "lang", "text")
     for segment in range(2):
-        fulltext.write_segment(docs.where(f"doc_id % 2 = {segment}"), columns, "doc_id", first, segment)
-    fulltext.compact(spark, first, second, "doc_id")
-    held, _ = fulltext.open_index(spark, second, "doc_id")
-    return held.groupBy("term").agg(F.count_distinct("doc_id").alias("n_docs"))
+        textindex.write_segment(docs.where(f"doc_id % 2 = {segment}"), columns, "doc_id", first, segment)
+    textindex.compact(spark, first, second)
+    return spark.read.parquet(f"{second}/postings").groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
 @query("src1_src2_scan")

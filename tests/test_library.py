@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import dates, facets, ordering, text
-from quire.operators import filters, fulltext, hierarchy, library, merge, sequence, similarity, tags
+from quire.operators import filters, fulltext, hierarchy, library, merge, sequence, similarity, tags, textindex
 from quire.sources import files, markdown, relay
 from quire.streaming import changes, ingest
 
@@ -257,16 +257,16 @@ def test_written_index_and_folding_equal_sqlite(spark, tmp_path):
     schema, weights = "id int, body string, name string", {"body": 1.0, "name": 10.0}
     df = spark.createDataFrame(FTS_ROWS, schema)
     # rows 1 and 6 come first with other texts, row 8 goes again
-    fulltext.write_segment(df.where("id <= 4").withColumn("body", F.when(F.col("id") == 1, "cold stale").otherwise(F.col("body"))).unionByName(spark.createDataFrame([(8, "cold war", "gone")], schema)), weights, "id", str(tmp_path / "i"), 0)
-    fulltext.write_segment(df.where("id IN (1, 5, 6, 7)"), weights, "id", str(tmp_path / "i"), 1, spark.createDataFrame([(8,)], "id int"))
-    assert fulltext.compact(spark, str(tmp_path / "i"), str(tmp_path / "c"), "id") == 1
+    textindex.write_segment(df.where("id <= 4").withColumn("body", F.when(F.col("id") == 1, "cold stale").otherwise(F.col("body"))).unionByName(spark.createDataFrame([(8, "cold war", "gone")], schema)), weights, "id", str(tmp_path / "i"), 0)
+    textindex.write_segment(df.where("id IN (1, 5, 6, 7)"), weights, "id", str(tmp_path / "i"), 1, spark.createDataFrame([(8,)], "id int"))
+    assert textindex.compact(spark, str(tmp_path / "i"), str(tmp_path / "c")) == 1
     for q in FTS_QUERIES:
         want = con.execute("SELECT rowid, bm25(f, 1, 10) FROM f WHERE f MATCH ? ORDER BY 2, 1", (fulltext.match_text(q),)).fetchall()
-        for found in (fulltext.search(df, weights, q, "id"), fulltext.search_index(spark, str(tmp_path / "i"), weights, q, "id"), fulltext.search_index(spark, str(tmp_path / "c"), weights, q, "id")):
+        for found in (fulltext.search(df, weights, q, "id"), textindex.search_index(spark, str(tmp_path / "i"), weights, q, "id"), textindex.search_index(spark, str(tmp_path / "c"), weights, q, "id")):
             got = [(r.id, r.score) for r in found.orderBy("rank").collect()]
             assert [i for i, _ in got] == [i for i, _ in want], q
             assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)
-    assert fulltext.search_index(spark, str(tmp_path / "c"), weights, "cold", "id", limit=2).count() == 2
+    assert textindex.search_index(spark, str(tmp_path / "c"), weights, "cold", "id", limit=2).count() == 2
 
 
 def test_headers_go_by_builtin_functions_too(spark):

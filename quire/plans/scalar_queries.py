@@ -9,6 +9,7 @@ from quire.functions import text as tx
 from quire.operators import estimates
 from quire.plans.fixtures import FILES, files
 from quire.sources import files as src
+from quire.sources import trees
 from quire.sources import links, markdown, relay
 from quire.session import shared_folder, table
 
@@ -448,6 +449,20 @@ def compacted(spark, sf_dir):
     return spark.read.parquet(f"{second}/postings").groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
+@query("src1_scan_verdicts", """SELECT lang, source, 1::BIGINT AS n_files, true AS has_bytes, 0::BIGINT AS unreadable, 0::BIGINT AS directory_errors, 0::BIGINT AS vanished, true AS is_clean FROM (SELECT DISTINCT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents)""")
+def scan_verdicts(spark, sf_dir):
+    """Documents written as a tree, a folder for each language and source with one file, and the verdicts of a scan of each."""
+    root = shared_folder(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *(F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")))
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").parquet(root)
+    found = trees.tree(spark, root)
+    part = lambda n: F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n)
+    kinds = {"unreadable": trees.UNREADABLE, "directory_errors": trees.DIRECTORY_ERROR, "vanished": trees.VANISHED}
+    wrong = {n: F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()}
+    by_folder = found.groupBy(part("lang"), part("source")).agg(F.count_if(F.col("kind") == trees.FILE).alias("n_files"), F.min(F.col("size") > 0).alias("has_bytes"), *wrong.values())
+    return by_folder.withColumn("is_clean", F.col("unreadable") + F.col("directory_errors") == 0)
+
+
 @query("src1_src2_scan")
 def scanned(spark, sf_dir):
     found = src.fingerprints(spark, f"{sf_dir}/*.parquet")

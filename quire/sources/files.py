@@ -5,34 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import cut
+from quire.sources import trees
+
 # Extensions that are accepted.
 ACCEPTED = "jpg jpeg png tiff tif heic pdf".split()
 
 
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, modified and size of every file below a root that has content; contents are not read. The reader lists no empty files."""
+    """path, modified and size of every file below a root that has content, in any store; contents are not read.
+
+    Spark's reader lists no empty files; quire.sources.trees does, on file systems that are mounted.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def scan(spark: SparkSession, root: str, expected: DataFrame | None = None, completed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accepted files with their bytes, what went wrong (path, problem), and one row of verdicts.
+def scan(spark: SparkSession, root: str, cancelled: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted files with their bytes, what went wrong (path, problem, reason), and one row of verdicts.
 
-    expected (path) is an earlier or a separate listing: a file of it that the scan doesn't see has vanished. A file whose
-    bytes are fewer than its listed length is unreadable. The verdicts are seen, accepted, unreadable, vanished, completed
-    (as the caller knows it) and is_clean: completed, and nothing went wrong. The reader lists no empty files.
+    The tree is passed over once for problems and verdicts, which opens every file; the bytes are read with the rows.
+    Files that cannot be read are problems, not rows, and fail nothing; empty files are rows.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = found.select("path", "content", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    broken = F.col("content").isNull() | (F.octet_length("content") < F.col("size"))
-    problems = rows.where(broken).select("path", F.lit("unreadable").alias("problem"))
-    if expected is not None:
-        problems = problems.unionByName(expected.select("path").join(found.select("path"), "path", "left_anti").select("path", F.lit("vanished").alias("problem")))
-    counts = rows.agg(F.count(F.lit(1)).alias("seen"), F.count_if(accepted(F.col("path"))).alias("accepted"))
-    wrong = problems.agg(F.count_if(F.col("problem") == "unreadable").alias("unreadable"), F.count_if(F.col("problem") == "vanished").alias("vanished"))
-    verdicts = counts.join(F.broadcast(wrong), F.lit(True)).withColumn("completed", F.lit(completed))  # one row each
-    verdicts = verdicts.withColumn("is_clean", F.col("completed") & (F.col("unreadable") + F.col("vanished") == 0))
-    return rows.where(accepted(F.col("path")) & ~broken), problems, verdicts
+    seen = cut(trees.tree(spark, root))
+    problems = seen.where(F.col("kind") != trees.FILE).select("path", F.col("kind").alias("problem"), "reason")
+    rows = trees.tree(spark, root, contents=True).where((F.col("kind") == trees.FILE) & accepted(F.col("path")))
+    return rows.select("path", "content", "modified", "size"), problems, trees.verdicts(seen, cancelled)
 
 
 def accepted(path: Column) -> Column:

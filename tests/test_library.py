@@ -223,12 +223,11 @@ def test_file_scans(spark, tmp_path):
     for name, body in (("a/x.pdf", b"1"), ("a/y.txt", b"22"), ("z.JPG", b"3")):
         (tmp_path / name).write_bytes(body)
     assert files.fingerprints(spark, str(tmp_path)).count() == 3
+    (tmp_path / "a/empty.tif").write_bytes(b"")
     rows, problems, verdicts = files.scan(spark, str(tmp_path))
-    assert rows.count() == 2 and problems.count() == 0
-    assert verdicts.first().asDict() == {"seen": 3, "accepted": 2, "unreadable": 0, "vanished": 0, "completed": True, "is_clean": True}
-    earlier = files.fingerprints(spark, str(tmp_path)).select("path").unionByName(spark.createDataFrame([("file:/gone.pdf",)], "path string"))
-    rows, problems, verdicts = files.scan(spark, str(tmp_path), earlier)
-    assert [tuple(r) for r in problems.collect()] == [("file:/gone.pdf", "vanished")] and not verdicts.first()["is_clean"]
+    assert sorted((r.path.rsplit("/", 1)[1], bytes(r.content)) for r in rows.collect()) == [("empty.tif", b""), ("x.pdf", b"1"), ("z.JPG", b"3")] and problems.count() == 0
+    assert verdicts.first().asDict() == {"files_seen": 4, "unreadable": 0, "directory_errors": 0, "vanished": 0, "root_unreadable": False, "completed": True, "is_clean": True}
+    assert not files.scan(spark, str(tmp_path), cancelled=True)[2].first()["is_clean"]
 
 
 def test_jsonl_lines_are_in_the_order_of_files(spark, tmp_path):

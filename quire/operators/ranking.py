@@ -18,13 +18,13 @@ def with_place(rows: DataFrame, order: list[Column | str], name: str = "place")
     partition, give the offsets. The numbered rows are written to the shared folder once, so that a lost task sorts again
     without moving any number.
     """
-    sorted_rows = cut(rows.orderBy(*order).withColumn("n_", F.monotonically_increasing_id()))
-    part = F.shiftright("n_", ROW_BITS).alias("part_")
-    counts = sorted_rows.groupBy(part).agg(F.count(F.lit(1)).alias("held_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part_", F.coalesce(F.sum("held_").over(before), F.lit(0)).alias("first_"))
-    numbered = sorted_rows.withColumn("part_", part).join(F.broadcast(offsets), "part_")
-    return numbered.withColumn(name, F.col("first_") + F.col("n_").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1).drop("n_", "part_", "first_")
+    sorted_rows = cut(rows.orderBy(*order).withColumn("rank_n_", F.monotonically_increasing_id()))
+    part = F.shiftright("rank_n_", ROW_BITS).alias("rank_part_")
+    counts = sorted_rows.groupBy(part).agg(F.count(F.lit(1)).alias("rank_held_"))
+    before = Window.orderBy("rank_part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("rank_part_", F.coalesce(F.sum("rank_held_").over(before), F.lit(0)).alias("rank_first_"))
+    numbered = sorted_rows.withColumn("rank_part_", part).join(F.broadcast(offsets), "rank_part_")
+    return numbered.withColumn(name, F.col("rank_first_") + F.col("rank_n_").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1).drop("rank_n_", "rank_part_", "rank_first_")
 
 
 #: A group with so many rows that also has this share of all rows is hot; so there are at most as many as the inverse of the share.
@@ -39,13 +39,13 @@ def with_place_in(rows: DataFrame, group: str, order: list[str], name: str = "pl
     starts; so no hot group meets in one task. Other groups have a window each. The tables of hot groups have 131,072 rows
     at most and are broadcast.
     """
-    counts = cut(rows.groupBy(F.col(group).alias("hot_")).agg(F.count(F.lit(1)).alias("held_")))
-    seen = counts.agg(F.sum("held_").alias("total"), F.max("held_").alias("most")).first()
+    counts = cut(rows.groupBy(F.col(group).alias("hot_")).agg(F.count(F.lit(1)).alias("rank_held_")))
+    seen = counts.agg(F.sum("rank_held_").alias("total"), F.max("rank_held_").alias("most")).first()
     bound = max(HOT_ROWS, (seen["total"] or 0) * HOT_SHARE)
     own = Window.partitionBy(group).orderBy(*order)
     if (seen["most"] or 0) < bound:
         return rows.withColumn(name, F.row_number().over(own).cast("long"))
-    hot = F.broadcast(counts.where(F.col("held_") >= bound).select("hot_"))
+    hot = F.broadcast(counts.where(F.col("rank_held_") >= bound).select("hot_"))
     is_hot = F.col(group).eqNullSafe(F.col("hot_"))
     others = rows.join(hot, is_hot, "left_anti").withColumn(name, F.row_number().over(own).cast("long"))
     placed = with_place(rows.join(hot, is_hot, "left_semi"), [group, *order], "at_").select(*rows.columns, "at_")

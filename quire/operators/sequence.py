@@ -1,7 +1,7 @@
 """Analytics over ordered pages: segments, runs, forward fill, context and numbering.
 
 Pages have a group (a session, a shelf), a seq within it, and a classification: Document Start, Continuation, Box,
-Folder, or null for unknown. Every window is partitioned by the group; numbering parts hot groups.
+Folder, or null for unknown. Groups of any size are folded in chunks (quire.operators.chunks), so none meets in one task.
 """
 
 from __future__ import annotations
@@ -9,19 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import chunks
+from quire.operators.chunks import Ordered
 from quire.operators.ranking import with_place_in
+from quire.session import cut
 
 START, CONTINUATION, MARKERS = "Document Start", "Continuation", ("Box", "Folder")
 
 
-def _by(group: str, seq: str = "seq"):
-    return Window.partitionBy(group).orderBy(seq)
-
-
-def _to_here(group: str, seq: str = "seq"):
-    return _by(group, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def is_marker(kind: Column) -> Column:
     return F.coalesce(kind.isin(*MARKERS), F.lit(False))
 
@@ -29,8 +24,10 @@ def is_marker(kind: Column) -> Column:
 def segments(pages: DataFrame, group: str, seq: str = "seq", kind: str = "classification") -> DataFrame:
     """segment, from 0 in each group: markers stand alone, starts and unknown pages open one, continuations join it."""
     k = F.col(kind)
-    opens = is_marker(k) | k.isNull() | (k == START) | is_marker(F.lag(k).over(_by(group, seq))) | (F.row_number().over(_by(group, seq)) == 1)
-    return pages.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("segment", F.sum("opens").over(_to_here(group, seq)) - 1).drop("opens")
+    before = F.col("before_")
+    opens = is_marker(k) | k.isNull() | (k == START) | before.isNull() | is_marker(before["v"])
+    found = Ordered(pages, group, seq).with_folds(before_=chunks.lag(k)).map(opens_=opens.cast("int")).with_folds(segment=chunks.running_sum(F.col("opens_")))
+    return found.rows().withColumn("segment", F.col("segment") - 1).drop("before_", "opens_")
 
 
 def segment_rows(pages: DataFrame, group: str, text: str = "text") -> DataFrame:
@@ -46,8 +43,9 @@ def segment_rows(pages: DataFrame, group: str, text: str = "text") -> DataFrame:
 
 def runs(pages: DataFrame, group: str, seq: str = "seq", kind: str = "classification") -> DataFrame:
     """run, from 0: a page and the continuations after it. Unlike a segment, a run may go on from a marker."""
-    opens = ~F.coalesce(F.col(kind) == CONTINUATION, F.lit(False)) | (F.row_number().over(_by(group, seq)) == 1)
-    return pages.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(_to_here(group, seq)) - 1).drop("opens")
+    goes_on = F.coalesce(F.col(kind) == CONTINUATION, F.lit(False))
+    found = Ordered(pages, group, seq).with_folds(run=chunks.running_sum((~goes_on).cast("int")), begins_=chunks.first_known(goes_on.cast("int")))
+    return found.rows().withColumn("run", F.col("run") - 1 + F.col("begins_")).drop("begins_")  # a group that begins with a continuation has no row that opens its first run
 
 
 def selected_runs(pages: DataFrame, group: str, selected: Column) -> DataFrame:
@@ -58,47 +56,51 @@ def selected_runs(pages: DataFrame, group: str, selected: Column) -> DataFrame:
 
 def collections(pages: DataFrame, group: str, box: Column, default: str = "Uncategorized") -> DataFrame:
     """collection: the latest box name; before the first box that one's; without any box the default. place: by first page."""
-    whole = Window.partitionBy(group).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = pages.withColumn("box", box)
-    filled = named.withColumn("collection", F.coalesce(F.last("box", ignorenulls=True).over(_to_here(group)), F.first("box", ignorenulls=True).over(whole), F.lit(default))).drop("box")
-    first = filled.withColumn("first_seq", F.min("seq").over(Window.partitionBy(group, "collection")))
-    return first.withColumn("place", F.dense_rank().over(Window.partitionBy(group).orderBy("first_seq"))).drop("first_seq")
+    found = Ordered(pages, group, "seq").map(box_=box).with_folds(last_=chunks.last(F.col("box_")), first_=chunks.first_known(F.col("box_")))
+    filled = found.map(collection=F.coalesce("last_", "first_", F.lit(default))).rows().drop("last_", "first_", "box_")
+    first = filled.groupBy(F.col(group).alias("of_"), F.col("collection").alias("named_")).agg(F.min("seq").alias("first_seq"))
+    places = cut(first.withColumn("place", F.dense_rank().over(Window.partitionBy("of_").orderBy("first_seq"))).drop("first_seq"))  # a row for each collection
+    side = F.broadcast(places) if places.count() <= chunks.MOST_BROADCAST else places
+    return filled.join(side, F.col(group).eqNullSafe(F.col("of_")) & (F.col("collection") == F.col("named_"))).drop("of_", "named_")
 
 
 def as_of_box(pages: DataFrame, group: str, box: Column, current: Column) -> DataFrame:
     """assigned: the greatest box at or before a page; before the first box, and for boxes, the current key stays."""
-    named = pages.withColumn("box", box)
-    last = F.last("box", ignorenulls=True).over(_to_here(group))
-    return named.withColumn("assigned", F.when(F.col("box").isNotNull(), current).otherwise(F.coalesce(last, current))).drop("box")
+    found = Ordered(pages, group, "seq").map(box_=box, current_=current).with_folds(last_=chunks.last(F.col("box_")))
+    assigned = F.when(F.col("box_").isNotNull(), F.col("current_")).otherwise(F.coalesce("last_", "current_"))
+    return found.map(assigned=assigned).rows().drop("box_", "current_", "last_")
 
 
 def nearby(segment_table: DataFrame, group: str, text: str = "text", n: int = 3, most: int = 300) -> DataFrame:
     """context: of n segments before and n after, the first n of that list, each cut, joined by a rule."""
-    before = F.collect_list(F.left(text, F.lit(most))).over(_by(group, "segment").rowsBetween(-n, -1))
-    after = F.collect_list(F.left(text, F.lit(most))).over(_by(group, "segment").rowsBetween(1, n))
-    return segment_table.withColumn("context", F.array_join(F.slice(F.concat(before, after), 1, n), "\n---\n"))
+    return chunks.with_neighbours(segment_table, group, "segment", n, "context", F.left(text, F.lit(most)), lambda before, after: F.array_join(F.slice(F.concat(before, after), 1, n), "\n---\n"))
 
 
 def previous_tail(pages: DataFrame, group: str, text: str = "text", n: int = 200) -> DataFrame:
-    return pages.withColumn("tail", F.right(F.lag(text).over(_by(group)), F.lit(n)))
+    found = Ordered(pages, group, "seq").map(cut_=F.right(text, F.lit(n))).with_folds(before_=chunks.lag(F.col("cut_")))
+    return found.map(tail=F.col("before_.v")).rows().drop("cut_", "before_")
 
 
 def triage(rows: DataFrame, order: str, wanted: Column, partition: str | None = None) -> DataFrame:
-    """next_wanted and previous_wanted: the nearest row after and before that is wanted, going round at the ends."""
-    spec = (Window.partitionBy(partition) if partition else Window.partitionBy()).orderBy(order)
-    hit = F.when(wanted, F.col(order))
-    every = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.first(hit, ignorenulls=True).over(spec.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(hit, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumns({"next_wanted": F.coalesce(after, F.min(hit).over(every)), "previous_wanted": F.coalesce(before, F.max(hit).over(every))})
+    """next_wanted and previous_wanted: the nearest row after and before that is wanted, going round at the ends.
+
+    Without a partition all rows are one group, which is no more one task's than any other hot group.
+    """
+    named = (rows if partition else rows.withColumn("all_", F.lit(0))).withColumn("hit_", F.when(wanted, F.col(order)))
+    hit = F.col("hit_")
+    found = Ordered(named, partition or "all_", order).with_folds(after_=chunks.following(hit), before_=chunks.last(hit, before=True), least_=chunks.least(hit), most_=chunks.greatest(hit))
+    return found.map(next_wanted=F.coalesce("after_", "least_"), previous_wanted=F.coalesce("before_", "most_")).rows().drop("all_", "hit_", "after_", "before_", "least_", "most_")
 
 
 def find_positions(panes: DataFrame, document: str, pane: str, n: str) -> DataFrame:
-    """One row per match: its pane, ordinal in the pane, 1-based position in the document, and the neighbours going round."""
-    each = panes.where(F.col(n) > 0).select(document, pane, F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)).alias("ordinal"))
-    spec = Window.partitionBy(document).orderBy(pane, "ordinal")
-    total = F.count(F.lit(1)).over(Window.partitionBy(document))
-    placed = each.withColumn("position", F.row_number().over(spec)).withColumn("total", total)
+    """One row per match: its pane, ordinal in the pane, 1-based position in the document, and the neighbours going round.
+
+    What is summed up is a row for each pane, whose matches then follow from its sum.
+    """
+    held = panes.where(F.col(n) > 0).select(document, pane, F.col(n).cast("int").alias("n_"))
+    summed = Ordered(held, document, pane).with_folds(to_=chunks.running_sum(F.col("n_")), total=chunks.total(F.col("n_"))).rows()
+    each = summed.select(document, pane, "total", (F.col("to_") - F.col("n_")).alias("before_"), F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("ordinal"))
+    placed = each.withColumn("position", F.col("before_") + F.col("ordinal") + 1).drop("before_")
     following = F.col("position") % F.col("total") + 1
     preceding = (F.col("position") + F.col("total") - 2) % F.col("total") + 1
     return placed.withColumns({"following": following, "preceding": preceding})
@@ -132,11 +134,10 @@ def numbered(rows: DataFrame, group: str, order: str, base: int = 0) -> DataFram
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """unique_name: later rows of a name, whatever the case, get 2, 3 and so on; numbers that a literal name has are skipped."""
     key = F.lower(name)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
     literal = rows.select(F.regexp_extract(key, "^(.*) ([0-9]+)$", 1).alias("stem"), F.regexp_extract(key, "^(.*) ([0-9]+)$", 2).try_cast("int").alias("number")).where("number >= 2")
     taken = literal.groupBy("stem").agg(F.array_sort(F.collect_set("number")).alias("taken"))
-    met = rows.withColumn("nth", nth).withColumn("key", key).join(taken, F.col("key") == F.col("stem"), "left")
-    number = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("nth"), lambda n, t: F.when((n >= 2) & (t <= n), n + 1).otherwise(n))
+    met = with_place_in(rows.withColumn("key", key), "key", [order], "nth").join(taken, F.col("key") == F.col("stem"), "left")
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("nth").cast("int"), lambda n, t: F.when((n >= 2) & (t <= n), n + 1).otherwise(n))
     return met.withColumn("unique_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat_ws(" ", name, number))).drop("nth", "key", "stem", "taken")
 
 

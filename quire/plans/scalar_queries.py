@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import dates as dt
 from quire.functions import text as tx
-from quire.operators import estimates
+from quire.operators import chunks, estimates
+from quire.operators.ranking import with_place_in
 from quire.plans.fixtures import FILES, files
 from quire.sources import files as src
 from quire.sources import trees
@@ -105,10 +106,8 @@ def collection_name(spark, sf_dir):
     """SELECT p_partkey, first_value(p_type) OVER (PARTITION BY lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) ORDER BY p_partkey) AS canonical FROM part""",
 )
 def cluster_repair(spark, sf_dir):
-    from pyspark.sql import Window
-
-    spec = Window.partitionBy(F.lower(F.regexp_replace("p_type", "[^A-Za-z]", ""))).orderBy("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.first("p_type").over(spec).alias("canonical"))
+    keyed = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")).alias("key"))
+    return chunks.Ordered(keyed, "key", "p_partkey").with_folds(canonical=chunks.first_known(F.col("p_type"))).rows().select("p_partkey", "canonical")
 
 
 @query("fn13_word_diff")
@@ -228,11 +227,9 @@ def overridden(spark, sf_dir):
     SELECT o_orderkey, coalesce(saved, CASE WHEN n = 1 THEN base ELSE base || ' ' || n END) AS output FROM r""",
 )
 def resume(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("kept/"), "o_orderkey")).alias("saved"), F.col("o_orderpriority").alias("base"))
-    n = F.row_number().over(Window.partitionBy("base", F.col("saved").isNull()).orderBy("o_orderkey"))
-    return p.withColumn("n", n).select("o_orderkey", F.coalesce("saved", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws(" ", "base", "n"))).alias("output"))
+    numbered = with_place_in(p.withColumn("same", F.when(F.col("saved").isNull(), F.col("base"))), "same", ["o_orderkey"], "n")
+    return numbered.select("o_orderkey", F.coalesce("saved", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws(" ", "base", "n"))).alias("output"))
 
 
 @query("misc5_pending_group", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderkey LIMIT 1")

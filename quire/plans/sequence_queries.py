@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import chunks
 from quire.operators import sequence as sq
+from quire.operators.chunks import Ordered
 from quire.session import table
 
 QUERIES: dict = {}
@@ -115,10 +117,8 @@ def find(spark, sf_dir):
     f"SELECT conv_id, turn, (count(*) OVER (PARTITION BY conv_id) + 1) // 2 AS n_pairs, (turn // 2)::BIGINT AS pair, turn % 2 = 0 AS is_image, {FIND} AS n_found FROM conversations",
 )
 def pairs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(c.alias(k) for k, c in sq.page_pairs(F.col("turn"), n).items()), sq.occurrences(F.col("text"), "the").alias("n_found"))
+    counted = Ordered(table(spark, sf_dir, "conversations").withColumn("one", F.lit(1)), "conv_id", "turn").with_folds(n_pages=chunks.total(F.col("one"))).rows()
+    return counted.select("conv_id", "turn", *(c.alias(k) for k, c in sq.page_pairs(F.col("turn"), F.col("n_pages")).items()), sq.occurrences(F.col("text"), "the").alias("n_found"))
 
 
 @query(

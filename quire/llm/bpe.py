@@ -152,8 +152,8 @@ def vocabulary(content: str) -> Vocabulary:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, the columns in carry and, if asked for, the ids.
 
-    The driver reads the tokenizer's file and broadcasts it, a fixed size. Null and empty texts have no token; repeated
-    rows give repeated results; an empty table gives no rows; other columns are not read. A worker holds one batch of texts and a bounded word cache.
+    The driver reads the tokenizer's file and broadcasts it, a fixed size. Null and empty texts have no token; texts of any length
+    are encoded whole; repeated rows give repeated results; an empty table gives no rows; other columns are not read. A worker holds one batch of texts and a bounded word cache.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as file:

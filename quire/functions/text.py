@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -159,19 +160,44 @@ def _word_diff(baseline: pd.Series, other: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_compare(a or "", b or "") for a, b in zip(baseline, other)], columns=["similarity", "missing", "added", "changed"])
 
 
-def _lengths(u, v):
-    """For each k, the longest common subsequence of u and the first k of v: one row, a pass of u."""
-    import numpy as np
+#: Words of a text whose rows are kept at once, for the way back.
+KEPT = 256
+
+
+def _rows(u: list[int], v: list[int]) -> Iterator[int]:
+    """After each word of u, a number with a bit for each word of v: 0 where the longest common subsequence with the first words of v grows.
 
-    row = np.zeros(len(v) + 1, np.int64)
+    Each word takes three operations on the row, of 64 words of v at a time.
+    """
+    masks: dict[int, int] = {}
+    wanted = set(u)
+    for j, y in enumerate(v):
+        if y in wanted:
+            masks.setdefault(y, []).append(j)
+    for y, places in masks.items():
+        bits = bytearray(places[-1] // 8 + 1)
+        for j in places:
+            bits[j >> 3] |= 1 << (j & 7)
+        masks[y] = bytes(bits)
+    full = row = (1 << len(v)) - 1
     for x in u:
-        grown = np.maximum(row[1:], row[:-1] + (v == x))
-        row[1:] = np.maximum.accumulate(grown)
-    return row
+        if x in masks:
+            hits = row & int.from_bytes(masks[x], "little")
+            row = ((row + hits) | (row - hits)) & full
+        yield row
 
 
-def _pairs(u, v) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, in space that is linear in the lengths: u is halved, and v where both halves match most."""
+def _lengths(u: list[int], v: list[int]):
+    """For each k, the longest common subsequence of u and the first k of v."""
+    import numpy as np
+
+    *_, row = _rows(u, v)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(v) // 8 + 1, "little"), np.uint8), bitorder="little", count=len(v))
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _pairs(u: list[int], v: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in space that is linear in the lengths: u is halved, and v where both halves match most, until u is short."""
     import numpy as np
 
     found, waiting = [], [(0, len(u), 0, len(v))]
@@ -185,9 +211,17 @@ def _pairs(u, v) -> list[tuple[int, int]]:
             found.append((b, d))
         if a == b or c == d:
             continue
-        if b - a == 1:
-            hit = np.flatnonzero(v[c:d] == u[a])
-            found += [(a, c + int(hit[0]))] if len(hit) else []
+        if b - a <= KEPT:
+            rows = list(_rows(u[a:b], v[c:d]))
+            i, j = b - a - 1, d - c - 1
+            while i >= 0 and j >= 0:
+                if rows[i] >> j & 1:
+                    j -= 1
+                elif i and not rows[i - 1] >> j & 1:
+                    i -= 1
+                else:
+                    found.append((a + i, c + j))
+                    i, j = i - 1, j - 1
             continue
         half = (a + b) // 2
         cut = c + int(np.argmax(_lengths(u[a:half], v[c:d]) + _lengths(u[half:b][::-1], v[c:d][::-1])[::-1]))
@@ -196,13 +230,10 @@ def _pairs(u, v) -> list[tuple[int, int]]:
 
 
 def _compare(a: str, b: str) -> tuple[float, int, int, int]:
-    import numpy as np
-
     x, y = a.split(), b.split()
     if not x:
         return 1.0, 0, len(y), 0
     ids: dict[str, int] = {}
-    u = np.array([ids.setdefault(w.lower(), len(ids)) for w in x])
-    v = np.array([ids.setdefault(w.lower(), len(ids)) for w in y], dtype=np.int64)
+    u, v = ([ids.setdefault(w.lower(), len(ids)) for w in words] for words in (x, y))
     pairs = _pairs(u, v)
     return len(pairs) / len(x), len(x) - len(pairs), len(y) - len(pairs), sum(x[i] != y[j] for i, j in pairs)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens per call (in, out), image tokens by family, seconds to the first token, tokens a second, workers.
+# Tokens per call (in, out), seconds to the first token, tokens a second, workers.
 OCR, CLASSIFY, TAG, BOX, CLUSTER = (400, 850), (600, 10), (1500, 200), (500, 50), (800, 200)
-IMAGE_TOKENS = {"gemini": 40_000, "anthropic": 6_000}
 FIRST_TOKEN, RATE, TAG_WORKERS = 0.45, 140.0, 6
 FILES_PER_SEGMENT, FILES_PER_BOX = 3.0, 7.0
 ROTATION_ASK = 3.0
@@ -17,10 +16,10 @@ def _price(calls: Column, tokens: tuple[float, float], price_in: Column, price_o
     return calls * (F.lit(float(tokens[0])) * price_in + F.lit(float(tokens[1])) * price_out) / 1e6
 
 
-def cost(n: Column, price_in: Column, price_out: Column, family: str = "anthropic", scale: float = 1.0, context: int = 0, previous: bool = False, tagging: bool = False, collections: bool = False, has_text: bool = False, discount: float = 0.5) -> dict[str, Column]:
-    """Dollars by phase, prices being per million tokens; scale is the share of a full image, 0.01 to 1."""
+def cost(n: Column, price_in: Column, price_out: Column, image_tokens: float, scale: float = 1.0, context: int = 0, previous: bool = False, tagging: bool = False, collections: bool = False, has_text: bool = False, discount: float = 0.5) -> dict[str, Column]:
+    """Dollars by phase, prices being per million tokens; image_tokens is what the model counts for a full image, scale the share of one, 0.01 to 1."""
     n = n.cast("double")
-    image = IMAGE_TOKENS[family] * max(0.01, min(1.0, scale))
+    image = image_tokens * max(0.01, min(1.0, scale))
     asked = (OCR[0] + image * (2 if previous else 1) + context / 4.0, OCR[1])
     none = F.lit(0.0)
     ocr = none if has_text else _price(n, asked, price_in, price_out)

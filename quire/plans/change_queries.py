@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators.merge import latest
-from quire.session import table
-from quire.streaming import changes, ingest
+from quire.session import shared_folder, table
+from quire.streaming import changes, ingest, passes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,13 +124,56 @@ def resend(spark, sf_dir):
 )
 def late_boxes(spark, sf_dir):
     """Pages in two batches, the boxes of which come last; the newest result of each page counts."""
-    from quire.session import shared_folder
-    from quire.streaming import passes
-
-    place = shared_folder(spark, "boxes")
     pages = table(spark, sf_dir, "events").selectExpr("concat('g', user_id) AS `group`", "event_id AS seq", "CASE WHEN event_id % 11 = 0 THEN event_type END AS box", "concat('k', event_id % 3) AS current")
-    for number, part in enumerate((pages.where("box IS NULL"), pages.where("box IS NOT NULL"))):
+    results = _fed(spark, "boxes", (pages.where("box IS NULL"), pages.where("box IS NOT NULL")), passes.pin_boxes)
+    return latest(results, ["group", "seq"], "batch").drop("batch")
+
+
+def _fed(spark, name, parts, start):
+    """What a stream gives in all its batches, each of which is one of the parts, sent after the one before was done."""
+    place = shared_folder(spark, name)
+    for number, part in enumerate(parts):
         part.write.parquet(f"{place}/feed/{number}")
-        stream = spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(f"{place}/feed")
-        passes.pin_boxes(stream, f"{place}/state", f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    return latest(spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/batch=*"), ["group", "seq"], "batch").drop("batch")
+        stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{place}/feed")
+        start(stream, f"{place}/state", f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/batch=*").withColumn("batch", F.col("batch").cast("long"))
+
+
+@query(
+    "str4_stream_deletes",
+    """SELECT doc_id, 1::BIGINT AS batch FROM documents WHERE doc_id % 12 = 1 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 1 AND doc_id % 12 <> 1""",
+)
+def stream_deletes(spark, sf_dir):
+    """Three listings of the documents as a stream: the first lacks every fourth, the others every third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    listings = (docs.where("doc_id % 4 <> 1"), docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 3 <> 1"))
+    return _fed(spark, "deletes", listings, lambda stream, *places: passes.confirm_deletes(stream, docs, "doc_id", *places))
+
+
+@query(
+    "str5_stream_controls",
+    """WITH p AS (SELECT 'g' || user_id AS "group", event_id % 8 AS seq, min((event_id // 8) % 2) AS b FROM events WHERE event_id % 6 <> 0 AND event_id % 8 < 4 GROUP BY ALL)
+    SELECT "group", max(b)::BIGINT AS batch FROM p GROUP BY "group" HAVING count(*) = 4""",
+)
+def stream_controls(spark, sf_dir):
+    """Controls come with the first of two batches of pages, and each out with the batch that completes its pages."""
+    events = table(spark, sf_dir, "events")
+    group = F.concat(F.lit("g"), "user_id").alias("group")
+    page = lambda b: events.where(f"event_id % 6 <> 0 AND (event_id div 8) % 2 = {b}").select(group, (F.col("event_id") % 8).cast("int").alias("seq"), F.lit(None).cast("array<int>").alias("seqs"))
+    asked = events.select(group).distinct().select("group", F.lit(None).cast("int").alias("seq"), F.array(*map(F.lit, range(4))).alias("seqs"))
+    return _fed(spark, "controls", (page(0).unionByName(asked), page(1)), passes.release_controls)
+
+
+@query(
+    "str6_stream_orphans",
+    """WITH o AS (SELECT DISTINCT 's' || (event_id // 2) AS stem, CASE event_id % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'media' ELSE 'receipt' END AS kind, CASE WHEN event_id % 5 < 3 THEN 0 ELSE 1 END AS b FROM events),
+    k AS (SELECT t AS batch, stem, kind, bool_or(kind = 'photo') OVER w AS hp, bool_or(kind = 'media') OVER w AS hm FROM (SELECT DISTINCT t, stem, kind FROM o, (VALUES (0), (1)) v(t) WHERE b <= t) WINDOW w AS (PARTITION BY t, stem)),
+    x AS (SELECT batch::BIGINT AS batch, stem, kind, CASE WHEN kind = 'media' AND NOT hp THEN 'no_sidecar' WHEN kind = 'photo' AND NOT hm THEN 'no_media' WHEN kind = 'receipt' AND NOT hp AND NOT hm THEN 'drained' END AS reason FROM k)
+    SELECT * FROM x WHERE reason IS NOT NULL AND (batch = 0 OR (stem, kind) NOT IN (SELECT (stem, kind) FROM x WHERE batch = 0 AND reason IS NOT NULL))""",
+)
+def stream_orphans(spark, sf_dir):
+    """Objects in two batches; what misses its partner comes out once, in the batch that finds it."""
+    events = table(spark, sf_dir, "events")
+    part = lambda b: events.where(f"event_id % 5 {'<' if b == 0 else '>='} 3").selectExpr("concat('s', event_id div 2) AS stem", "CASE event_id % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'media' ELSE 'receipt' END AS kind", "ts AS modified")
+    now = F.to_timestamp(F.lit("2030-01-01 00:00:00"))
+    return _fed(spark, "orphans", (part(0), part(1)), lambda stream, *places: passes.sweep_orphans(stream, now, *places))

@@ -112,7 +112,10 @@ def cluster_repair(spark, sf_dir):
 
 @query("fn13_word_diff")
 def word_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.regexp_replace("text", "(?i)\\bth(\\w)", "TH$1").alias("other"))
+    """Each text against itself with its first two threes of words exchanged, two words more, two fewer, and TH for th."""
+    ws = F.split(F.trim(F.coalesce("text", F.lit(""))), "\\s+")
+    moved = F.concat(F.slice(ws, 4, 3), F.slice(ws, 1, 3), F.array(F.lit("more"), F.lit("words")), F.slice(ws, F.lit(9), F.greatest(F.size(ws) - 8, F.lit(0))))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.regexp_replace(F.array_join(moved, " "), "(?i)\\bth(\\w)", "TH$1").alias("other"))
     return d.select("conv_id", "turn", tx.word_diff("text", "other").alias("d")).select("conv_id", "turn", "d.*")
 
 
@@ -191,7 +194,7 @@ def source_notes(spark, sf_dir):
 @query("agg19_agg20_estimates", estimates.ORACLE)
 def estimate(spark, sf_dir):
     n = F.col("o_orderkey") % 500
-    made = estimates.cost(n, F.lit(3.0), F.lit(15.0), tagging=True, collections=True)
+    made = estimates.cost(n, F.lit(3.0), F.lit(15.0), image_tokens=6000, tagging=True, collections=True)
     took = estimates.seconds(n, workers=4, speed=1.6, tagging=True, collections=True)
     both = {f"{k}_cost": c for k, c in made.items()} | {f"{k}_seconds": c for k, c in took.items()}
     return table(spark, sf_dir, "orders").select("o_orderkey", *(F.round(c, 6).alias(k) for k, c in both.items()))
@@ -336,9 +339,11 @@ def segment_json(spark, sf_dir):
     return c.select("conv_id", src.segment_json(F.lit("1968"), F.array(F.lit("cold war"), F.lit("joel DEAN")), F.col("pages")).alias("json"))
 
 
-@query("src18_accepted", "WITH $FILES SELECT doc_id, true AS accepted, false AS other FROM files")
+@query("src18_accepted", "WITH $FILES SELECT doc_id, doc_id % 7 IN (0, 1, 5) AS accepted, path LIKE '%.jpg' OR path LIKE '%.pdf' AS as_it_is FROM files")
 def accepted(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", src.accepted(F.col("path")).alias("accepted"), src.accepted(F.concat("path", F.lit(".txt"))).alias("other"))
+    """Paths with further endings, of which some are accepted."""
+    ending = F.element_at(F.array(*map(F.lit, (".PDF", ".heic", ".txt", ".d/none", ".pdf.bak", ".Jpeg", "."))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return files(spark, sf_dir).select("doc_id", src.accepted(F.concat("path", ending)).alias("accepted"), src.accepted(F.col("path")).alias("as_it_is"))
 
 
 GUID = "concat('0a1b2c3d-0000-4000-8000-', lpad(cast(doc_id AS string), 12, '0'))"

@@ -5,6 +5,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quire.operators import fulltext
@@ -21,9 +22,19 @@ def test_word_differences(spark):
     got = {(r.conv_id, r.turn): r for r in registry.QUERIES["fn13_word_diff"](spark, SF).collect()}
     said = rows(spark, "conversations")
     assert len(got) == len(said)
+    outcomes = set()
     for r in said:
-        a, b = (r.text or "").split(), re.sub(r"(?i)\bth(\w)", r"TH\1", r.text or "", flags=re.A).split()
-        assert tuple(got[r.conv_id, r.turn])[2:] == (1.0, 0, 0, sum(x != y for x, y in zip(a, b)))
+        a = (r.text or "").split()
+        b = re.sub(r"(?i)\bth(\w)", r"TH\1", " ".join([*a[3:6], *a[:3], "more", "words", *a[8:]]), flags=re.A).split()
+        x, y = ([w.lower() for w in ws] for ws in (a, b))
+        row = np.zeros(len(y) + 1, np.int64)  # a full table, row by row
+        for w in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + np.array([w == z for z in y])))
+        found = got[r.conv_id, r.turn]
+        assert (found.missing, found.added) == (len(x) - row[-1], len(y) - row[-1]) and found.similarity == pytest.approx(row[-1] / len(x) if x else 1.0)
+        assert 0 <= found.changed <= row[-1]
+        outcomes |= {("missing", found.missing > 0), ("added", found.added > 0), ("changed", found.changed > 0)}
+    assert outcomes >= {("missing", True), ("added", True), ("changed", True)}
 
 
 def test_copied_texts(spark):

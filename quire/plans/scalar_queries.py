@@ -11,7 +11,7 @@ from quire.operators.ranking import with_place_in
 from quire.plans.fixtures import FILES, files
 from quire.sources import files as src
 from quire.sources import trees
-from quire.sources import links, markdown, relay
+from quire.sources import headers, links, markdown, relay
 from quire.session import shared_folder, table
 
 QUERIES: dict = {}
@@ -451,6 +451,30 @@ def compacted(spark, sf_dir):
     return spark.read.parquet(f"{second}/postings").groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
+#: A note with all keys of a header, two references and unknown keys, by a document's columns; expressions that Spark and DuckDB read alike.
+TYPED_NOTE = """concat('---', chr(10), 'schema: 2', chr(10), 'id: n', cast(doc_id AS string), chr(10), 'kind: note', chr(10), 'title: "A, ', source, ': b"', chr(10), 'authors: [X, "Y, Z"]', chr(10), 'date: 1968-05', chr(10),
+'date_precision: month', chr(10), 'date_uncertain: ', CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END, chr(10), CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('quality: ', cast(doc_id % 4 AS string), chr(10)) END, 'own: kept', chr(10), '  - below', chr(10),
+'tags:', chr(10), '  - ', lang, chr(10), '  - "q r"', chr(10), 'roundup: ', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'no' END, chr(10), 'zotero:', chr(10), '  - selectLink: "z://', cast(doc_id AS string), '"', chr(10), '    itemKey: K', cast(doc_id % 7 AS string), chr(10),
+'    fetchedAt: 2024-01-02T03:04:05Z', chr(10), '    extra: 1', chr(10), '  - itemKey: L', chr(10), 'created: 2020-02-03T04:05:06+01:00', chr(10), 'modified: "never"', chr(10), '---', chr(10), 'body of ', source)"""
+
+
+@query(
+    "src10_typed_header",
+    """SELECT doc_id, 2 AS schema, 'n' || doc_id AS id, 'A, ' || source || ': b' AS title, 'X|Y, Z' AS authors, doc_id % 3 = 0 AS date_uncertain, nullif(doc_id % 4, 0)::INT AS quality, lang || '|q r' AS tags, doc_id % 2 = 0 AS roundup, 2::BIGINT AS n_references,
+    'z://' || doc_id || '|K' || (doc_id % 7) || '|L' AS item_keys, '2024-01-02 03:04:05' AS fetched_at, 'extra: 1' AS extra, '2020-02-03 03:05:06' AS created, true AS no_modified, 'own: kept' || chr(10) || '  - below' AS own, 'body of ' || source AS body, true AS same_again FROM documents""",
+)
+def typed_header(spark, sf_dir):
+    """All keys of a header, typed, and whether the note written anew reads the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(TYPED_NOTE.replace("chr(", "char(")).alias("note"))
+    both = docs.select("doc_id", headers.header("note").alias("h"), headers.header(headers.again("note")).alias("again"))
+    first, second, time = F.col("h.zotero")[0], F.col("h.zotero")[1], lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return both.select(
+        "doc_id", "h.schema", "h.id", "h.title", F.array_join("h.authors", "|").alias("authors"), "h.date_uncertain", "h.quality", F.array_join("h.tags", "|").alias("tags"), "h.roundup", F.size("h.zotero").cast("long").alias("n_references"),
+        F.concat_ws("|", first["select_link"], first["item_key"], second["item_key"]).alias("item_keys"), time(first["fetched_at"]).alias("fetched_at"), F.array_join(first["unknown"], "|").alias("extra"), time(F.col("h.created")).alias("created"),
+        F.col("h.modified").isNull().alias("no_modified"), F.array_join("h.unknown", "|").alias("own"), "h.body", (F.to_json("h") == F.to_json("again")).alias("same_again"),
+    )
+
+
 @query("src1_scan_verdicts", """SELECT lang, source, 1::BIGINT AS n_files, true AS has_bytes, 0::BIGINT AS unreadable, 0::BIGINT AS directory_errors, 0::BIGINT AS vanished, true AS is_clean FROM (SELECT DISTINCT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents)""")
 def scan_verdicts(spark, sf_dir):
     """Documents written as a tree, a folder for each language and source with one file, and the verdicts of a scan of each."""

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import near
 
@@ -50,6 +51,8 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, small):
     if small:  # keys and components are parted
         monkeypatch.setattr(near, "CELL", 16)
         monkeypatch.setattr(near, "SETS", 8)
+        monkeypatch.setattr(near, "SAMPLED", 2)
+        monkeypatch.setattr(near, "FREQUENT", 2)
     rows = varied()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = brute_kept(rows)
@@ -57,6 +60,66 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, small):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == kept
 
 
+def licensed(n, own=60, licence=60):
+    """Texts of some words of their own behind one licence."""
+    r, same = random.Random(7), " ".join(f"l{k}" for k in range(licence))
+    return [(i, same + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(own))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "own"), [(5_000, 60), (10_000, 60), (20_000, 60), (5_000, 12), (10_000, 12)])
+def test_texts_behind_one_licence_hardly_meet(spark, n, own):
+    """However many share the licence, a text has its keys as rows and none in common with another."""
+    rows = spark.createDataFrame(licensed(n, own), "doc_id long, body string").withColumn("version", F.xxhash64("body"))
+    distinct = near.marks(rows)
+    assert distinct.count() == n
+    assert near.seats_by_key(distinct).count() <= near.n_keys(own + 56) * n
+    assert near.meetings(distinct, 8).count() < 4 * n
+
+
+def test_copies_behind_a_licence_are_found(spark):
+    """Three hundred texts have a near copy each behind the licence that all of them share."""
+    rows = licensed(1_500)
+    copies = [(10_000 + i, " ".join(w for k, w in enumerate(t.split()) if k != 80)) for i, t in rows[:300]]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    assert {r.doc_id for r in near.keep_first(docs).collect()} == {i for i, _ in rows}
+
+
+def test_followers_meet_leaders_of_their_size_only(spark):
+    """Every pair within a factor of 5/4, the smaller of which leads, is in one part at least, and no part is far over its share."""
+    r = random.Random(1)
+    rows = [(1 if k % 3 else k % 7, k, r.randrange(1, 400), r.random() < 0.3) for k in range(1_500)]
+    dealt = spark.createDataFrame(rows, "cell long, node long, n long, leads boolean")
+    met = {}
+    for row in near._parted(near._banded(dealt, 64), 64).collect():
+        met.setdefault((row.cell, row.part), set()).add(row.node)
+    seats = {}
+    for place, nodes in met.items():
+        assert len(nodes) < 260
+        for node in nodes:
+            seats.setdefault(node, set()).add(place)
+    for cell, a, n, leads in rows:
+        for other, b, m, _ in rows if leads else ():
+            if a != b and cell == other and n <= m <= 1.25 * n:
+                assert seats[a] & seats[b]
+
+
+def test_keys_in_any_order_meet():
+    """Sets at a similarity of 0.8 or more share a key that leads the smaller one, whatever the common order."""
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(3_000):
+        n = r.randrange(1, 60)
+        a = r.sample(range(200), n)
+        b = [x for x in a if r.random() > 0.1] + r.sample(range(200, 300), r.randrange(0, 1 + n // 6))
+        known = np.array(sorted(r.sample(range(300), 40)), np.int64)
+        level = np.array([r.randrange(1, 5) for _ in known], np.int64)
+        x, y = (near.rare_first(np.array(sorted(s), np.int64), known, level) for s in sorted((a, b), key=len))
+        both = len(set(a) & set(b))
+        if len(b) and 5 * both >= 4 * len(set(a) | set(b)):
+            assert set(x[: near.n_leaders(len(x))].tolist()) & set(y[: near.n_keys(len(y))].tolist())
+
+
 def test_stage_on_documents_and_odd_rows(spark, odd, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert {r.doc_id for r in near.keep_first(docs).collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])

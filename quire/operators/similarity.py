@@ -21,38 +21,72 @@ def allowed(longest: Column) -> Column:
     return F.when(longest >= 9, 2).when(longest >= 5, 1).otherwise(0)
 
 
+def _piece(text: Column, length: Column, k: int, of: int, shift: int = 0) -> Column:
+    """Key of piece k of the pieces of a text of some length, as it stands in this text, so many places to the right; null if outside."""
+    wide = F.floor(length / of).cast("int")
+    start = wide * k + (1 + shift)
+    size = wide if k < of - 1 else length - wide * (of - 1)
+    return F.when((start > 0) & (start + size - 1 <= F.length(text)), F.concat_ws("|", length, F.lit(f"{of}.{k}"), F.substring(text, start, size)))
+
+
 def _pieces(text: Column) -> Column:
-    """Three pieces of the text for each length it may be compared with: a pair within 2 edits shares one, near its place."""
+    """own: keys of the text's two and three pieces. probe: what it holds of the pieces of a text no longer than itself.
+
+    Of a text in one more piece than there are edits one piece is whole. It is shifted by the letters put in before it,
+    less those taken out: with one edit by 0 or, where the lengths differ, up to 1; with two by -1 to 1, 0 to 1 or 0 to 2.
+    """
     n = F.length(text)
+    own = F.array_compact(F.array(*(F.when((n <= 8) if of == 2 else (n >= 7), _piece(text, n, k, of)) for of in (2, 3) for k in range(of))))
+    one = F.array(*(_piece(text, n - d, k, 2, shift) for d in range(2) for k in range(2) for shift in range(d + 1)))
+    two = F.array(*(_piece(text, n - d, k, 3, shift) for d in range(3) for k in range(3) for shift in range(-1 if d == 0 else 0, max(d, 1) + 1)))
+    probe = F.when(n >= 9, two).when(n >= 5, one)
+    return F.struct(own.alias("own"), F.array_distinct(F.array_compact(probe)).alias("probe"))
 
-    def cut_for(length: Column) -> Column:
-        third = F.floor(length / 3).cast("int")
-        place = lambda k: F.lit(k) * third + 1
-        wide = lambda k: third if k < 2 else length - 2 * third
-        # the pieces of a text of this length; of a longer one, all that stand within two places of them
-        own = lambda k, shift: F.concat_ws("|", length, F.lit(k), F.substring(text, place(k) + shift, wide(k)))
-        return F.filter(F.array(*(F.when(place(k) + s > 0, own(k, F.lit(s))) for k in range(3) for s in range(-2, 3))), lambda p: p.isNotNull())
 
-    exact = F.filter(F.array(*(F.concat_ws("|", n, F.lit(k), F.substring(text, F.lit(k) * F.floor(n / 3).cast("int") + 1, (F.floor(n / 3).cast("int") if k < 2 else n - 2 * F.floor(n / 3).cast("int")))) for k in range(3))), lambda p: p.isNotNull())
-    lengths = F.sequence(F.greatest(F.lit(1), n - 2), n)
-    return F.struct(exact.alias("own"), F.array_distinct(F.flatten(F.transform(lengths, cut_for))).alias("probe"))
+def pieces(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, piece and b, piece: pairs within the allowed edits have a piece in common, a being no longer than b."""
+    cut_up = tags.select("norm", F.length("norm").alias("n"), _pieces(F.col("norm")).alias("p")).where("n >= 4")
+    return cut_up.select(F.col("norm").alias("a"), F.explode("p.own").alias("piece")), cut_up.where("n >= 5").select(F.col("norm").alias("b"), F.explode("p.probe").alias("piece"))
 
 
 def similar_pairs(tags: DataFrame) -> DataFrame:
-    """a, b: distinct normalised tags (column norm) within the edits that the longer one allows, a the shorter or lesser.
+    """a, b: distinct normalised tags (column norm) within the edits that the longer one allows, a the lesser.
 
-    A text cut in three shares a piece, at most two places off, with any text at two edits or fewer; so only tags with a
-    common piece are compared.
+    Only tags with a common piece are compared. Where one edit is allowed, pieces are halves, so short tags make small cells.
     """
-    cut_up = tags.select("norm", F.length("norm").alias("n"), _pieces(F.col("norm")).alias("p")).where("n >= 4")
-    own = cut_up.select(F.col("norm").alias("a"), F.explode("p.own").alias("piece"))
-    probe = cut_up.where("n >= 5").select(F.col("norm").alias("b"), F.explode("p.probe").alias("piece"))
+    own, probe = pieces(tags)
     met = own.join(probe, "piece").where("a <> b").select("a", "b").distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
     close = met.where((F.levenshtein("a", "b", 2) >= 0) & (F.levenshtein("a", "b") <= allowed(longest)))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def components(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """norm and root, its component's least member, of all members of pairs a, b; and the number of rounds.
+
+    Each round links every member's greater neighbours to the least it knows, then its lesser ones, until nothing changes:
+    stars halve the length of a chain, so rounds grow with the logarithm of the longest. Rounds are written to the shared
+    folder; only a count and a checksum reach the driver.
+    """
+    linked = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    edges = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before, rounds = state(edges), 0
+    while before[0]:
+        rounds += 1
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        greater = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = greater.groupBy("u").agg(F.min("v").alias("m"))
+        seen = greater.join(least, "u").select(F.explode(F.array(linked(F.col("u"), F.col("m")), linked(F.col("v"), F.col("m")))).alias("e")).select("e.*")
+        edges = cut(seen.where("u <> v").distinct())
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("norm"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("norm"), F.col("v").alias("root")).distinct()), rounds
+
+
 def clusters(counted: DataFrame) -> DataFrame:
     """tag, n, canonical and total of every tag in a cluster of two or more; counted has tag and n.
 
@@ -61,16 +95,8 @@ def clusters(counted: DataFrame) -> DataFrame:
     """
     named = cut(counted.withColumn("norm", normalize(F.col("tag"))))
     norms = named.select("norm").distinct()
-    pairs = cut(similar_pairs(norms))
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(norms.select("norm", F.col("norm").alias("root")))
-    while True:
-        near = both.join(label.withColumnRenamed("norm", "b"), "b").groupBy(F.col("a").alias("norm")).agg(F.min("root").alias("near"))
-        moved = cut(label.join(near, "norm", "left").select("norm", F.least("root", F.coalesce("near", "root")).alias("root"), (F.coalesce("near", "root") < F.col("root")).alias("changed")))
-        label = moved.select("norm", "root")
-        if moved.where("changed").isEmpty():
-            break
-    rooted = named.join(label, "norm")
+    roots, _ = components(similar_pairs(norms))
+    rooted = named.join(roots, "norm", "left").withColumn("root", F.coalesce("root", "norm"))
     heads = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("minus"), "tag")).alias("head")).where("size > 1")
     return rooted.join(heads, "root").select("tag", "n", F.col("head.tag").alias("canonical"), "total")
 

@@ -1,4 +1,7 @@
-"""Streams whose batches correct or complete earlier ones: deletes in two passes, deferred controls, orphans and late boxes."""
+"""Streams whose batches correct or complete earlier ones: deletes in two passes, deferred controls, orphans and late boxes.
+
+Each ends when it has read what is there; with an interval such as "30 seconds", it goes on until it is stopped.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from quire.operators.sequence import as_of_box
 from quire.streaming import ingest, state
 
 
-def confirm_deletes(listings: DataFrame, indexed: DataFrame, key: str, *places: str):
+def confirm_deletes(listings: DataFrame, indexed: DataFrame, key: str, *places: str, interval: str | None = None):
     """Each batch is the listing of one settled pass. Keys of indexed that two passes in a row lack come out once as deleted.
 
     An empty listing confirms nothing and leaves what was pending as it was. places: state, results, checkpoint.
@@ -28,10 +31,10 @@ def confirm_deletes(listings: DataFrame, indexed: DataFrame, key: str, *places:
         new = states.select(F.col(key).alias("k"), F.when(F.col("state") == "delete", "deleted").otherwise("pending").alias("what"))
         return new, new.unionByName(gone.select(F.col(key).alias("k"), F.lit("deleted").alias("what"))), states.where("state = 'delete'").select(key)
 
-    return state.run(listings, schema, step, *places)
+    return state.run(listings, schema, step, *places, interval=interval)
 
 
-def release_controls(events: DataFrame, *places: str):
+def release_controls(events: DataFrame, *places: str, interval: str | None = None):
     """Events are processed pages (group, seq) or controls (group, seqs). A control comes out once, in the first batch by which all its pages are there."""
     schema = "group string, seq int, seqs array<int>, released boolean"
 
@@ -43,10 +46,10 @@ def release_controls(events: DataFrame, *places: str):
         done = ready.select("group", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("array<int>").alias("seqs"), F.lit(True).alias("released"))
         return new.unionByName(done), every.unionByName(done).distinct(), ready
 
-    return state.run(events, schema, step, *places)
+    return state.run(events, schema, step, *places, interval=interval)
 
 
-def sweep_orphans(objects: DataFrame, now: Column, *places: str, minutes: int = 10):
+def sweep_orphans(objects: DataFrame, now: Column, *places: str, minutes: int = 10, interval: str | None = None):
     """Objects (stem, kind, modified) that are old at the time of a batch and still miss their partner come out once, with the reason."""
     schema = "stem string, kind string, modified timestamp, swept boolean"
 
@@ -58,10 +61,10 @@ def sweep_orphans(objects: DataFrame, now: Column, *places: str, minutes: int =
         done = late.select("stem", "kind", F.lit(None).cast("timestamp").alias("modified"), F.lit(True).alias("swept"))
         return new.unionByName(done), known.join(late.select("stem", "kind", F.lit(True).alias("late")), ["stem", "kind"], "left").select("stem", "kind", "modified", (F.col("swept") | F.coalesce("late", F.lit(False))).alias("swept")), late
 
-    return state.run(objects, schema, step, *places)
+    return state.run(objects, schema, step, *places, interval=interval)
 
 
-def pin_boxes(pages: DataFrame, *places: str):
+def pin_boxes(pages: DataFrame, *places: str, interval: str | None = None):
     """Pages (group, seq, box, current). Whenever pages or boxes arrive, in any order, all pages of their groups whose box changed come out again.
 
     Of pages sent twice the later batch counts, so results are to be read newest batch first.
@@ -81,4 +84,4 @@ def pin_boxes(pages: DataFrame, *places: str):
         rest = newest.join(pinned, ["group", "seq"], "left_anti").select(*names, "assigned")
         return pinned, pinned.unionByName(rest), moved.select("group", "seq", "assigned")
 
-    return state.run(pages, schema, step, *places)
+    return state.run(pages, schema, step, *places, interval=interval)

@@ -31,17 +31,21 @@ def write(rows: DataFrame, path: str, number: int, state: DataFrame | None = Non
     (state if whole else rows).write.mode("overwrite").parquet(f"{path}/whole={str(whole).lower()}/batch={number}")
 
 
-def run(stream: DataFrame, schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]], state_path: str, out_path: str, checkpoint: str):
+def run(stream: DataFrame, schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]], state_path: str, out_path: str, checkpoint: str, interval: str | None = None):
     """Starts a query: step takes a batch and the entries so far and returns new entries, the whole state after them, and results.
 
-    Results of each batch go to a folder of its own below out_path, which a rerun overwrites.
+    Results of each batch go to a folder of its own below out_path, which a rerun overwrites. The query ends when it has
+    read what is there, or goes on with a batch each interval ("30 seconds").
     """
 
     def one(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        new, state, made = step(batch, entries(batch.sparkSession, state_path, schema, number))
-        write(new, state_path, number, state)
-        made.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            new, state, made = step(batch, entries(batch.sparkSession, state_path, schema, number))
+            write(new, state_path, number, state)
+            made.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    when = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**when).start()

@@ -71,3 +71,32 @@ def test_compacted_ingest_state_decides_alike(spark, tmp_path, monkeypatch):
     got = spark.read.option("basePath", places[1]).parquet(f"{places[1]}/batch=*").where("key = 'g__1'").orderBy("batch").collect()
     assert [(r.fp, r.batch) for r in got] == [("a", 0), ("b", 2), ("a", 4)]
     assert state.entries(spark, places[0], ingest.STATE, 4).agg(F.min("batch")).first()[0] == 3
+
+
+def test_a_stream_goes_on_at_an_interval(spark, tmp_path):
+    """One query takes batches as they come, gives what single runs give and lets go of them; one that fails lets go too."""
+    schema, places = "group string, seq int, seqs array<int>", [str(tmp_path / x) for x in ("state", "out", "check")]
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+
+    add(("a", None, [1, 2]), ("a", 1, None))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    query = passes.release_controls(source, *places, interval="100 milliseconds")
+    try:
+        query.processAllAvailable()
+        add(("a", 2, None))
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert [spark.read.parquet(f"{places[1]}/batch={n}").count() for n in (0, 1)] == [0, 1]
+
+    def fails(batch, log):
+        batch.count()
+        raise ValueError("no step")
+
+    with pytest.raises(Exception, match="no step"):
+        state.run(source, "k int", fails, *(p + "2" for p in places)).awaitTermination()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept

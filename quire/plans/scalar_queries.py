@@ -186,9 +186,8 @@ def backoff(spark, sf_dir):
 
 @query("agg18_source_notes", "SELECT conv_id, count(DISTINCT turn % 3) FILTER (role = 'user') AS n_sources FROM conversations GROUP BY conv_id")
 def source_notes(spark, sf_dir):
-    blocks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", (F.col("turn") % 3).alias("target"))).alias("blocks"))
-    passages = F.transform(F.filter("blocks", lambda b: b["role"] == "user"), lambda b: b["target"])
-    return blocks.select("conv_id", F.size(F.array_distinct(passages)).cast("long").alias("n_sources"))
+    target = F.when(F.col("role") == "user", F.col("turn") % 3)
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_distinct(target).alias("n_sources"))
 
 
 @query("agg19_agg20_estimates", estimates.ORACLE)

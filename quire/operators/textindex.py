@@ -2,9 +2,10 @@
 
 An index is a folder of segments. Each has these tables:
 
-* rows: the segment's documents by number, with key, number of tokens, and their entries (term, column, positions).
-* postings: for each term and BLOCK document numbers one row, with its entries, and what a search can tell without
-  them: how many documents it has, the most occurrences of the term in one by column, the least number of tokens.
+* rows: the segment's documents by number, with key, number of tokens, and their tokens by column.
+* postings: for each term and BLOCK document numbers one row, with its entries (document, column, positions), and what a
+  search can tell without them: how many documents it has, the most occurrences of the term in one by column, the least
+  number of tokens. A block that was made in parts has a row for each part.
 * files: least and greatest term of each file of postings.
 * gone: by block, numbers of earlier segments' documents that this one replaced or removed.
 * stats: one row with the documents and tokens that came, and those that went.
@@ -12,13 +13,21 @@ An index is a folder of segments. Each has these tables:
 A search takes the figures of the collection from stats, chooses files by their terms, reads the blocks of its terms and
 leaves out what is gone. With a limit and no phrase, it scores the blocks with the greatest possible scores first; blocks
 that cannot reach the last of these scores are not read. Keys are looked up for the documents found.
-Changes go into a segment of their own, and compact() makes one segment of many from the entries of live rows.
+Changes go into a segment of their own, and compact() makes one segment of many from the tokens of live rows.
+
+Entries are gathered where documents are read, a block of them at a time, so what moves is a row for each term of a
+block, and that only once, to the file that a sample of tokens says: files are ranges of terms with near the same
+number of tokens, and a term that fills more than one is dealt to them by blocks.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +39,18 @@ BLOCK_BITS = 10
 BLOCK = 1 << BLOCK_BITS
 #: Rows of a page of a rows file, and bytes of a row group of postings: how finely they can be read.
 PAGE_ROWS, GROUP_BYTES = 128, 8 << 20
+#: Rows of a page of a postings file.
+POSTINGS_PAGE_ROWS = 1024
+#: Tokens of a file of postings, which is made by one task, and of a part of a block.
+FILE_TOKENS, PART_TOKENS = 1_000_000, 1_000_000
+#: Tokens by which terms are dealt: for each file, and at most in all.
+SAMPLED_PER_FILE, SAMPLED = 256, 1 << 18
 #: Blocks or documents that are listed in a filter, which reaches the files; more are joined.
 LISTED = 4096
 #: So many documents found, of some 30 bytes, meet the rows by broadcast.
 MOST_BROADCAST = 500_000
+#: So many documents that are gone, of four bytes, meet the rows by broadcast.
+MOST_GONE = 4_000_000
 #: Blocks scored first in a search with a limit, for each document wanted.
 FIRST_BLOCKS = 2
 TABLES = ("rows", "postings", "files", "gone", "stats")
@@ -78,39 +95,128 @@ def write_segment(docs: DataFrame, columns, key: str, path: str, segment: int, r
     """Rows that are new or other, and keys that are gone, as one segment of an index; the newest one may be written again.
 
     Keys of docs must differ from each other and from those of removed. Null texts have no tokens; other columns are not
-    read; docs may be empty. Texts are read once and stay where they are; what moves is one row for each term of a document.
+    read; docs may be empty. Texts are read once and stay where they are; what moves is one row for each term of a block.
     """
     columns = list(columns)
-    parts = F.flatten(F.array(*(entries_of(F.col(c), c) for c in columns)))
-    made = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), parts.alias("entries"))
+    made = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), F.struct(*(tokens(F.col(c)).alias(c) for c in columns)).alias("tokens"))
     _write_segment(made, columns, path, segment, removed.select(F.col(key).alias("key")) if removed is not None else None, files)
 
 
+def _places(rows: DataFrame, columns: list[str], n_docs: int, n_tokens: int, files: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled terms in order, and where each begins and the last ends among all tokens, on a scale of 0 to files.
+
+    The sample says only which file has which terms; at most about SAMPLED tokens reach the driver.
+    """
+    one_in = max(1, n_tokens // min(SAMPLED, SAMPLED_PER_FILE * files))
+    of_docs = max(1, min(one_in, n_docs // 64))
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(of_docs)) == 0)
+    each = some.select("doc", F.posexplode(F.flatten(F.array(*(F.col("tokens")[c] for c in columns)))).alias("at", "term"))
+    few = each.where(F.pmod(F.xxhash64("at", "doc"), F.lit(max(1, one_in // of_docs))) == 0).groupBy("term").count().toPandas()
+    order = sorted(zip(few["term"], few["count"]))
+    share = np.cumsum([0, *(n for _, n in order)]).astype(np.float64)
+    return np.array([t for t, _ in order], object), share * files / max(share[-1], 1.0)
+
+
+def _file_of(terms: np.ndarray, block: int, places: tuple[np.ndarray, np.ndarray], files: int) -> np.ndarray:
+    """The file of each term in a block: by its place, and if it fills much of a file or more, by its block."""
+    known, begins = places
+    at = np.searchsorted(known, terms)
+    place = begins[at]
+    found = np.flatnonzero(at < len(known))
+    found = found[known[at[found]] == terms[found]]
+    width = begins[at[found] + 1] - begins[at[found]]
+    spread = (block * 0x9E3779B97F4A7C15 % (1 << 64)) / (1 << 64)
+    place[found] += np.where(width > 0.5, width * spread, 0.0)
+    return np.minimum(place.astype(np.int64), files - 1).astype(np.int32)
+
+
+def _blocks_of(columns: list[str], bits: int, places: tuple[np.ndarray, np.ndarray] | None, files: int) -> Callable:
+    """For mapInArrow: postings of documents (doc and a list of tokens for each column) by term and block."""
+
+    def postings(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc = batch.column("doc").to_numpy()
+        lists = [batch.column(f"t{k}") for k in range(len(columns))]
+        sizes = [pc.list_value_length(x).to_numpy().astype(np.int64) for x in lists]
+        z = np.sum(sizes, axis=0)
+        coded = pc.dictionary_encode(pa.concat_arrays([x.flatten() for x in lists]))
+        code = coded.indices.to_numpy().astype(np.int64)
+        of_doc = np.concatenate([np.repeat(np.arange(len(doc)), n) for n in sizes])
+        of_column = np.repeat(np.arange(len(columns)), [n.sum() for n in sizes])
+        position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
+        named = (code * len(doc) + of_doc) * len(columns) + of_column
+        order = np.argsort(named, kind="stable")  # positions stay in order
+        named = named[order]
+        entry = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+        times = np.diff(np.append(entry, len(named)))
+        column, own = named[entry] % len(columns), named[entry] // len(columns)
+        place, term = own % len(doc), own // len(doc)
+        row = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        of_row = lambda x: pa.array(np.append(x, len(entry)).astype(np.int32))
+        held = pa.StructArray.from_arrays(
+            [
+                pa.array((doc[place] & ((1 << bits) - 1)).astype(np.int32)),
+                pa.array(columns, pa.string()).take(pa.array(column)),
+                pa.array(z[place]),
+                pa.ListArray.from_arrays(pa.array(np.append(entry, len(named)).astype(np.int32)), pa.array(position[order])),
+            ],
+            ["at", "c", "z", "positions"],
+        )
+        first = np.concatenate(([True], own[1:] != own[:-1]))
+        most = [pa.array(np.maximum.reduceat(np.where(column == k, times, 0), row).astype(np.int32)) for k in range(len(columns))]
+        terms, block = coded.dictionary.take(pa.array(term[row])), int(doc[0] >> bits)
+        file = _file_of(np.array(terms.to_pylist(), object), block, places, files) if places is not None else np.zeros(len(row), np.int32)
+        return pa.RecordBatch.from_pydict(
+            {
+                "term": terms,
+                "block": pa.array(np.full(len(row), block, np.int64)),
+                "n_docs": pa.array(np.add.reduceat(first.astype(np.int32), row).astype(np.int32)),
+                "most": pa.StructArray.from_arrays(most, columns),
+                "least": pa.array(np.minimum.reduceat(z[place], row)),
+                "held": pa.ListArray.from_arrays(of_row(row), held),
+                "file": pa.array(file),
+            }
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("doc").to_numpy() >> bits
+            length = batch.column("n_tokens").to_numpy()
+            part = (np.cumsum(length) - length) // PART_TOKENS
+            starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (part[1:] != part[:-1]))))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if length[a:b].any():
+                    yield postings(batch.slice(a, b - a))
+
+    return run
+
+
 def _write_segment(made: DataFrame, columns: list[str], path: str, segment: int, removed: DataFrame | None, files: int | None) -> None:
     spark = made.sparkSession
-    length = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + F.size(e["positions"]))
+    length = sum((F.size(F.col("tokens")[c]) for c in columns), F.lit(0)).cast("long")
     rows_path = _segment(path, "rows", segment)
-    made.select("doc", "key", length.alias("n_tokens"), "entries").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(rows_path)
+    made.select("doc", "key", length.alias("n_tokens"), "tokens").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(rows_path)
     rows = spark.read.parquet(rows_path)
 
-    each = rows.select("doc", "n_tokens", F.explode("entries").alias("e")).select(
-        "e.term", F.shiftright("doc", BLOCK_BITS).alias("block"), (F.col("doc") % BLOCK).cast("int").alias("at"), F.col("n_tokens").alias("z"), "e.c", "e.positions"
-    )
-    dealt = each.repartitionByRange(files, "term", "block") if files else each.repartitionByRange("term", "block")
-    blocks = dealt.groupBy("term", "block").agg(F.min("z").alias("least"), F.sort_array(F.collect_list(F.struct("at", "c", "z", "positions"))).alias("held"))
-    times = lambda c: F.transform("held", lambda h: F.when(h["c"] == c, F.size(h["positions"])).otherwise(0))
-    most = F.struct(*(F.array_max(times(c)).alias(c) for c in columns))
-    headed = blocks.select("term", "block", F.size(F.array_distinct(F.transform("held", lambda h: h["at"]))).alias("n_docs"), most.alias("most"), "least", "held")
+    came = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    total = came.first()
+    files = files or max(1, -(-total["n_tokens"] // FILE_TOKENS))
+    places = _places(rows, columns, total["n_docs"], total["n_tokens"], files) if files > 1 else None
+    most = ", ".join(f"`{c}`: int" for c in columns)
+    schema = f"term string, block long, n_docs int, most struct<{most}>, least long, held array<struct<at: int, c: string, z: long, positions: array<int>>>, file int"
+    given = rows.select("doc", "n_tokens", *(F.col("tokens")[c].alias(f"t{k}") for k, c in enumerate(columns)))
+    blocks = given.mapInArrow(_blocks_of(columns, BLOCK_BITS, places, files), schema)
     postings_path = _segment(path, "postings", segment)
-    headed.sortWithinPartitions("term", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(postings_path)
-    written = spark.read.parquet(postings_path).groupBy(F.regexp_extract(F.input_file_name(), "[^/]*$", 0).alias("file"))
+    dealt = blocks.repartitionById(files, F.col("file")).sortWithinPartitions("term", "block").drop("file")
+    dealt.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", POSTINGS_PAGE_ROWS).parquet(postings_path)
+    written = spark.read.parquet(postings_path).groupBy(F.col("_metadata.file_name").alias("file"))
     written.agg(F.min("term").alias("first_term"), F.max("term").alias("last_term")).coalesce(1).write.mode("overwrite").parquet(_segment(path, "files", segment))
 
     gone = _gone(rows, path, segment, removed).select("of_segment", F.shiftright("doc", BLOCK_BITS).alias("block"), (F.col("doc") % BLOCK).cast("int").alias("at"), "n_tokens")
     by_block = gone.groupBy("of_segment", "block").agg(F.sort_array(F.collect_list("at")).alias("gone_at"), F.sum("n_tokens").alias("n_tokens"))
     by_block.write.mode("overwrite").parquet(_segment(path, "gone", segment))
     went = spark.read.parquet(_segment(path, "gone", segment)).agg(F.coalesce(F.sum(F.size("gone_at")), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens_gone"))
-    came = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     came.crossJoin(went).write.mode("overwrite").parquet(_segment(path, "stats", segment))  # a row each
 
 
@@ -157,7 +263,8 @@ class Index:
         total = _read(spark, path, "stats").agg(*(F.sum(n).alias(n) for n in ("n_docs", "n_tokens", "n_gone", "tokens_gone"))).first()  # a row for each segment
         self.n = total["n_docs"] - total["n_gone"]
         self.mean = (total["n_tokens"] - total["tokens_gone"]) / self.n if self.n else None
-        self.any_gone = total["n_gone"] > 0
+        self.tokens, self.n_gone = total["n_tokens"] - total["tokens_gone"], total["n_gone"]
+        self.any_gone = self.n_gone > 0
 
     @property
     def rows(self) -> DataFrame:
@@ -169,7 +276,12 @@ class Index:
         return _read(self.spark, self.path, "gone").groupBy(F.col("of_segment").alias("segment"), "block").agg(F.flatten(F.collect_list("gone_at")).alias("gone_at"))
 
     def live_rows(self) -> DataFrame:
-        return self.rows.join(_gone_documents(_read(self.spark, self.path, "gone")), ["segment", "doc"], "left_anti")
+        """What is gone comes to the rows by blocks, and while it is small by broadcast, so that rows stay where they are."""
+        if not self.any_gone:
+            return self.rows
+        gone = F.broadcast(self.gone()) if self.n_gone <= MOST_GONE else self.gone()
+        met = self.rows.withColumn("block", F.shiftright("doc", BLOCK_BITS)).join(gone, ["segment", "block"], "left")
+        return met.where(F.col("gone_at").isNull() | ~F.array_contains("gone_at", (F.col("doc") % BLOCK).cast("int"))).drop("block", "gone_at")
 
     def blocks(self, words) -> DataFrame:
         """Blocks of these (word, is a prefix), read from the files that can have them; their number follows the words."""
@@ -265,7 +377,7 @@ def _best(index: Index, blocks: DataFrame, terms: list[Term], weights: dict[str,
     figures = []
     for k, t in enumerate(terms):
         fits = _fits(t.words[0], t.prefix)
-        n = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(fits, F.col("at")))))) if exact else F.max(F.when(fits, F.col("n_docs")))
+        n = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(fits, F.col("at")))))) if exact else F.sum(F.when(fits, F.col("n_docs")))
         figures += [n.alias(f"n{k}"), F.sum(F.when(fits, F.col("most"))).alias(f"most{k}"), F.min(F.when(fits, F.col("least"))).alias(f"least{k}")]
     counted = cut(headers.groupBy("segment", "block").agg(*figures))  # a row for each block of any word
     held = counted.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(len(terms)))).first()
@@ -290,7 +402,7 @@ def compact(spark: SparkSession, source: str, target: str, postings_per_file: in
     """One segment of the live rows of an index, in as few files as its blocks of postings need; returns their number."""
     index = Index(spark, source)
     columns = _read(spark, source, "postings").schema["most"].dataType.names
-    made = index.live_rows().select(F.monotonically_increasing_id().alias("doc"), "key", "entries")
-    files = max(1, -(-_read(spark, source, "postings").count() // postings_per_file))
+    made = index.live_rows().select(F.monotonically_increasing_id().alias("doc"), "key", "tokens")
+    files = max(1, -(-_read(spark, source, "postings").count() // postings_per_file), -(-index.tokens // FILE_TOKENS))
     _write_segment(made, columns, target, 0, None, files)
     return files

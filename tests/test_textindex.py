@@ -148,3 +148,34 @@ def test_search_with_and_without_kept_columns(spark):
     whole, narrow = fulltext.search(df, WEIGHTS, "w0 w1", "id"), fulltext.search(df, WEIGHTS, "w0 w1", "id", keep=())
     assert narrow.columns == ["id", "score", "rank"] and whole.columns == ["id", "body", "name", "score", "rank"]
     same(narrow, whole)
+
+
+def test_what_moves_follows_blocks_and_files_follow_tokens(spark, tmp_path, monkeypatch):
+    """A row for each term of a block moves, not one for each term of a document; files have near the same number of tokens."""
+    monkeypatch.setattr(textindex, "FILE_TOKENS", 20_000)
+    rows = generated(8000, seed=5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2, "id")
+    path = str(tmp_path / "i")
+    textindex.write_segment(df, WEIGHTS, "id", path, 0)
+    assert spark.read.parquet(f"{path}/rows").columns == ["doc", "key", "n_tokens", "tokens", "segment"]
+    held = spark.read.parquet(f"{path}/postings")
+    assert held.count() < 60 * 2 * 12
+    by_file = held.groupBy(F.input_file_name()).agg(F.sum(F.aggregate("held", F.lit(0), lambda n, h: n + F.size(h["positions"]))).alias("n")).collect()
+    total = sum(len(b.split()) + len(n.split()) for _, b, n in rows)
+    assert sum(r.n for r in by_file) == total and len(by_file) >= total // 20_000 - 1 and max(r.n for r in by_file) < 3 * 20_000
+    for query, limit in (("w0 w1", 9), ("w0-w1 w2", None)):
+        same(textindex.search_index(spark, path, WEIGHTS, query, "id", limit=limit), fulltext.search(df, WEIGHTS, query, "id", limit=limit))
+
+
+def test_blocks_made_in_parts_answer_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "PART_TOKENS", 100)
+    df = spark.createDataFrame(generated(700, seed=6), SCHEMA)
+    path = str(tmp_path / "i")
+    textindex.write_segment(df, WEIGHTS, "id", path, 0)
+    textindex.write_segment(df.where("id % 3 = 0").withColumn("body", F.lit("w0 w1")), WEIGHTS, "id", path, 1)
+    now = df.where("id % 3 <> 0").unionByName(df.where("id % 3 = 0").withColumn("body", F.lit("w0 w1")))
+    monkeypatch.setattr(textindex, "MOST_GONE", 0)  # gone rows by shuffle
+    textindex.compact(spark, path, str(tmp_path / "c"))
+    for folder in (path, str(tmp_path / "c")):
+        for query, limit in (("w0", 9), ("w0 w1", 9), ("w0-w1 w", None)):
+            same(textindex.search_index(spark, folder, WEIGHTS, query, "id", limit=limit), fulltext.search(now, WEIGHTS, query, "id", limit=limit))

@@ -1,6 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, transitively.
 
-No result is estimated. In any order that all texts share, two sets that similar share a shingle among the first fifth of
+Candidates come first from the SimHash index of simhash.py: fingerprints of the five-word shingles, in cells for pairs of
+blocks of bits, searched in Gray order by a hierarchy of masked nodes. What it links meets as a list of two texts. No
+result is estimated, and similar sets can have fingerprints further apart than the index links, so keys give the rest.
+In any order that all texts share, two sets that similar share a shingle among the first fifth of
 each (and one more), and that of the smaller set is among its first ninth (and one more). Rare shingles come first in the
 order, so a licence before many texts is no key of theirs; which are frequent is learnt from one text in 32, and a wrong
 guess costs time only. Texts with a key in common meet if it leads one of them, once for each list of texts that keys
@@ -26,7 +29,8 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.simhash import BATCH_ROWS, SEED, Forest, components, only
+from quire.llm.joins import by_counted_key
+from quire.llm.simhash import BATCH_ROWS, SEED, Forest, components, links, majority, only
 from quire.llm.text import slices, whole
 from quire.session import cut
 
@@ -104,14 +108,15 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(order: Broadcast) -> Callable:
-    """For mapInArrow: each text's node (a hash of its set), size, sketch and keys, the rarest first."""
+    """For mapInArrow: each text's node (a hash of its set), fingerprint, size, sketch and keys, the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_ROWS):
             sets = [shingles(t) for t in batch.column("body").to_pylist()]
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            fp = np.fromiter((majority(s.view(np.uint64)) for s in sets), np.uint64, len(sets)).view(np.int64)
             keys = pa.array([rare_first(s, *order.value)[: n_keys(len(s))] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "node": pa.array(node), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(list(map(sketch, sets)), pa.binary()), "keys": keys})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "node": pa.array(node), "fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(list(map(sketch, sets)), pa.binary()), "keys": keys})
 
     return run
 
@@ -297,13 +302,22 @@ def meetings(distinct: DataFrame, width: int) -> DataFrame:
     return shared.mapInArrow(_whole_cells(["cell", "part"], _lists), "cell long, node long").distinct()
 
 
+def indexed(distinct: DataFrame) -> DataFrame:
+    """cell and node: the two sets of each link that the SimHash index finds between fingerprints, or of one fingerprint."""
+    fps = cut(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("times")))
+    head = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_"))
+    between = links(fps.select("fp")).join(head("a"), "a").join(head("b"), "b").select("a_", "b_")
+    of_one = by_counted_key(distinct.select("fp", "node"), fps.where("times > 1"), "fp", "times").where("node <> head").select(F.col("head").alias("a_"), F.col("node").alias("b_"))
+    return between.unionByName(of_one).select(F.xxhash64("a_", "b_").alias("cell"), F.explode(F.array("a_", "b_")).alias("node"))
+
+
 def marks(rows: DataFrame) -> DataFrame:
-    """node, n, sketch, keys and the first row of each distinct set; rows have doc_id, version and body."""
+    """node, fp, n, sketch, keys and the first row of each distinct set; rows have doc_id, version and body."""
     order = rows.sparkSession.sparkContext.broadcast(frequent(rows))
     own = rows.schema["doc_id"].dataType.simpleString()
-    marked = rows.mapInArrow(_marks(order), f"doc_id {own}, version long, node long, n long, sketch binary, keys array<long>")
+    marked = rows.mapInArrow(_marks(order), f"doc_id {own}, version long, node long, fp long, n long, sketch binary, keys array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
-    return cut(marked.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    return cut(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
 
 
 def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,7 +326,7 @@ def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     body = whole(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("body"))
     distinct = marks(rows)
-    lists = meetings(distinct, width)
+    lists = indexed(distinct).unionByName(meetings(distinct, width)).distinct()
     cells = lists.join(distinct.select("node", "n", "sketch"), "node").repartition(width, "cell").sortWithinPartitions("cell")
     maybe = components(cells.mapInArrow(_whole_cells(["cell"], _maybe), "a long, b long").distinct())
 

@@ -13,7 +13,7 @@ stars in Spark.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,11 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(ws) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist()))
+    return majority(hashes)
+
+
+def majority(hashes: Iterable[int]) -> int:
+    """The bits that over half of unsigned 64-bit hashes have, gone through 65,536 at a time."""
     total, n = np.zeros(64, np.int64), 0
     hashes = iter(hashes)
     while len(some := np.fromiter(itertools.islice(hashes, 1 << 16), np.uint64)):

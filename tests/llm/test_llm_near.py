@@ -141,3 +141,24 @@ def test_pipeline_keeps_one_of_each_group(spark, duck):
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == kept
     assert all(list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids for r in final)
+
+
+def test_index_of_fingerprints_gives_candidates(spark, monkeypatch):
+    """Without a key in common, near copies within the index's bits are still found, and no text that is not one goes."""
+    r, rows = random.Random(11), []
+    for k in range(200):
+        ws = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join([*ws[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "meetings", lambda distinct, width: distinct.limit(0).select(F.col("node").alias("cell"), "node"))
+    kept = {row.doc_id for row in near.keep_first(docs).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept and len(kept) <= 205
+
+
+def test_fingerprints_of_links_are_near(spark):
+    """Links of the index join fingerprints within its bits through others, and sets of one fingerprint are linked."""
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, 7 ^ 0b1011), (4, ~7)], "node long, fp long")
+    met = {}
+    for row in near.indexed(rows).collect():
+        met.setdefault(row.cell, set()).add(row.node)
+    assert set(map(frozenset, met.values())) == {frozenset({1, 2}), frozenset({1, 3})}

@@ -19,6 +19,8 @@ from quire.session import cut
 
 #: Mean number of ancestors up to which pairs of folder and ancestor are used, in fewer rounds; of deeper forests, intervals.
 WIDE = 16
+#: Pairs of a folder and an item in a task.
+TASK_ROWS = 1_000_000
 #: Tables of so many folders meet others by broadcast.
 MOST_BROADCAST = 100_000
 
@@ -93,11 +95,19 @@ def items_in_subtree(items: DataFrame, memberships: DataFrame, folders: DataFram
 
 
 def subtree_counts(folders: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Distinct items at or under each folder; an item may be in several."""
+    """Distinct items at or under each folder; an item may be in several.
+
+    What pairs make of the memberships is counted first, and dealt to as many tasks as that needs.
+    """
     pairs = _pairs(folders)
     if pairs is None:
         return _counts_by_intervals(folders, memberships)
-    reach = pairs.select(F.col("ancestor").alias("top"), "folder_id").join(memberships, "folder_id").select("top", "item_id").distinct()
+    memberships = cut(memberships.select("item_id", "folder_id"))
+    above = pairs.groupBy("folder_id").agg(F.count(F.lit(1)).alias("above_"))
+    total = memberships.groupBy("folder_id").agg(F.count(F.lit(1)).alias("n_")).join(above, "folder_id").agg(F.coalesce(F.sum(F.col("n_") * F.col("above_")), F.lit(0)).alias("n")).first()["n"]
+    width = max(1, -(-total // TASK_ROWS))
+    dealt = memberships.repartition(width, "item_id", "folder_id")
+    reach = pairs.select(F.col("ancestor").alias("top"), "folder_id").join(dealt, "folder_id").select("top", "item_id").repartition(width, "top", "item_id").distinct()
     counts = reach.groupBy(F.col("top").alias("folder_id")).agg(F.count(F.lit(1)).alias("n_items"))
     return folders.select("folder_id").join(counts, "folder_id", "left").select("folder_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
 

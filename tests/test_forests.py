@@ -72,3 +72,14 @@ def test_a_long_chain_is_linear(spark):
     rows = {r.folder_id: r.last - r.first + 1 for r in hierarchy.intervals(folders).collect()}
     assert len(rows) == n + 6
     assert {k: rows[k] for k in (0, 1, 100, n - 1, n)} == {0: n + 6, 1: n + 4, 100: n - 100 + 5, n - 1: 1, n: 1}
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Counts over a flat forest use as many tasks as their pairs need, so that none grows with the input."""
+    monkeypatch.setattr(hierarchy, "TASK_ROWS", 1_000)
+    folders = spark.range(40).selectExpr("id AS folder_id", "CASE WHEN id = 0 THEN -1 ELSE 0 END AS parent_id")
+    items = spark.range(4_000).selectExpr("id AS item_id", "1 + id % 39 AS folder_id").unionByName(spark.range(100).selectExpr("id AS item_id", "0L AS folder_id"))
+    found = hierarchy.subtree_counts(folders, items)
+    assert "hashpartitioning(top" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
+    counts = {r.folder_id: r.n_items for r in found.collect()}
+    assert counts == {0: 4_000} | {k: len(range(k - 1, 4_000, 39)) for k in range(1, 40)}

@@ -53,8 +53,10 @@ def similar_pairs(tags: DataFrame) -> DataFrame:
     """a, b: distinct normalised tags (column norm) within the edits that the longer one allows, a the lesser.
 
     Only tags with a common piece are compared. Where one edit is allowed, pieces are halves, so short tags make small cells.
+    Tags are written first: else the optimizer takes the pieces for a filter of whatever the tags were made of, and cuts up
+    each row in place of each tag.
     """
-    own, probe = pieces(tags)
+    own, probe = pieces(cut(tags.select("norm").distinct()))
     met = own.join(probe, "piece").where("a <> b").select("a", "b").distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
     close = met.where((F.levenshtein("a", "b", 2) >= 0) & (F.levenshtein("a", "b") <= allowed(longest)))

@@ -210,8 +210,7 @@ def _write_segment(made: DataFrame, columns: list[str], path: str, segment: int,
     postings_path = _segment(path, "postings", segment)
     dealt = blocks.repartitionById(files, F.col("file")).sortWithinPartitions("term", "block").drop("file")
     dealt.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", POSTINGS_PAGE_ROWS).parquet(postings_path)
-    written = spark.read.parquet(postings_path).groupBy(F.col("_metadata.file_name").alias("file"))
-    written.agg(F.min("term").alias("first_term"), F.max("term").alias("last_term")).coalesce(1).write.mode("overwrite").parquet(_segment(path, "files", segment))
+    _term_ranges(spark.read.parquet(postings_path)).repartition(1).write.mode("overwrite").parquet(_segment(path, "files", segment))
 
     gone = _gone(rows, path, segment, removed).select("of_segment", F.shiftright("doc", BLOCK_BITS).alias("block"), (F.col("doc") % BLOCK).cast("int").alias("at"), "n_tokens")
     by_block = gone.groupBy("of_segment", "block").agg(F.sort_array(F.collect_list("at")).alias("gone_at"), F.sum("n_tokens").alias("n_tokens"))
@@ -220,6 +219,17 @@ def _write_segment(made: DataFrame, columns: list[str], path: str, segment: int,
     came.crossJoin(went).write.mode("overwrite").parquet(_segment(path, "stats", segment))  # a row each
 
 
+def _term_ranges(postings: DataFrame) -> DataFrame:
+    """file, first_term and last_term of files of postings, which are in order: the terms of their first and last rows.
+
+    A least and greatest text is not asked for, as Spark would sort all rows that a task reads for it.
+    """
+    every = postings.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "term")
+    last = every.groupBy("file").agg(F.max("at").alias("last"))  # a row for each file
+    ends = cut(every.join(F.broadcast(last), "file").where("at = 0 OR at = last"))
+    return ends.where("at = 0").select("file", F.col("term").alias("first_term")).join(F.broadcast(ends.where("at = last").select("file", F.col("term").alias("last_term"))), "file")
+
+
 def _gone(rows: DataFrame, path: str, segment: int, removed: DataFrame | None) -> DataFrame:
     """of_segment, doc and n_tokens of live documents of earlier segments whose keys this one has or removes."""
     spark = rows.sparkSession

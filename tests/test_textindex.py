@@ -179,3 +179,16 @@ def test_blocks_made_in_parts_answer_the_same(spark, tmp_path, monkeypatch):
     for folder in (path, str(tmp_path / "c")):
         for query, limit in (("w0", 9), ("w0 w1", 9), ("w0-w1 w", None)):
             same(textindex.search_index(spark, folder, WEIGHTS, query, "id", limit=limit), fulltext.search(now, WEIGHTS, query, "id", limit=limit))
+
+
+def test_ranges_of_files_are_found_without_a_sort_of_their_rows(spark, tmp_path):
+    """A least and greatest text would be taken of rows sorted by file, all that a task reads."""
+    path, since = str(tmp_path / "i"), executions(spark)
+    textindex.write_segment(spark.createDataFrame(generated(900, seed=7), SCHEMA), WEIGHTS, "id", path, 0, files=5)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    every = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [every.apply(i).physicalPlanDescription() for i in range(every.size()) if every.apply(i).executionId() > since]
+    assert plans and not any("SortAggregate" in p for p in plans)
+    held = spark.read.parquet(f"{path}/postings/segment=0").groupBy(F.col("_metadata.file_name").alias("file"))
+    made = held.agg(F.min("term").alias("first_term"), F.max("term").alias("last_term")).collect()
+    assert len(made) > 3 and sorted(made) == sorted(spark.read.parquet(f"{path}/files").select("file", "first_term", "last_term").collect())

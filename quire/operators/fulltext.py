@@ -53,6 +53,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def token_text(text: Column) -> Column:
+    """A text whose tokens are runs of ASCII letters, digits and whatever is not ASCII: fold() itself, or if it is not all ASCII, the tokens with spaces."""
+    return F.element_at(F.transform(F.array(fold(text)), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.array_join(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), " "))), 1)
+
+
 @dataclass(frozen=True)
 class Term:
     """Consecutive tokens; the last may be a prefix."""

@@ -2,10 +2,11 @@
 
 An index is a folder of segments. Each has these tables:
 
-* rows: the segment's documents by number, with key, number of tokens, and their tokens by column.
+* rows: the segment's documents by number, with key, number of tokens, and unless told otherwise their tokens by column,
+  for users of a table of them: neither searches nor compact() read these.
 * postings: for each term and BLOCK document numbers one row, with its entries (document, column, positions), and what a
-  search can tell without them: how many documents it has, the most occurrences of the term in one by column, the least
-  number of tokens. A block that was made in parts has a row for each part.
+  search can tell without them (columns by their places among those of most): how many documents it has, how many tokens, the most occurrences of the term in one by
+  column, the least number of tokens. A term with over PART_TOKENS tokens in a block has some rows for it.
 * files: least and greatest term of each file of postings.
 * gone: by block, numbers of earlier segments' documents that this one replaced or removed.
 * stats: one row with the documents and tokens that came, and those that went.
@@ -13,26 +14,27 @@ An index is a folder of segments. Each has these tables:
 A search takes the figures of the collection from stats, chooses files by their terms, reads the blocks of its terms and
 leaves out what is gone. With a limit and no phrase, it scores the blocks with the greatest possible scores first; blocks
 that cannot reach the last of these scores are not read. Keys are looked up for the documents found.
-Changes go into a segment of their own, and compact() makes one segment of many from the tokens of live rows.
+Changes go into a segment of their own, and compact() makes one segment of many by merging their postings.
 
-Entries are gathered where documents are read, a block of them at a time, so what moves is a row for each term of a
-block, and that only once, to the file that a sample of tokens says: files are ranges of terms with near the same
-number of tokens, and a term that fills more than one is dealt to them by blocks.
+Entries are gathered where documents or postings are read, some millions of tokens at a time, and move packed
+(operators/postings.py), once, to the file that a sample of tokens says: files are ranges of terms with near the same
+number of tokens, and a term that fills more than one is dealt to them by blocks. Texts are written as their tokens for the time
+of that, and the files of a move go with the write that reads them, so that a disk holds little besides the index.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quire.operators.fulltext import B, K1, Term, inverse_frequency, parse, ranked, score_of, tokens
-from quire.session import cut
+from quire.operators import postings as held_postings
+from quire.operators.fulltext import B, K1, Term, inverse_frequency, parse, ranked, score_of, token_text, tokens
+from quire.session import cut, drop_folder, shuffles_dropped
 
 #: Documents in a block, as a power of two.
 BLOCK_BITS = 10
@@ -41,6 +43,8 @@ BLOCK = 1 << BLOCK_BITS
 PAGE_ROWS, GROUP_BYTES = 128, 8 << 20
 #: Rows of a page of a postings file.
 POSTINGS_PAGE_ROWS = 1024
+#: Of all files of an index.
+CODEC = "zstd"
 #: Tokens of a file of postings, which is made by one task, and of a part of a block.
 FILE_TOKENS, PART_TOKENS = 1_000_000, 1_000_000
 #: Tokens by which terms are dealt: for each file, and at most in all.
@@ -51,6 +55,8 @@ LISTED = 4096
 MOST_BROADCAST = 500_000
 #: So many documents that are gone, of four bytes, meet the rows by broadcast.
 MOST_GONE = 4_000_000
+#: So many documents of blocks in which some are gone, of two bytes, meet the rows and postings by broadcast.
+MOST_MOVED = 16_000_000
 #: Blocks scored first in a search with a limit, for each document wanted.
 FIRST_BLOCKS = 2
 TABLES = ("rows", "postings", "files", "gone", "stats")
@@ -91,132 +97,89 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}/segment=*")
 
 
-def write_segment(docs: DataFrame, columns, key: str, path: str, segment: int, removed: DataFrame | None = None, files: int | None = None) -> None:
+def write_segment(docs: DataFrame, columns, key: str, path: str, segment: int, removed: DataFrame | None = None, files: int | None = None, keep_tokens: bool = True) -> None:
     """Rows that are new or other, and keys that are gone, as one segment of an index; the newest one may be written again.
 
     Keys of docs must differ from each other and from those of removed. Null texts have no tokens; other columns are not
-    read; docs may be empty. Texts are read once and stay where they are; what moves is one row for each term of a block.
+    read; docs may be empty. Texts are read once and stay where they are; what moves is packed postings. Without
+    keep_tokens, which should be alike in all segments, the rows have no tokens.
     """
-    columns = list(columns)
-    made = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), F.struct(*(tokens(F.col(c)).alias(c) for c in columns)).alias("tokens"))
-    _write_segment(made, columns, path, segment, removed.select(F.col(key).alias("key")) if removed is not None else None, files)
+    columns, spark = list(columns), docs.sparkSession
+    names = [f"t{k}" for k in range(len(columns))]
+    given = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), *(token_text(F.col(c)).alias(n) for c, n in zip(columns, names)))
+    schema = StructType([StructField("doc", LongType()), given.schema["key"], StructField("n_tokens", LongType()), *(StructField(n, StringType()) for n in names)])
+    texts_path, rows_path = f"{path}/texts-{segment}", _segment(path, "rows", segment)
+    _write(given.mapInArrow(held_postings.spaced(len(columns)), schema), texts_path, PAGE_ROWS)
+    texts = spark.read.schema(schema).parquet(texts_path)
+    listed = F.struct(*(F.when(F.col(n) == "", F.array().cast("array<string>")).otherwise(F.split(n, " ")).alias(c) for c, n in zip(columns, names)))
+    _write(texts.select("doc", "key", "n_tokens", *([listed.alias("tokens")] if keep_tokens else [])), rows_path, PAGE_ROWS)
+    rows = spark.read.parquet(rows_path)
+
+    total = _counted(rows).first()
+    files = files or max(1, -(-total["n_tokens"] // FILE_TOKENS))
+    places = _places(texts, names, total["n_docs"], total["n_tokens"], files) if files > 1 else None
+    _write_postings(texts.drop("key"), held_postings.from_tokens(len(columns), BLOCK_BITS, PART_TOKENS, places, files), columns, path, segment, files)
+    drop_folder(spark, texts_path)
+    _write_figures(rows, path, segment, removed.select(F.col(key).alias("key")) if removed is not None else None)
+
+
+def _write(df: DataFrame, path: str, page_rows: int, group_bytes: int | None = None) -> None:
+    writer = df.write.mode("overwrite").option("compression", CODEC).option("parquet.page.row.count.limit", page_rows)
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
+
 
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
 
-def _places(rows: DataFrame, columns: list[str], n_docs: int, n_tokens: int, files: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _sampled_in(n_tokens: int, files: int) -> int:
+    """One in so many tokens is sampled."""
+    return max(1, n_tokens // min(SAMPLED, SAMPLED_PER_FILE * files))
+
+
+def _places(texts: DataFrame, names: list[str], n_docs: int, n_tokens: int, files: int) -> held_postings.Places:
     """Sampled terms in order, and where each begins and the last ends among all tokens, on a scale of 0 to files.
 
     The sample says only which file has which terms; at most about SAMPLED tokens reach the driver.
     """
-    one_in = max(1, n_tokens // min(SAMPLED, SAMPLED_PER_FILE * files))
+    one_in = _sampled_in(n_tokens, files)
     of_docs = max(1, min(one_in, n_docs // 64))
-    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(of_docs)) == 0)
-    each = some.select("doc", F.posexplode(F.flatten(F.array(*(F.col("tokens")[c] for c in columns)))).alias("at", "term"))
-    few = each.where(F.pmod(F.xxhash64("at", "doc"), F.lit(max(1, one_in // of_docs))) == 0).groupBy("term").count().toPandas()
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(of_docs)) == 0)
+    each = some.select("doc", F.posexplode(F.split(F.concat_ws(" ", *names), " ")).alias("at", "term")).where("term <> ''")
+    return _scaled(each.where(F.pmod(F.xxhash64("at", "doc"), F.lit(max(1, one_in // of_docs))) == 0).groupBy("term").count(), files)
+
+
+def _places_of_postings(postings: DataFrame, n_tokens: int, files: int) -> held_postings.Places:
+    """As _places(): rows of as many tokens as one is sampled of are all taken, and others as often as they have tokens."""
+    one_in, n = _sampled_in(n_tokens, files), F.col("n_tokens")
+    some = postings.where((n >= one_in) | (F.pmod(F.xxhash64("term", "segment", "block"), F.lit(one_in)) < n))
+    return _scaled(some.groupBy("term").agg(F.sum(F.greatest(n, F.lit(one_in))).alias("count")), files)
+
+
+def _scaled(sampled: DataFrame, files: int) -> held_postings.Places:
+    few = sampled.toPandas()
     order = sorted(zip(few["term"], few["count"]))
     share = np.cumsum([0, *(n for _, n in order)]).astype(np.float64)
     return np.array([t for t, _ in order], object), share * files / max(share[-1], 1.0)
 
 
-def _file_of(terms: np.ndarray, block: int, places: tuple[np.ndarray, np.ndarray], files: int) -> np.ndarray:
-    """The file of each term in a block: by its place, and if it fills much of a file or more, by its block."""
-    known, begins = places
-    at = np.searchsorted(known, terms)
-    place = begins[at]
-    found = np.flatnonzero(at < len(known))
-    found = found[known[at[found]] == terms[found]]
-    width = begins[at[found] + 1] - begins[at[found]]
-    spread = (block * 0x9E3779B97F4A7C15 % (1 << 64)) / (1 << 64)
-    place[found] += np.where(width > 0.5, width * spread, 0.0)
-    return np.minimum(place.astype(np.int64), files - 1).astype(np.int32)
-
-
-def _blocks_of(columns: list[str], bits: int, places: tuple[np.ndarray, np.ndarray] | None, files: int) -> Callable:
-    """For mapInArrow: postings of documents (doc and a list of tokens for each column) by term and block."""
-
-    def postings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc = batch.column("doc").to_numpy()
-        lists = [batch.column(f"t{k}") for k in range(len(columns))]
-        sizes = [pc.list_value_length(x).to_numpy().astype(np.int64) for x in lists]
-        z = np.sum(sizes, axis=0)
-        coded = pc.dictionary_encode(pa.concat_arrays([x.flatten() for x in lists]))
-        code = coded.indices.to_numpy().astype(np.int64)
-        of_doc = np.concatenate([np.repeat(np.arange(len(doc)), n) for n in sizes])
-        of_column = np.repeat(np.arange(len(columns)), [n.sum() for n in sizes])
-        position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
-        named = (code * len(doc) + of_doc) * len(columns) + of_column
-        order = np.argsort(named, kind="stable")  # positions stay in order
-        named = named[order]
-        entry = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
-        times = np.diff(np.append(entry, len(named)))
-        column, own = named[entry] % len(columns), named[entry] // len(columns)
-        place, term = own % len(doc), own // len(doc)
-        row = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
-        of_row = lambda x: pa.array(np.append(x, len(entry)).astype(np.int32))
-        held = pa.StructArray.from_arrays(
-            [
-                pa.array((doc[place] & ((1 << bits) - 1)).astype(np.int32)),
-                pa.array(columns, pa.string()).take(pa.array(column)),
-                pa.array(z[place]),
-                pa.ListArray.from_arrays(pa.array(np.append(entry, len(named)).astype(np.int32)), pa.array(position[order])),
-            ],
-            ["at", "c", "z", "positions"],
-        )
-        first = np.concatenate(([True], own[1:] != own[:-1]))
-        most = [pa.array(np.maximum.reduceat(np.where(column == k, times, 0), row).astype(np.int32)) for k in range(len(columns))]
-        terms, block = coded.dictionary.take(pa.array(term[row])), int(doc[0] >> bits)
-        file = _file_of(np.array(terms.to_pylist(), object), block, places, files) if places is not None else np.zeros(len(row), np.int32)
-        return pa.RecordBatch.from_pydict(
-            {
-                "term": terms,
-                "block": pa.array(np.full(len(row), block, np.int64)),
-                "n_docs": pa.array(np.add.reduceat(first.astype(np.int32), row).astype(np.int32)),
-                "most": pa.StructArray.from_arrays(most, columns),
-                "least": pa.array(np.minimum.reduceat(z[place], row)),
-                "held": pa.ListArray.from_arrays(of_row(row), held),
-                "file": pa.array(file),
-            }
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column("doc").to_numpy() >> bits
-            length = batch.column("n_tokens").to_numpy()
-            part = (np.cumsum(length) - length) // PART_TOKENS
-            starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (part[1:] != part[:-1]))))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-                if length[a:b].any():
-                    yield postings(batch.slice(a, b - a))
-
-    return run
-
-
-def _write_segment(made: DataFrame, columns: list[str], path: str, segment: int, removed: DataFrame | None, files: int | None) -> None:
-    spark = made.sparkSession
-    length = sum((F.size(F.col("tokens")[c]) for c in columns), F.lit(0)).cast("long")
-    rows_path = _segment(path, "rows", segment)
-    made.select("doc", "key", length.alias("n_tokens"), "tokens").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
-
-    came = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-    total = came.first()
-    files = files or max(1, -(-total["n_tokens"] // FILE_TOKENS))
-    places = _places(rows, columns, total["n_docs"], total["n_tokens"], files) if files > 1 else None
-    most = ", ".join(f"`{c}`: int" for c in columns)
-    schema = f"term string, block long, n_docs int, most struct<{most}>, least long, held array<struct<at: int, c: string, z: long, positions: array<int>>>, file int"
-    given = rows.select("doc", "n_tokens", *(F.col("tokens")[c].alias(f"t{k}") for k, c in enumerate(columns)))
-    blocks = given.mapInArrow(_blocks_of(columns, BLOCK_BITS, places, files), schema)
+def _write_postings(given: DataFrame, pieces: Callable, columns: list[str], path: str, segment: int, files: int) -> None:
+    """Postings and files, from what pieces() makes of the rows given. What moves there is off the disks when they are written."""
     postings_path = _segment(path, "postings", segment)
-    dealt = blocks.repartitionById(files, F.col("file")).sortWithinPartitions("term", "block").drop("file")
-    dealt.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", POSTINGS_PAGE_ROWS).parquet(postings_path)
-    _term_ranges(spark.read.parquet(postings_path)).repartition(1).write.mode("overwrite").parquet(_segment(path, "files", segment))
+    dealt = given.mapInArrow(pieces, "file int, piece binary").repartitionById(files, F.col("file"))
+    with shuffles_dropped(given.sparkSession):
+        _write(dealt.mapInArrow(held_postings.laid_out(columns, BLOCK_BITS, PART_TOKENS), held_postings.schema(columns)), postings_path, POSTINGS_PAGE_ROWS, GROUP_BYTES)
+    _term_ranges(given.sparkSession.read.parquet(postings_path)).repartition(1).write.mode("overwrite").parquet(_segment(path, "files", segment))
+
 
+def _write_figures(rows: DataFrame, path: str, segment: int, removed: DataFrame | None) -> None:
+    """What is gone, and the figures of the segment."""
+    spark = rows.sparkSession
     gone = _gone(rows, path, segment, removed).select("of_segment", F.shiftright("doc", BLOCK_BITS).alias("block"), (F.col("doc") % BLOCK).cast("int").alias("at"), "n_tokens")
     by_block = gone.groupBy("of_segment", "block").agg(F.sort_array(F.collect_list("at")).alias("gone_at"), F.sum("n_tokens").alias("n_tokens"))
     by_block.write.mode("overwrite").parquet(_segment(path, "gone", segment))
     went = spark.read.parquet(_segment(path, "gone", segment)).agg(F.coalesce(F.sum(F.size("gone_at")), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens_gone"))
-    came.crossJoin(went).write.mode("overwrite").parquet(_segment(path, "stats", segment))  # a row each
+    _counted(rows).crossJoin(went).write.mode("overwrite").parquet(_segment(path, "stats", segment))  # a row each
 
 
 def _term_ranges(postings: DataFrame) -> DataFrame:
@@ -285,13 +248,18 @@ class Index:
         """segment, block, gone_at: what is gone of each block."""
         return _read(self.spark, self.path, "gone").groupBy(F.col("of_segment").alias("segment"), "block").agg(F.flatten(F.collect_list("gone_at")).alias("gone_at"))
 
-    def live_rows(self) -> DataFrame:
-        """What is gone comes to the rows by blocks, and while it is small by broadcast, so that rows stay where they are."""
-        if not self.any_gone:
-            return self.rows
-        gone = F.broadcast(self.gone()) if self.n_gone <= MOST_GONE else self.gone()
-        met = self.rows.withColumn("block", F.shiftright("doc", BLOCK_BITS)).join(gone, ["segment", "block"], "left")
-        return met.where(F.col("gone_at").isNull() | ~F.array_contains("gone_at", (F.col("doc") % BLOCK).cast("int"))).drop("block", "gone_at")
+    def moved(self) -> DataFrame:
+        """segment, block, offset and rank: live documents are numbered on end, block by block, those of this one from offset on.
+
+        rank says which of them a document is by its place in the block, 1 being the first and 0 none; it is null where
+        nothing is gone and a document is in its old place.
+        """
+        met = self.rows.groupBy("segment", F.shiftright("doc", BLOCK_BITS).alias("block")).agg(F.count(F.lit(1)).alias("n"))  # a row for each block
+        met = self.without_gone(met).withColumn("n", F.col("n") - F.when(F.col("gone_at").isNull(), 0).otherwise(F.size("gone_at")))
+        live = F.array_except(F.sequence(F.lit(0), F.lit(BLOCK - 1)), F.col("gone_at"))
+        rank = _let(live, lambda x: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda at: F.array_position(x, at).cast("smallint")))
+        before = Window.orderBy("segment", "block").rowsBetween(Window.unboundedPreceding, -1)
+        return met.select("segment", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("offset"), F.when(F.col("gone_at").isNotNull(), rank).alias("rank"))
 
     def blocks(self, words) -> DataFrame:
         """Blocks of these (word, is a prefix), read from the files that can have them; their number follows the words."""
@@ -351,12 +319,18 @@ def _listed(few: list, column: str) -> Column:
     return _any([(F.col("segment") == s) & F.col(column).isin(v) for s, v in by_segment.items()]) if by_segment else F.lit(False)
 
 
+def _by_place(blocks: DataFrame, weights: dict[str, float]) -> dict[int, float]:
+    """Weights by the places of columns, which entries have."""
+    return {k: weights[c] for k, c in enumerate(blocks.schema["most"].dataType.names) if c in weights}
+
+
 def _counts(index: Index, blocks: DataFrame, terms: list[Term], weights: dict[str, float]) -> DataFrame:
     """segment, doc, z (tokens) and the weighted count f of each term, for live documents with any of the words."""
+    by_place = _by_place(blocks, weights)
     live = index.without_gone(blocks.select("segment", "term", "block", "held"))
-    each = live.select("segment", "term", "block", "gone_at", F.explode("held").alias("h")).where(F.col("h.c").isin(*weights) & (F.col("gone_at").isNull() | ~F.array_contains("gone_at", F.col("h.at"))))
+    each = live.select("segment", "term", "block", "gone_at", F.explode("held").alias("h")).where(F.col("h.c").isin(*by_place) & (F.col("gone_at").isNull() | ~F.array_contains("gone_at", F.col("h.at"))))
     own = each.select("segment", (F.shiftleft("block", BLOCK_BITS) + F.col("h.at")).alias("doc"), "term", "h.c", "h.z", "h.positions")
-    weight = F.coalesce(*(F.when(F.col("c") == c, F.lit(float(w))) for c, w in weights.items()))
+    weight = F.coalesce(*(F.when(F.col("c") == c, F.lit(float(w))) for c, w in by_place.items()))
     if all(len(t.words) == 1 for t in terms):
         counts = [F.coalesce(F.sum(F.when(_fits(t.words[0], t.prefix), weight * F.size("positions"))), F.lit(0.0)).alias(f"f{k}") for k, t in enumerate(terms)]
         return own.groupBy("segment", "doc").agg(F.first("z").alias("z"), *counts)
@@ -382,7 +356,7 @@ def _best(index: Index, blocks: DataFrame, terms: list[Term], weights: dict[str,
     most = sum((F.lit(float(w)) * F.col(f"most.{c}") for c, w in weights.items()), F.lit(0.0))
     headers = index.without_gone(blocks.select("segment", "term", "block", "n_docs", most.alias("most"), "least", *(["held.at", "held.c"] if exact else [])))
     if exact:
-        searched = F.transform(F.filter(F.arrays_zip("at", "c"), lambda h: h["c"].isin(*weights)), lambda h: h["at"])
+        searched = F.transform(F.filter(F.arrays_zip("at", "c"), lambda h: h["c"].isin(*_by_place(blocks, weights))), lambda h: h["at"])
         headers = headers.withColumn("at", F.array_except(searched, F.coalesce("gone_at", F.array().cast("array<int>"))))
     figures = []
     for k, t in enumerate(terms):
@@ -409,10 +383,27 @@ def _best(index: Index, blocks: DataFrame, terms: list[Term], weights: dict[str,
 
 
 def compact(spark: SparkSession, source: str, target: str, postings_per_file: int = 200_000) -> int:
-    """One segment of the live rows of an index, in as few files as its blocks of postings need; returns their number."""
-    index = Index(spark, source)
-    columns = _read(spark, source, "postings").schema["most"].dataType.names
-    made = index.live_rows().select(F.monotonically_increasing_id().alias("doc"), "key", "tokens")
-    files = max(1, -(-_read(spark, source, "postings").count() // postings_per_file), -(-index.tokens // FILE_TOKENS))
-    _write_segment(made, columns, target, 0, None, files)
+    """One segment of the live rows of an index, in as few files as its blocks of postings need; returns their number.
+
+    Postings are merged as they are, with the new numbers of their documents, which fill blocks. These numbers come by
+    broadcast while those that are gone are in few blocks.
+    """
+    index, postings = Index(spark, source), _read(spark, source, "postings")
+    columns = postings.schema["most"].dataType.names
+    moved = cut(index.moved())
+    few = index.n_gone <= MOST_GONE and moved.where(F.col("rank").isNotNull()).count() * BLOCK <= MOST_MOVED
+    with_new = lambda df: df.join(F.broadcast(moved) if few else moved, ["segment", "block"])
+    place = lambda at: F.when(F.col("rank").isNull(), at).otherwise(F.get("rank", at).cast("int") - 1)
+
+    rows_path, at = _segment(target, "rows", 0), (F.col("doc") % BLOCK).cast("int")
+    live = with_new(index.rows.withColumn("block", F.shiftright("doc", BLOCK_BITS))).withColumn("at", place(at)).where("at >= 0")
+    _write(live.select((F.col("offset") + F.col("at")).alias("doc"), *(c for c in index.rows.columns if c not in ("doc", "segment"))), rows_path, PAGE_ROWS)
+
+    files = max(1, -(-postings.count() // postings_per_file), -(-index.tokens // FILE_TOKENS))
+    places = _places_of_postings(postings, index.tokens, files) if files > 1 else None
+    again = lambda h: F.struct(place(h["at"]).alias("at"), h["c"].alias("c"), h["z"].alias("z"), h["positions"].alias("positions"))
+    held = F.when(F.col("rank").isNull(), F.col("held")).otherwise(F.transform(F.filter("held", lambda h: F.get("rank", h["at"]) > 0), again))
+    given = with_new(postings.select("segment", "term", "block", "held")).select("term", "offset", held.alias("held"))
+    _write_postings(given, held_postings.from_postings(BLOCK_BITS, PART_TOKENS, places, files), columns, target, 0, files)
+    _write_figures(spark.read.parquet(rows_path), target, 0, None)
     return files

@@ -445,7 +445,7 @@ def compacted(spark, sf_dir):
     first, second = shared_folder(spark, "index"), shared_folder(spark, "compacted")
     docs, columns = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), ("source", "lang", "text")
     for segment in range(2):
-        textindex.write_segment(docs.where(f"doc_id % 2 = {segment}"), columns, "doc_id", first, segment)
+        textindex.write_segment(docs.where(f"doc_id % 2 = {segment}"), columns, "doc_id", first, segment, keep_tokens=False)
     textindex.compact(spark, first, second)
     return spark.read.parquet(f"{second}/postings").groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 

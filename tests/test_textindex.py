@@ -192,3 +192,47 @@ def test_ranges_of_files_are_found_without_a_sort_of_their_rows(spark, tmp_path)
     held = spark.read.parquet(f"{path}/postings/segment=0").groupBy(F.col("_metadata.file_name").alias("file"))
     made = held.agg(F.min("term").alias("first_term"), F.max("term").alias("last_term")).collect()
     assert len(made) > 3 and sorted(made) == sorted(spark.read.parquet(f"{path}/files").select("file", "first_term", "last_term").collect())
+
+
+def shuffled(spark):
+    """Bytes of shuffle files on this disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    every = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in every if f.getName().startswith("shuffle_"))
+
+
+def size(spark, path):
+    return sum(len(r["content"]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("content").collect())
+
+
+def test_an_index_holds_the_disk_of_its_postings_only(spark, tmp_path):
+    """No tokens unless wanted, and neither writing nor compaction leaves shuffle files; the compacted index is the live rows' own, its documents dense."""
+    spark.createDataFrame(generated(6000, seed=8), SCHEMA).repartition(3, "id").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    first, second, kept, before = str(tmp_path / "i"), str(tmp_path / "c"), str(tmp_path / "k"), shuffled(spark)
+    textindex.write_segment(df.where("id % 2 = 0"), WEIGHTS, "id", first, 0, files=3, keep_tokens=False)
+    textindex.write_segment(df.where("id % 2 = 1 OR id % 10 = 0"), WEIGHTS, "id", first, 1, files=3, keep_tokens=False)
+    textindex.compact(spark, first, second, postings_per_file=100)
+    assert shuffled(spark) - before < 0.25 * size(spark, f"{second}/postings")
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == sorted(textindex.TABLES)
+    assert size(spark, f"{first}/rows") + size(spark, f"{second}/rows") < 0.5 * size(spark, f"{second}/postings")
+    assert sorted(r["doc"] for r in spark.read.parquet(f"{second}/rows").collect()) == list(range(6000))
+    textindex.write_segment(df, WEIGHTS, "id", kept, 0)
+    figures = lambda path: sorted(map(tuple, spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n_docs"), F.sum("n_tokens"), F.sum(F.size("held"))).collect()))
+    assert figures(second) == figures(kept) and spark.read.parquet(f"{second}/postings").groupBy("term", "block").count().where("count > 1").isEmpty()
+    for query, limit in (("w0 w1", 9), ("w0-w1 w2", None)):
+        same(textindex.search_index(spark, second, WEIGHTS, query, "id", limit=limit), fulltext.search(df, WEIGHTS, query, "id", limit=limit))
+
+
+def test_small_batches_make_the_same_rows(spark, tmp_path, small_blocks):
+    """Blocks are not cut where Arrow batches end."""
+    df, name, found = spark.createDataFrame(generated(400, seed=9), SCHEMA).coalesce(1), "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    was = spark.conf.get(name)
+    try:
+        for k, n in enumerate((7, 10_000)):
+            spark.conf.set(name, n)
+            textindex.write_segment(df, WEIGHTS, "id", str(tmp_path / str(k)), 0)
+            found.append(sorted(map(str, spark.read.parquet(str(tmp_path / str(k) / "postings")).collect())))
+    finally:
+        spark.conf.set(name, was)
+    assert found[0] == found[1]

@@ -396,13 +396,14 @@ def compact(spark: SparkSession, source: str, target: str, postings_per_file: in
     place = lambda at: F.when(F.col("rank").isNull(), at).otherwise(F.get("rank", at).cast("int") - 1)
 
     rows_path, at = _segment(target, "rows", 0), (F.col("doc") % BLOCK).cast("int")
-    live = with_new(index.rows.withColumn("block", F.shiftright("doc", BLOCK_BITS))).withColumn("at", place(at)).where("at >= 0")
-    _write(live.select((F.col("offset") + F.col("at")).alias("doc"), *(c for c in index.rows.columns if c not in ("doc", "segment"))), rows_path, PAGE_ROWS)
+    rows = with_new(index.rows.withColumn("block", F.shiftright("doc", BLOCK_BITS))).withColumn("at", place(at)).where("at >= 0")
+    _write(rows.select((F.col("offset") + F.col("at")).alias("doc"), *(c for c in index.rows.columns if c not in ("doc", "segment"))), rows_path, PAGE_ROWS)
 
     files = max(1, -(-postings.count() // postings_per_file), -(-index.tokens // FILE_TOKENS))
     places = _places_of_postings(postings, index.tokens, files) if files > 1 else None
     again = lambda h: F.struct(place(h["at"]).alias("at"), h["c"].alias("c"), h["z"].alias("z"), h["positions"].alias("positions"))
-    held = F.when(F.col("rank").isNull(), F.col("held")).otherwise(F.transform(F.filter("held", lambda h: F.get("rank", h["at"]) > 0), again))
+    live = F.transform(F.filter("held", lambda h: F.get("rank", h["at"]) > 0), again)
+    held = F.when(F.col("rank").isNull(), F.col("held")).otherwise(live) if index.any_gone else F.col("held")
     given = with_new(postings.select("segment", "term", "block", "held")).select("term", "offset", held.alias("held"))
     _write_postings(given, held_postings.from_postings(BLOCK_BITS, PART_TOKENS, places, files), columns, target, 0, files)
     _write_figures(spark.read.parquet(rows_path), target, 0, None)
